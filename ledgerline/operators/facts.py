@@ -42,8 +42,8 @@ def keep_or_all(df: DataFrame, keys: Sequence[str], ok: Column) -> DataFrame:
     return passing.where(F.col("__ok") | ~F.col("__any")).drop("__ok", "__any").select(*df.columns)
 
 
-def quality_filter(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
-    """Drop dimensional, abstract, deeply nested and narrative rows."""
+def is_quality_row(facts: DataFrame) -> Column:
+    """False for dimensional, abstract, deeply nested and narrative rows."""
     ok = ~(
         F.col("concept").endswith("Axis")
         | F.col("concept").endswith("Member")
@@ -56,7 +56,12 @@ def quality_filter(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFram
     if "level" in facts.columns:
         level = F.col("level").try_cast("double")
         ok = ok & (level.isNull() | (level <= MAX_LEVEL))
-    return keep_or_all(facts, keys, ok)
+    return ok
+
+
+def quality_filter(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
+    """Quality rows only; a company without any keeps all its rows."""
+    return keep_or_all(facts, keys, is_quality_row(facts))
 
 
 def form_filter(facts: DataFrame, forms: Sequence[str] | None = None, accession: str | None = None) -> DataFrame:
@@ -81,22 +86,35 @@ def currency_filter(facts: DataFrame, currency: Column, keys: Sequence[str] = ("
     return keep_or_all(facts, keys, part.isNull() | (part == currency))
 
 
+def _currency_mode(rows: Column | None = None) -> Column:
+    """Most frequent reporting currency of the rows, smallest code on ties."""
+    bare = F.replace(F.col("units"), F.lit("iso4217:"), F.lit(""))
+    every = rows if rows is not None else F.lit(True)
+    plain = F.mode(F.when(every & F.col("units").isin(*CURRENCIES), F.col("units")), True)
+    tagged = F.mode(F.when(every & bare.isin(*CURRENCIES), bare), True)
+    return F.coalesce(plain, tagged, F.lit("USD"))
+
+
 def detect_currency(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
     """The most frequent reporting currency per company; USD when there is none."""
-    bare = F.replace(F.col("units"), F.lit("iso4217:"), F.lit(""))
-    plain = F.when(F.col("units").isin(*CURRENCIES), F.col("units"))
-    tagged = F.when(bare.isin(*CURRENCIES), bare)
-    counts = facts.select(*keys, plain.alias("__plain"), tagged.alias("__tagged")).groupBy(
-        *keys, "__plain", "__tagged"
-    ).agg(F.count("*").alias("__n"))
-
-    def best(c: str) -> Column:
-        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(-F.col("__n"), F.col(c))))
-
-    per_code = counts.groupBy(*keys, "__plain", "__tagged").agg(F.sum("__n").alias("__n"))
-    return per_code.groupBy(*keys).agg(
-        F.coalesce(best("__plain"), best("__tagged"), F.lit("USD")).alias("currency")
-    )
+    return facts.groupBy(*keys).agg(_currency_mode().alias("currency"))
+
+
+def clean_facts(facts: DataFrame) -> DataFrame:
+    """Quality rows in the reporting currency, latest report of each.
+
+    One small per-company profile decides both filters, so the facts are read
+    twice and joined once. A detected currency always has rows, and companies
+    reporting in dollars are left as they are.
+    """
+    ok = is_quality_row(facts)
+    profile = facts.groupBy("cik").agg(
+        F.max(ok).alias("__any"), _currency_mode(ok).alias("__good"), _currency_mode().alias("__all")
+    ).select("cik", "__any", F.when(F.col("__any"), F.col("__good")).otherwise(F.col("__all")).alias("__ccy"))
+    part = unit_currency()
+    joined = facts.join(profile, "cik").where(ok | ~F.col("__any"))
+    kept = joined.where((F.col("__ccy") == "USD") | part.isNull() | (part == F.col("__ccy")))
+    return dedupe_facts(kept.select(*facts.columns))
 
 
 def fiscal_period_filter(facts: DataFrame, fp: str, fy: Column | int | None = None, keys: Sequence[str] = ("cik",)) -> DataFrame:
@@ -152,67 +170,73 @@ def concept_history(facts: DataFrame, concept: str) -> DataFrame:
     return facts.where(F.col("concept") == concept).select(*cols)
 
 
+# A series is one tag of one company. After the dedupe it holds one row per
+# period, so windows over it stay small however many rows the company has.
 SERIES = ("cik", "concept", "taxonomy", "units")
 
 
-def _longest_per_end(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys, "end_date").orderBy(
-        F.col("dur_days").desc(), F.col("start_date").asc_nulls_last()
-    )
-    return facts.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def _rank_by_length(keys: Sequence[str], longest: bool = True) -> Column:
+    """Flows of one series and end, by duration; instants have no rank to lose."""
+    days = F.col("dur_days").desc_nulls_last() if longest else F.col("dur_days").asc_nulls_last()
+    start = F.col("start_date").asc_nulls_last() if longest else F.col("start_date").desc_nulls_last()
+    w = Window.partitionBy(*keys, "end_date").orderBy(F.col("ptype") == "instant", days, start)
+    return F.row_number().over(w)
 
 
-def _split_instants(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    typed = with_period(facts)
-    instant = F.col("ptype") == "instant"
-    return typed.where(instant), typed.where(~instant)
+def _any(cond: Column, keys: Sequence[str]) -> Column:
+    return F.coalesce(F.max(cond).over(Window.partitionBy(*keys)), F.lit(False))
+
+
+INSTANT = "ptype = 'instant'"
 
 
 def annual_facts(facts: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Full-year rows per series; the longest per end where a series has none."""
-    instants, flows = _split_instants(facts)
     is_fy = F.col("ptype") == "FY"
-    has = flows.groupBy(*keys).agg(F.max(is_fy).alias("__has_fy"))
-    flows = flows.join(has, list(keys))
-    years = flows.where(is_fy)
-    stubs = _longest_per_end(flows.where(~F.col("__has_fy")), keys)
-    kept = years.unionByName(stubs).drop("__has_fy").select(*instants.columns)
-    return instants.unionByName(kept)
+    df = with_period(facts).withColumns({"__has": _any(is_fy, keys), "__rank": _rank_by_length(keys)})
+    keep = F.expr(INSTANT) | is_fy | (~F.col("__has") & (F.col("__rank") == 1))
+    return df.where(keep).drop("__has", "__rank")
 
 
 def ytd_facts(facts: DataFrame, keys: Sequence[str] = SERIES, longest: int = 295) -> DataFrame:
     """The year-to-date row per series and end; full years only if nothing else."""
-    instants, flows = _split_instants(facts)
     short = F.col("dur_days") <= longest
-    has = flows.groupBy(*keys).agg(F.max(short).alias("__has_short"))
-    flows = flows.join(has, list(keys)).where(short | ~F.col("__has_short")).drop("__has_short")
-    return instants.unionByName(_longest_per_end(flows.select(*instants.columns), keys))
+    df = with_period(facts).withColumn("__has", _any(short, keys))
+    df = df.where(F.expr(INSTANT) | short | ~F.col("__has")).withColumn("__rank", _rank_by_length(keys))
+    return df.where(F.expr(INSTANT) | (F.col("__rank") == 1)).drop("__has", "__rank")
 
 
 def standalone_quarter_facts(facts: DataFrame, fy: int | None = None, keys: Sequence[str] = ("cik",)) -> DataFrame:
     """At the newest period end, the longest duration of each concept."""
-    instants, flows = _split_instants(facts)
-    if fy is not None:
-        flows = keep_or_all(flows, keys, F.col("fy").try_cast("int") == fy)
-    newest = flows.groupBy(*keys).agg(F.max("end_date").alias("end_date"))
-    at_newest = flows.join(newest, [*keys, "end_date"]).select(*instants.columns)
-    return instants.unionByName(_longest_per_end(at_newest, (*keys, "concept")))
+    df = with_period(facts)
+    flow = ~F.expr(INSTANT)
+    declared = flow & (F.col("fy").try_cast("int") == fy) if fy is not None else flow
+    # Newest end among the rows of the wanted year, else among all flows.
+    ends = df.groupBy(*keys).agg(
+        F.max(F.when(declared, F.col("end_date"))).alias("__wanted"),
+        F.max(F.when(flow, F.col("end_date"))).alias("__newest"),
+    )
+    df = df.join(ends, list(keys))
+    declared = F.coalesce(declared, F.lit(False))
+    usable = flow & (declared | F.col("__wanted").isNull())
+    at_newest = usable & (F.col("end_date") == F.coalesce("__wanted", "__newest"))
+    df = df.where(F.expr(INSTANT) | at_newest)
+    df = df.withColumn("__rank", _rank_by_length((*keys, "concept")))
+    return df.where(F.expr(INSTANT) | (F.col("__rank") == 1)).drop("__wanted", "__newest", "__rank")
 
 
 def duration_fallback(facts: DataFrame, prefer: str, keys: Sequence[str] = SERIES) -> DataFrame:
     """Pick durations by length alone, for frames without fiscal labels."""
-    instants, flows = _split_instants(facts)
+    df = with_period(facts)
     if prefer == "quarterly":
         short = F.col("dur_days") <= 115
-        has = flows.groupBy(*keys).agg(F.max(short).alias("__has"))
-        flows = flows.join(has, list(keys))
-        rest = flows.where(~F.col("__has"))
-        w = Window.partitionBy(*keys, "end_date").orderBy("dur_days", F.col("start_date").desc_nulls_last())
-        rest = rest.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-        flows = flows.where(short).unionByName(rest).drop("__has")
+        df = df.withColumns({"__has": _any(short, keys), "__rank": _rank_by_length(keys, longest=False)})
+        keep = short | (~F.col("__has") & (F.col("__rank") == 1))
     else:
-        flows = keep_or_all(flows, keys, F.col("dur_days") > 300)
-    return instants.unionByName(flows.select(*instants.columns))
+        long = F.col("dur_days") > 300
+        df = df.withColumns({"__has": _any(long, keys), "__rank": F.lit(1)})
+        keep = long | ~F.col("__has")
+    return df.where(F.expr(INSTANT) | keep).drop("__has", "__rank")
 
 
 def nth_period(facts: DataFrame, k: int, keys: Sequence[str] = ("cik", "concept")) -> DataFrame:
@@ -222,26 +246,46 @@ def nth_period(facts: DataFrame, k: int, keys: Sequence[str] = ("cik", "concept"
     return ranked.where(F.col("__rn") <= k + 1).where(F.col("__rn") == k + 1).drop("__rn")
 
 
-def periodic_filing_index(facts: DataFrame, forms: Sequence[str] = ("10-K", "10-Q", "20-F", "6-K")) -> DataFrame:
-    """Filings seen in the facts: report date is the last bounded period end."""
-    sub = facts.where(F.col("form").isin(*forms))
-    company = ["cik", "form"]
-    sub = keep_or_all(sub, company, F.col("taxonomy") != "dei")
-    sub = keep_or_all(sub, company, F.col("end_date") <= F.col("filed"))
-    return sub.groupBy("cik", "form", "accn").agg(
-        F.max("end_date").alias("report_date"), F.min("filed").alias("filed")
+def filing_profile(facts: DataFrame, forms: Sequence[str] = ("10-K", "10-Q", "20-F", "6-K")) -> DataFrame:
+    """One row per filing seen in the facts, in a single pass.
+
+    The report date is the last period end that is bounded by the filing date
+    and not a cover-page fact, as far as the company and form have such rows.
+    """
+    own = F.col("taxonomy") != "dei"
+    bounded = F.col("end_date") <= F.col("filed")
+    end = F.col("end_date")
+
+    def latest(cond: Column, name: str) -> list[Column]:
+        return [F.max(F.when(cond, end)).alias(name), F.min(F.when(cond, F.col("filed"))).alias(f"{name}_filed")]
+
+    per = facts.where(F.col("form").isin(*forms)).groupBy("cik", "form", "accn").agg(
+        *latest(own & bounded, "__ob"), *latest(own, "__o"), *latest(bounded, "__b"), *latest(F.lit(True), "__a"),
+        F.mode("fp", True).alias("fp"), F.mode("fy", True).alias("fy"),
+    )
+    w = Window.partitionBy("cik", "form")
+    any_own = F.max(F.col("__o").isNotNull()).over(w)
+    any_own_bounded = F.max(F.col("__ob").isNotNull()).over(w)
+    any_bounded = F.max(F.col("__b").isNotNull()).over(w)
+    which = (
+        F.when(any_own & any_own_bounded, F.struct(F.col("__ob").alias("r"), F.col("__ob_filed").alias("f")))
+        .when(any_own, F.struct(F.col("__o").alias("r"), F.col("__o_filed").alias("f")))
+        .when(any_bounded, F.struct(F.col("__b").alias("r"), F.col("__b_filed").alias("f")))
+        .otherwise(F.struct(F.col("__a").alias("r"), F.col("__a_filed").alias("f")))
+    )
+    return per.withColumn("__pick", which).where("__pick.f IS NOT NULL OR __pick.r IS NOT NULL").select(
+        "cik", "form", "accn", F.col("__pick.r").alias("report_date"), F.col("__pick.f").alias("filed"), "fp", "fy",
     )
 
 
-def dominant_period(facts: DataFrame) -> DataFrame:
-    """Most frequent fp and fy per filing; ties go to the smallest."""
-    counts = facts.groupBy("cik", "accn", "fp", "fy").agg(F.count("*").alias("__n"))
+def periodic_filing_index(facts: DataFrame, forms: Sequence[str] = ("10-K", "10-Q", "20-F", "6-K")) -> DataFrame:
+    """Filings seen in the facts with report and filing date."""
+    return filing_profile(facts, forms).drop("fp", "fy")
 
-    def mode(c: str) -> DataFrame:
-        per = counts.where(F.col(c).isNotNull()).groupBy("cik", "accn", c).agg(F.sum("__n").alias("__n"))
-        return per.groupBy("cik", "accn").agg(F.min_by(c, F.struct(-F.col("__n"), F.col(c))).alias(c))
 
-    return mode("fp").join(mode("fy"), ["cik", "accn"], "full_outer")
+def dominant_period(facts: DataFrame) -> DataFrame:
+    """Most frequent fp and fy per filing; ties go to the smallest."""
+    return facts.groupBy("cik", "accn").agg(F.mode("fp", True).alias("fp"), F.mode("fy", True).alias("fy"))
 
 
 def statement_lines(facts: DataFrame, concepts: Sequence[str], keys: Sequence[str] = ("cik",)) -> DataFrame:

@@ -147,8 +147,18 @@ def newest(df: DataFrame, n: int, order: str = "end_date", keys: Sequence[str] =
     return df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
 
 
+def newest_summable(quarters: DataFrame, n: int) -> DataFrame:
+    """The n newest clean quarters per company.
+
+    Companies without any keep unusable rows, so that they can be reported.
+    """
+    flagged = quarters.withColumn("usable", summable())
+    w = Window.partitionBy("cik").orderBy(F.col("usable").desc(), F.col("end_date").desc_nulls_last())
+    return flagged.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
+
+
 def _at(n: int, c: str) -> Column:
-    return F.max(F.when(F.col("n") == n, F.col(c)))
+    return F.max(F.when(F.col("usable") & (F.col("n") == n), F.col(c)))
 
 
 def _aliases(df: DataFrame) -> DataFrame:
@@ -169,12 +179,12 @@ def trailing_twelve_months(quarters: DataFrame) -> DataFrame:
     A gap in a flow makes its sum NULL. Rows with a status other than ``ok``
     carry no metrics.
     """
-    top = newest(quarters.where(summable()), 5)
+    top = newest_summable(quarters, 5)
     gap = F.datediff(_at(1, "end_date"), _at(5, "end_date"))
     plain = F.coalesce(F.col("quality"), F.lit("standalone")) == "standalone"
-    four = F.col("n") <= 4
+    four = F.col("usable") & (F.col("n") <= 4)
     aggs = [
-        F.count("*").alias("n_quarters"),
+        F.count_if(F.col("usable")).alias("n_quarters"),
         _at(1, "end_date").alias("as_of"),
         _at(1, "fy").alias("fiscal_year"),
         _at(1, "form").alias("form"),
@@ -211,7 +221,7 @@ def trailing_twelve_months(quarters: DataFrame) -> DataFrame:
 
 def year_ago_prior(quarters: DataFrame) -> DataFrame:
     """Balances one year before the newest quarter, where it really is a year."""
-    top = newest(quarters.where(summable()), 5)
+    top = newest_summable(quarters, 5)
     gap = F.datediff(_at(1, "end_date"), _at(5, "end_date"))
     return top.groupBy("cik").agg(
         _at(1, "end_date").alias("as_of"),

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import concepts as C
 from ledgerline.functions.numeric import confidence_of, exact_sum, or_zero, safe_div, safe_num, truthy
-from ledgerline.operators import facts as fx
 
 PERIOD = ("cik", "end_date")
 MAX_RULES = 20_000
@@ -68,47 +67,56 @@ def candidates(
     keys: Sequence[str] = PERIOD,
     metrics: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every (key, metric) candidate with its pass, rank and confidence."""
+    """Every (key, metric) candidate with its step, rank and confidence.
+
+    One pass: each fact meets the rules of its tag and, where its name looks
+    like a custom revenue tag, adds a candidate of its own.
+    """
     base = facts.select(*keys, "industry", "concept", safe_num("value").alias("value")).where("value IS NOT NULL")
-    table = rule_table(facts, rules, metrics)
-    tagged = base.withColumn("tag", bare_tag()).join(table, "tag")
-    tagged = tagged.where(F.col("rule_industry").isin("*") | (F.col("rule_industry") == F.col("industry")))
+    df = base.withColumn("tag", bare_tag()).join(rule_table(facts, rules, metrics), "tag", "left")
+    fits = F.col("rule_industry").isin("*") | (F.col("rule_industry") == F.col("industry"))
     direct = F.col("concept") == F.col("tag")
     # A prefixed tag only counts for companies that never use the bare one.
-    bare = tagged.where(direct).select("cik", "tag").distinct()
-    prefixed = tagged.where(~direct).join(bare, ["cik", "tag"], "left_anti")
-    exact = tagged.where(direct).unionByName(prefixed.select(*tagged.columns))
-    out = exact.select(
-        *keys, "metric", F.when(F.col("aggregate"), 4).otherwise(1).alias("step"),
-        "priority", F.lit(0.0).alias("size"), "value", F.col("display").alias("source"),
-        F.lit(0.99).alias("confidence"),
-        F.when(F.col("aggregate"), "aggregate").otherwise("exact").alias("method"),
+    bare_used = F.max(direct & fits).over(Window.partitionBy("cik", "tag"))
+    bank = F.col("industry") == "bank"
+    custom = F.lit(False)
+    if metrics is None or "revenue" in metrics:
+        name = F.col("concept")
+        custom = (bank & is_custom_net_revenue(name)) | (~bank & is_custom_revenue(name))
+    df = df.where(F.coalesce(fits, F.lit(False)) | custom)
+    df = df.withColumn("__bare", F.coalesce(bare_used, F.lit(False)))
+
+    def made(step, metric, priority, size, source, confidence, method) -> Column:
+        return F.struct(
+            metric.alias("metric"), F.lit(step).alias("step") if isinstance(step, int) else step.alias("step"),
+            priority.alias("priority"), size.alias("size"), source.alias("source"),
+            confidence.alias("confidence"), method.alias("method"),
+        )
+
+    by_rule = F.when(
+        F.coalesce(fits, F.lit(False)) & (direct | ~F.col("__bare")),
+        made(
+            F.when(F.col("aggregate"), 4).otherwise(1), F.col("metric"), F.col("priority"), F.lit(0.0),
+            F.col("display"), F.lit(0.99), F.when(F.col("aggregate"), "aggregate").otherwise("exact"),
+        ),
+    )
+    label = F.when(bank, "Custom Net Revenue").otherwise("Custom Revenue")
+    by_name = F.when(
+        custom,
+        made(
+            3, F.lit("revenue"), F.lit(0), -F.abs("value"), F.concat(label, F.lit(" ("), "concept", F.lit(")")),
+            F.when(bank, 0.85).otherwise(0.80), F.lit("custom_ext"),
+        ),
     )
+    found = [by_rule, by_name]
     for r in rules:
         if r.fuzzy and not r.aggregate and (metrics is None or r.metric in metrics):
-            hit = F.lower("concept").contains(r.tag.lower())
-            if r.industry != "*":
-                hit = hit & (F.col("industry") == r.industry)
-            out = out.unionByName(base.where(hit).select(
-                *keys, F.lit(r.metric).alias("metric"), F.lit(2).alias("step"),
-                F.lit(r.priority).alias("priority"), F.lit(0.0).alias("size"), "value",
-                F.lit(r.display).alias("source"), F.lit(0.90).alias("confidence"),
-                F.lit("contains").alias("method"),
-            ))
-    if metrics is None or "revenue" in metrics:
-        bank = F.col("industry") == "bank"
-        custom = base.where(
-            (bank & is_custom_net_revenue(F.col("concept")))
-            | (~bank & is_custom_revenue(F.col("concept")))
-        )
-        label = F.when(bank, "Custom Net Revenue").otherwise("Custom Revenue")
-        out = out.unionByName(custom.select(
-            *keys, F.lit("revenue").alias("metric"), F.lit(3).alias("step"), F.lit(0).alias("priority"),
-            (-F.abs("value")).alias("size"), "value",
-            F.concat(label, F.lit(" ("), "concept", F.lit(")")).alias("source"),
-            F.when(bank, 0.85).otherwise(0.80).alias("confidence"), F.lit("custom_ext").alias("method"),
-        ))
-    return out
+            hit = F.lower("concept").contains(r.tag.lower()) & F.lit(r.industry).isin("*", F.col("industry"))
+            found.append(F.when(hit, made(
+                2, F.lit(r.metric), F.lit(r.priority), F.lit(0.0), F.lit(r.display), F.lit(0.90), F.lit("contains"),
+            )))
+    out = df.select(*keys, "value", F.explode(F.array_compact(F.array(*found))).alias("c"))
+    return out.select(*keys, "value", "c.*")
 
 
 def resolve_metrics(
@@ -176,6 +184,11 @@ _DA_TOTALS = HELPER_TAGS[11:14]
 _BROAD_REVENUE = HELPER_TAGS[16:]
 
 
+def helper_rules(tags: Sequence[str] = HELPER_TAGS) -> list[C.ConceptRule]:
+    """Raw tags as pseudo metrics ``t_<tag>``, resolved in the same pass."""
+    return [C.ConceptRule(f"t_{t}", "*", 1, t, t) for t in tags]
+
+
 def pivot_tags(facts: DataFrame, tags: Sequence[str] = HELPER_TAGS, keys: Sequence[str] = PERIOD) -> DataFrame:
     """Raw tag values side by side, prefixed ``t_``."""
     aggs = [F.max(F.when(F.col("concept") == t, safe_num("value"))).alias(f"t_{t}") for t in tags]
@@ -328,31 +341,22 @@ CORE_METRICS = (
 ).split()
 
 
-def clean_facts(facts: DataFrame) -> DataFrame:
-    """Quality rows in the reporting currency, latest report of each."""
-    good = fx.quality_filter(facts)
-    money = fx.detect_currency(good)
-    foreign = good.join(money.withColumnRenamed("currency", "__ccy"), "cik")
-    # Companies reporting in dollars are left as they are.
-    home = foreign.where("__ccy = 'USD'")
-    other = fx.currency_filter(foreign.where("__ccy <> 'USD'"), F.col("__ccy"))
-    return fx.dedupe_facts(home.unionByName(other).drop("__ccy"))
-
-
 def extract(
-    facts: DataFrame,
+    view: DataFrame,
     *,
-    period: str = "annual",
     industry: DataFrame | None = None,
     rules: Sequence[C.ConceptRule] | None = None,
     metrics: Sequence[str] = CORE_METRICS,
     keys: Sequence[str] = PERIOD,
 ) -> DataFrame:
-    """Clean facts to derived metrics: one row per company and period end."""
-    view = fx.annual_facts(facts) if period == "annual" else fx.ytd_facts(facts)
-    view = with_industry(view, industry)
-    wide = pivot_metrics(resolve_metrics(view, rules, keys=keys, metrics=metrics), metrics, keys)
-    return derive_metrics(wide.join(pivot_tags(view, keys=keys), list(keys), "left"))
+    """Period-filtered facts to derived metrics, one row per ``keys``.
+
+    ``view`` comes from :func:`facts.annual_facts` or :func:`facts.ytd_facts`.
+    """
+    rules = [*(rules if rules is not None else C.default_rules()), *helper_rules()]
+    wanted = [*metrics, *[f"t_{t}" for t in HELPER_TAGS]]
+    resolved = resolve_metrics(view, rules, industry=industry, keys=keys, metrics=wanted)
+    return derive_metrics(pivot_metrics(resolved, wanted, keys))
 
 
 # Metrics never converted; per-share amounts are.
