@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("facts", "metrics")
+AREAS = ("facts", "metrics", "periods", "ratios", "companies")
 
 
 def load() -> None:

@@ -95,7 +95,8 @@ def match_annual_to_q3(q3: DataFrame, annual: DataFrame, lo: int = 60, hi: int =
     """
     day = day_number(F.col("q3_end"))
     near = window_join(q3, annual, ["cik"], day + lo, day + hi, day_number(F.col("report_date")), hi - lo + 1)
-    w = Window.partitionBy("cik", "fy").orderBy(F.col("report_date").desc())
+    ties = [F.col("accn")] if "accn" in annual.columns else []
+    w = Window.partitionBy("cik", "fy").orderBy(F.col("report_date").desc(), *ties)
     return near.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
