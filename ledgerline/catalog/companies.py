@@ -233,13 +233,15 @@ def screen_composed(i):
 
 @query("screen_events", f"""
 WITH {COMPOSED}, b AS (SELECT cik, count(*) AS insider_buys FROM fx_insider WHERE code = 'P' AND txn_date >= (SELECT max(cast(ts AS date)) FROM events) - 30 GROUP BY cik)
-SELECT z.cik, insider_buys FROM z JOIN b ON z.cik = b.cik WHERE fcf > 0 AND z.cik IN (SELECT cik FROM fx_filings WHERE form LIKE '8-K%' AND filed >= (SELECT max(cast(ts AS date)) FROM events) - 7)
+SELECT z.cik, insider_buys FROM z JOIN b ON z.cik = b.cik WHERE fcf > 0 AND z.cik IN (SELECT cik FROM fx_filings WHERE form LIKE '8-K%' AND filed >= (SELECT max(filed) FROM fx_filings WHERE form LIKE '8-K%') - 7)
 """)
 def screen_events(i):
-    as_of = i.events.agg(F.max(F.to_date("ts")).alias("as_of"))
-    day = F.broadcast(as_of)
-    filings = i.fx_filings.join(day)
-    insiders = i.fx_insider.withColumn("transaction_type", F.when(F.col("code") == "P", "Purchase").otherwise("Other")).join(day)
+    # Two single values: each source has its own newest day.
+    last_filing = i.fx_filings.where("form LIKE '8-K%'").agg(F.max("filed")).first()[0]
+    last_trade = i.fx_insider.agg(F.max("txn_date")).first()[0]
+    filings = i.fx_filings.withColumn("as_of", F.lit(last_filing))
+    insiders = i.fx_insider.withColumn("transaction_type", F.when(F.col("code") == "P", "Purchase").otherwise("Other"))
+    insiders = insiders.withColumn("as_of", F.lit(last_trade))
     out = sc.screen_composed(_composed(i), {"fcf_positive": True, "filed_8k_last_7d": True, "insider_buying_last_30d": True},
                              filings=filings, transactions=insiders, as_of=F.col("as_of"))
     return out.select("cik", "insider_buys")
@@ -326,7 +328,7 @@ def first_filed(i):
 
 @query("weekday_calendar", """
 WITH d AS (SELECT DISTINCT filed AS as_of FROM fx_filings WHERE form = '8-K'),
-x AS (SELECT as_of, cast(as_of - k AS date) AS day FROM d, (SELECT unnest(range(0, 11)) AS k) g),
+x AS (SELECT as_of, cast(as_of - k::int AS date) AS day FROM d, (SELECT unnest(range(0, 11)) AS k) g),
 y AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY day DESC) AS rn FROM x WHERE dayofweek(day) NOT IN (0, 6)) SELECT as_of, day FROM y WHERE rn <= 5
 """)
 def weekday_calendar(i):
@@ -516,7 +518,7 @@ def _template_sql():
         if m == "":
             parts.append(f"SELECT a.cik, '{t}' AS template, {n} AS line_no, '{label}' AS label, NULL::double AS value, NULL::double AS prior_value FROM a JOIN k ON a.cik = k.cik WHERE template = '{t}'")
         elif m in have:
-            parts.append(f"SELECT a.cik, '{t}', {n}, '{label}', a.{m}, b.{m} FROM a JOIN k ON a.cik = k.cik LEFT JOIN b ON a.cik = b.cik WHERE template = '{t}' AND (a.{m} IS NOT NULL OR b.{m} IS NOT NULL)")
+            parts.append(f"SELECT a.cik, '{t}' AS template, {n} AS line_no, '{label}' AS label, a.{m} AS value, b.{m} AS prior_value FROM a JOIN k ON a.cik = k.cik LEFT JOIN b ON a.cik = b.cik WHERE template = '{t}' AND (a.{m} IS NOT NULL OR b.{m} IS NOT NULL)")
         if t == "standard" and m == "gross_profit":
             parts.append(f"SELECT a.cik, '{t}', {n + 1}, 'Gross Margin %', a.gross_profit / a.revenue * 100, b.gross_profit / b.revenue * 100 FROM a JOIN k ON a.cik = k.cik LEFT JOIN b ON a.cik = b.cik WHERE template = '{t}' AND a.gross_profit <> 0")
     return f"""WITH a AS (SELECT * FROM fx_wide WHERE fy = 2000), b AS (SELECT * FROM fx_wide WHERE fy = 1999),

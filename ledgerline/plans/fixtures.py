@@ -351,7 +351,7 @@ HOLDINGS = """
 SELECT cast(l_suppkey + 1 AS bigint) AS cik, p_name AS institution,
        cast(sum(cast(l_quantity AS decimal(12,2))) AS double) AS shares,
        cast(sum(cast(l_extendedprice AS decimal(12,2))) AS double) AS value,
-       cast(cast(sum(cast(l_quantity AS decimal(12,2))) / 1000 AS decimal(12,3)) AS double) AS pct,
+       cast(cast(sum(cast(l_quantity AS decimal(12,2))) / 100 AS decimal(12,2)) AS double) AS pct,
        max(cast(l_shipdate AS date)) AS filed,
        max(l_orderkey) AS filing_no
 FROM lineitem JOIN part ON l_partkey = p_partkey
