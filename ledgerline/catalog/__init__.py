@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("facts", "metrics", "periods", "ratios", "companies", "revenue", "markets", "texts")
+AREAS = ("facts", "metrics", "periods", "ratios", "companies", "revenue", "markets", "texts", "sources")
 
 
 def load() -> None:

@@ -51,7 +51,7 @@ def proxy_fallback(i):
 
 
 @query("chunk_text", r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '') AS w, text FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, text FROM documents),
 c AS (SELECT doc_id, w, text, len(w) AS n, unnest(range(0, greatest(ceil((len(w) - 64) / 48.0), 0)::bigint + 1)) AS k FROM w WHERE len(w) > 0)
 SELECT doc_id, k::int AS chunk_no, md5(CASE WHEN n <= 64 THEN text ELSE array_to_string(w[k * 48 + 1:k * 48 + 64], ' ') END) AS chunk_md5 FROM c
 """)
@@ -165,36 +165,35 @@ def _reports(i, titles_only=False):
     toc = ["1. Business", "1A. Risk Factors", "2. Properties", "3. Legal Proceedings", "7. Management's Discussion", "8. Financial Statements and Supplementary Data"]
     pad = F.repeat(F.lit("filler line\n"), 60)
     name = (lambda t: t.split(". ", 1)[1].upper()) if titles_only else (lambda t: f"Item {t}")
-    body = F.regexp_replace("text", "(?i)business|risk factor|propert|cybersec|item", "word")
+    body = F.regexp_replace("text", "(?i)business|risk factor|propert|cybersec|reserved|item", "word")
     # Long lines of plain words, so that a section has substance below its header.
     long = F.lit("\n" + "plain words that fill the section with content and nothing else at all " * 3 + "\n")
-    parts = [F.lit("\n".join(f"Item {t} {n}" for n, t in enumerate(toc, 3)) + "\n") if not titles_only else F.lit(""), pad]
-    for t in (toc[0], toc[1], toc[4]):
+    head = F.concat(body, F.lit("\n")) if titles_only else F.lit("\n".join(f"Item {t} {n}" for n, t in enumerate(toc, 3)) + "\n")
+    parts = [head, pad]
+    for t in toc:
         parts += [F.lit(name(t)), long, body, F.lit("\n"), pad]
     parts += [F.lit("Power of Attorney\nsigned")]
     return i.documents.select("doc_id", F.concat(*parts).alias("text"))
 
 
 SECTION_SQL = """
-WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
-SELECT doc_id, '1' AS item, ({toc} + 60)::int AS start_line, ({toc} + 60 + 62 + n)::int AS end_line FROM d
-UNION ALL SELECT doc_id, '1A', ({toc} + 122 + n)::int, ({toc} + 184 + 2 * n)::int FROM d
-UNION ALL SELECT doc_id, '7', ({toc} + 184 + 2 * n)::int, ({toc} + 246 + 3 * n)::int FROM d
+WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), k(item, k) AS (VALUES ('1', 0), ('1A', 1), ('2', 2), ('3', 3), ('7', 4), ('8', 5))
+SELECT doc_id, item, ({toc} + 60 + k * (62 + n))::int AS start_line, ({toc} + 60 + (k + 1) * (62 + n))::int AS end_line FROM d, k
 """
 
 
 @query("segment_sections", SECTION_SQL.format(toc=6))
 def segment_sections(i):
-    return se.segment(_reports(i)).where("item IN ('1', '1A', '7')")
+    return se.segment(_reports(i))
 
 
-@query("segment_by_titles", SECTION_SQL.format(toc=0) + " ")
+@query("segment_by_titles", SECTION_SQL.format(toc="n"))
 def segment_by_titles(i):
     return se.segment(_reports(i, titles_only=True))
 
 
 @query("section_text", """
-WITH d AS (SELECT doc_id, regexp_replace(text, '(?i)business|risk factor|propert|cybersec|item', 'word', 'g') AS text FROM documents)
+WITH d AS (SELECT doc_id, regexp_replace(text, '(?i)business|risk factor|propert|cybersec|reserved|item', 'word', 'g') AS text FROM documents)
 SELECT doc_id, md5('Item 1A. Risk Factors' || chr(10) || repeat('plain words that fill the section with content and nothing else at all ', 3) || chr(10) || text || chr(10) || rtrim(repeat('filler line' || chr(10), 60), chr(10))) AS text_md5 FROM d
 """)
 def section_text(i):

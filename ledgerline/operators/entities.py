@@ -62,12 +62,16 @@ def resolve_alias(texts: DataFrame, aliases: DataFrame, key: str, text: str, max
     words = F.array_remove(F.split(low, "[^\\p{L}\\p{N}_]+"), "")
     n = F.size("__w")
     t = texts.select(key, low.alias("__low"), words.alias("__w"))
-    runs = [F.transform("__w", lambda x: x)]
+
+    def run_of(k: int):
+        return lambda i: F.array_join(F.slice("__w", i, k), " ")
+
+    runs = [F.col("__w")]
     for k in range(2, max_words + 1):
         runs.append(
             F.when(
                 n >= k,
-                F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice("__w", i, k), " ")),
+                F.transform(F.sequence(F.lit(1), n - (k - 1)), run_of(k)),
             ).otherwise(F.array().cast("array<string>"))
         )
     grams = F.array_distinct(F.concat(F.array("__low"), *runs))

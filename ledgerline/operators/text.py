@@ -297,10 +297,11 @@ ENTITY_PATTERNS = {
 
 def entities(docs: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Money, percent and date mentions, one row each, score one."""
-    found = F.concat(*[
-        F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda x, n=name: F.struct(F.lit(n).alias("label"), F.trim(x).alias("entity")))
-        for name, p in ENTITY_PATTERNS.items()
-    ])
+    def mentions(label: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        return F.transform(hits, lambda x: F.struct(F.lit(label).alias("label"), F.trim(x).alias("entity")))
+
+    found = F.concat(*[mentions(n, p) for n, p in ENTITY_PATTERNS.items()])
     return docs.select(*key, F.explode(found).alias("e")).select(*key, "e.*", F.lit(1.0).alias("score"))
 
 

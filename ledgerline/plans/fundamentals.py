@@ -10,6 +10,7 @@ from ledgerline.functions.ratios import with_ratios
 from ledgerline.operators import facts as fx
 from ledgerline.operators import periods as pr
 from ledgerline.operators import resolve as rs
+from ledgerline.operators.screen import capped_filings
 from ledgerline.session import ensure_checkpoint_dir
 
 QUARTER_COLUMNS = (
@@ -78,3 +79,36 @@ def trailing_profitability(facts: DataFrame, industry: DataFrame | None = None)
     return rated.select(
         "cik", "status", "as_of", "quality", "revenue", "net_income", "net_margin", "roe", "roe_basis",
     )
+
+
+def historical_extract(
+    facts: DataFrame, caps: dict[str, int], default: int, metrics: tuple[str, ...] = tuple(rs.CORE_METRICS),
+    industry: DataFrame | None = None,
+) -> DataFrame:
+    """All metrics and ratios of every periodic filing, as it was filed.
+
+    Facts are resolved per accession, so restatements do not leak backwards.
+    The newest filings of each form are kept up to its cap.
+    """
+    index = capped_filings(fx.filing_profile(facts), caps, default)
+    rows = facts.where(fx.is_quality_row(facts)).join(
+        index.select("cik", "accn", "report_date", F.col("form").alias("__form")), ["cik", "accn"]
+    ).where("end_date = report_date")
+    rows = fx.dedupe_facts(rows, ("cik", "accn", "concept", "taxonomy", "units", "start_date", "end_date"))
+    series = ("cik", "accn", "concept", "taxonomy", "units")
+    annual = fx.annual_facts(rows.where(F.col("__form").isin("10-K", "20-F")), series)
+    interim = fx.ytd_facts(rows.where(~F.col("__form").isin("10-K", "20-F")), series)
+    view = annual.unionByName(interim).select("cik", "accn", "concept", "value")
+    wide = rs.extract(view, industry=industry, metrics=metrics, keys=("cik", "accn"))
+    return with_ratios(wide.join(index.select("cik", "accn", "form", "report_date", "filed"), ["cik", "accn"]))
+
+
+KNOWN_METRICS = (*rs.CORE_METRICS, "free_cash_flow", "ebitda", "total_debt", "net_debt")
+
+
+def metric_subset(wide: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("cik", "end_date")) -> DataFrame:
+    """Keys and the requested metrics; unknown names are an error."""
+    bad = [m for m in metrics if m not in KNOWN_METRICS]
+    if bad:
+        raise ValueError(f"unknown metrics {bad}")
+    return wide.select(*keys, *metrics)
