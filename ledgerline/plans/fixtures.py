@@ -475,9 +475,21 @@ def oracle(body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+# Tables whose rows are costly to process.
+_HEAVY_ROWS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.
+
+    Text in fewer row groups than there are cores is spread out. Inputs of any
+    size have more, so this adds no shuffle to them.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _HEAVY_ROWS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,6 +26,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small test data would otherwise be coalesced into a single task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in SEMANTICS.items():
         builder = builder.config(key, value)
