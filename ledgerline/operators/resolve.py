@@ -83,7 +83,15 @@ def candidates(
     if metrics is None or "revenue" in metrics:
         name = F.col("concept")
         custom = (bank & is_custom_net_revenue(name)) | (~bank & is_custom_revenue(name))
-    df = df.where(F.coalesce(fits, F.lit(False)) | custom)
+    loose = [r for r in rules if r.fuzzy and not r.aggregate and (metrics is None or r.metric in metrics)]
+
+    def fuzzy_hit(r: C.ConceptRule) -> Column:
+        return F.lower("concept").contains(r.tag.lower()) & F.lit(r.industry).isin("*", F.col("industry"))
+
+    wanted = F.coalesce(fits, F.lit(False)) | custom
+    for r in loose:
+        wanted = wanted | fuzzy_hit(r)
+    df = df.where(wanted)
     df = df.withColumn("__bare", F.coalesce(bare_used, F.lit(False)))
 
     def made(step, metric, priority, size, source, confidence, method) -> Column:
@@ -109,12 +117,10 @@ def candidates(
         ),
     )
     found = [by_rule, by_name]
-    for r in rules:
-        if r.fuzzy and not r.aggregate and (metrics is None or r.metric in metrics):
-            hit = F.lower("concept").contains(r.tag.lower()) & F.lit(r.industry).isin("*", F.col("industry"))
-            found.append(F.when(hit, made(
-                2, F.lit(r.metric), F.lit(r.priority), F.lit(0.0), F.lit(r.display), F.lit(0.90), F.lit("contains"),
-            )))
+    for r in loose:
+        found.append(F.when(fuzzy_hit(r), made(
+            2, F.lit(r.metric), F.lit(r.priority), F.lit(0.0), F.lit(r.display), F.lit(0.90), F.lit("contains"),
+        )))
     out = df.select(*keys, "value", F.explode(F.array_compact(F.array(*found))).alias("c"))
     return out.select(*keys, "value", "c.*")
 

@@ -57,7 +57,7 @@ class _Text(HTMLParser):
         while self.open:
             name, hides = self.open.pop()
             self.skip -= hides
-            if not self.skip:
+            if not self.skip and not hides:
                 self._close(name)
             if name == tag:
                 break

@@ -54,14 +54,25 @@ JOIN nation ON s_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey
 """
 
+def _cents(c: str) -> str:
+    """A source amount in whole cents: sums of integers are exact and cheap."""
+    return f"cast(cast({c} AS decimal(12,2)) * 100 AS bigint)"
+
+
+def _times(total: str, factor: str) -> str:
+    return _money(f"cast({total} AS decimal(24,0)) * {factor}")
+
+
+_NET = f"{_cents('l_extendedprice')} * (100 - {_cents('l_discount')})"
+
 BASE = f"""
 SELECT cast(l_suppkey + 1 AS bigint) AS cik,
        cast(year(l_shipdate) AS int) AS fy,
        cast(quarter(l_shipdate) AS int) AS q,
-       {_money("sum(cast(l_extendedprice AS decimal(12,2)) * (1 - cast(l_discount AS decimal(4,2))))")} AS revenue,
-       {_money("sum(cast(l_extendedprice AS decimal(12,2)) * 0.6)")} AS cost,
-       {_money("sum(cast(l_extendedprice AS decimal(12,2)) * (1 - cast(l_discount AS decimal(4,2))) * cast(l_tax AS decimal(4,2)))")} AS tax,
-       {_money("sum(cast(l_quantity AS decimal(12,2)) * 10)")} AS da
+       {_times(f"sum({_NET})", "0.0001")} AS revenue,
+       {_times(f"sum({_cents('l_extendedprice')})", "0.006")} AS cost,
+       {_times(f"sum({_NET} * {_cents('l_tax')})", "0.000001")} AS tax,
+       {_times(f"sum({_cents('l_quantity')})", "0.1")} AS da
 FROM lineitem
 WHERE l_shipdate IS NOT NULL
 GROUP BY cast(l_suppkey + 1 AS bigint), cast(year(l_shipdate) AS int), cast(quarter(l_shipdate) AS int)
@@ -309,13 +320,13 @@ def _dims(dialect: str) -> str:
         ("'StatementGeographicalAxis'", "r_name"),
     ]
     return f"""
-SELECT cik, fy, axis, label, cast(cast(sum(amount) AS decimal(18,2)) AS double) AS value
+SELECT cik, fy, axis, label, cast({_times('sum(amount)', '0.0001')} AS double) AS value
 FROM (
   SELECT cik, fy, {_unpivot(dialect, ("axis", "label"), rows)}, amount
   FROM (
     SELECT cast(l_suppkey + 1 AS bigint) AS cik, cast(year(l_shipdate) AS int) AS fy,
            p_type, p_brand, r_name,
-           cast(l_extendedprice AS decimal(12,2)) * (1 - cast(l_discount AS decimal(4,2))) AS amount
+           {_NET} AS amount
     FROM lineitem
     JOIN part ON l_partkey = p_partkey
     JOIN orders ON l_orderkey = o_orderkey
