@@ -52,9 +52,9 @@ def quality_filter_keeps_empty_groups(i):
     return fx.quality_filter(some).groupBy("cik", "concept").agg(F.count("*").alias("n"))
 
 
-@query("form_filter", f"SELECT {FACT_COLS} FROM fx_facts WHERE form IN ('10-K') AND dimension IS NULL AND concept = 'Assets'")
+@query("form_filter", f"SELECT {FACT_COLS} FROM fx_facts WHERE form IN ('10-K')")
 def form_filter(i):
-    return _cols(fx.form_filter(i.fx_facts, ["10-K"]).where("dimension IS NULL AND concept = 'Assets'"))
+    return _cols(fx.form_filter(i.fx_facts, ["10-K"]))
 
 
 @query("detect_currency", """
@@ -81,12 +81,11 @@ def reporting_currency_filter(i):
 
 @query("fiscal_period_filter", f"""
 WITH f AS (SELECT *, CASE WHEN fp = 'Q2' AND fy = 1998 AND (start_date IS NULL OR {DUR} BETWEEN 155 AND 205)
-   THEN 1 ELSE 0 END AS ok FROM fx_facts WHERE concept IN ('Revenues', 'Assets') AND dimension IS NULL)
+   THEN 1 ELSE 0 END AS ok FROM fx_facts)
 SELECT {FACT_COLS} FROM (SELECT *, max(ok) OVER (PARTITION BY cik) AS any_ok FROM f) g WHERE ok = 1 OR any_ok = 0
 """)
 def fiscal_period_filter(i):
-    facts = i.fx_facts.where("concept IN ('Revenues', 'Assets') AND dimension IS NULL")
-    return _cols(fx.fiscal_period_filter(facts, "Q2", 1998))
+    return _cols(fx.fiscal_period_filter(i.fx_facts, "Q2", 1998))
 
 
 @query("duration_class", f"""
@@ -166,15 +165,14 @@ def standalone_quarter_facts(i):
 
 
 @query("duration_fallback", f"""
-WITH d AS (SELECT *, {DUR} AS dur FROM {DEDUPED} x WHERE concept IN ('Revenues', 'NetIncomeLoss', 'InterestExpense', 'Assets')),
+WITH d AS (SELECT *, {DUR} AS dur FROM {DEDUPED} x),
 e AS (SELECT *, max(CASE WHEN dur <= 115 THEN 1 ELSE 0 END) OVER (PARTITION BY {SERIES}) AS has_short,
   row_number() OVER (PARTITION BY {SERIES}, end_date ORDER BY dur, start_date DESC NULLS LAST) AS shortest FROM d WHERE dur IS NOT NULL)
 SELECT {FACT_COLS} FROM e WHERE (has_short = 1 AND dur <= 115) OR (has_short = 0 AND shortest = 1)
 UNION ALL SELECT {FACT_COLS} FROM d WHERE dur IS NULL
 """)
 def duration_fallback(i):
-    wanted = "dimension IS NULL AND concept IN ('Revenues', 'NetIncomeLoss', 'InterestExpense', 'Assets')"
-    return _cols(fx.duration_fallback(fx.dedupe_facts(i.fx_facts.where(wanted)), "quarterly"))
+    return _cols(fx.duration_fallback(fx.dedupe_facts(i.fx_facts.where("dimension IS NULL")), "quarterly"))
 
 
 @query("nth_period", f"""

@@ -14,11 +14,10 @@ from ledgerline.streaming import streams as st
 
 
 @query("company_facts_document", """
-SELECT cik, concept, label, value, start_date, end_date, filed, form, accn, fy, fp, units, taxonomy FROM fx_facts WHERE concept IN ('Revenues', 'Assets', 'NetIncomeLoss')
+SELECT cik, concept, label, value, start_date, end_date, filed, form, accn, fy, fp, units, taxonomy FROM fx_facts
 """)
 def company_facts_document(i):
-    facts = i.fx_facts.where("concept IN ('Revenues', 'Assets', 'NetIncomeLoss')")
-    return sd.company_facts(sd.nest_company_facts(facts))
+    return sd.company_facts(sd.nest_company_facts(i.fx_facts))
 
 
 @query("ticker_directory", """

@@ -10,11 +10,14 @@ from ledgerline.operators import text as tx
 
 
 @query("phrase_search", """
-SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(left(b.text, 40)))
+WITH b AS (SELECT item_id, unnest(string_split(text, '. ')) AS phrase, unnest(range(0, len(string_split(text, '. ')))) AS pos FROM benchmark)
+SELECT DISTINCT d.doc_id, b.item_id * 10000 + pos AS phrase_id FROM documents d JOIN b ON trim(phrase, chr(10) || chr(9) || chr(13) || ' ') <> '' AND contains(lower(d.text), lower(phrase))
 """)
 def phrase_search(i):
-    phrases = i.benchmark.select("item_id", F.expr("left(text, 40)").alias("phrase"))
-    return tx.phrase_search(i.documents, phrases)
+    # Every sentence of every benchmark item, whole.
+    s = i.benchmark.select("item_id", F.posexplode(F.split("text", "[.] ")).alias("pos", "phrase"))
+    phrases = s.select((F.col("item_id") * 10000 + F.col("pos")).alias("phrase_id"), "phrase")
+    return tx.phrase_search(i.documents, phrases, phrase_id="phrase_id")
 
 
 @query("diff_sections", r"""

@@ -162,10 +162,12 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phra
     The first and last word of a phrase may be cut in the text, but its inner
     words must appear whole. So a pair of neighbouring inner words, the longest
     one, finds the documents in an equi-join, and only those are compared in
-    full. Phrases with one inner word join on that word. Phrases without inner
-    words have nothing to join on and are compared with every text.
+    full. Phrases with one inner word join on that word. For phrases of one or
+    two words, the vocabulary is searched instead of the texts: words that
+    contain the phrase's longer word lead to the documents. Blank phrases match
+    nothing.
     """
-    p = phrases.select(phrase_id, F.lower("phrase").alias("phrase"))
+    p = phrases.select(phrase_id, F.lower("phrase").alias("phrase")).where(F.trim("phrase", F.lit(" \n\t\r")) != "")
     # Splitting keeps the pieces at both ends, which may be empty.
     inner = F.split("phrase", r"\s+")
     p = p.withColumn("__inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))))
@@ -176,19 +178,22 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phra
     p = p.withColumn("anchor", anchor).drop("__inner")
 
     d = docs.select(doc, F.lower("text").alias("__text"))
-    words = _words(F.col("__text"))
-    d = d.withColumn("__w", words)
+    d = d.withColumn("__w", _words(F.col("__text")))
     two = F.when(
         F.size("__w") >= 2,
         F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(" ", F.slice("__w", i, 2))),
     ).otherwise(F.array().cast("array<string>"))
     keys = d.select(doc, F.explode(F.array_distinct(F.concat("__w", two))).alias("anchor"))
-    hits = keys.join(p.where("anchor IS NOT NULL"), "anchor").select(doc, phrase_id, "phrase")
+
+    short = p.where("anchor IS NULL").drop("anchor")
+    piece = F.array_max(F.transform(_words(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = short.withColumn("__piece", piece)
+    words = keys.select("anchor").distinct().where(~F.col("anchor").contains(" "))
+    led = words.join(short, F.col("anchor").contains(F.col("__piece"))).select(phrase_id, "phrase", "anchor")
+    anchored = p.where("anchor IS NOT NULL").unionByName(led)
+    hits = keys.join(anchored, "anchor").select(doc, phrase_id, "phrase").distinct()
     full = hits.join(d.select(doc, "__text"), doc).where(F.col("__text").contains(F.col("phrase")))
-    whole = full.select(doc, phrase_id)
-    short = p.where("anchor IS NULL AND phrase <> ''").select(phrase_id, "phrase")
-    rest = d.select(doc, "__text").join(short, F.col("__text").contains(F.col("phrase"))).select(doc, phrase_id)
-    return whole.unionByName(rest)
+    return full.select(doc, phrase_id)
 
 
 # Paragraph diff.

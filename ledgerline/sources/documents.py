@@ -116,23 +116,31 @@ def insider_forms(docs: DataFrame, column: str = "xml", carry: Sequence[str] = (
     )
     name = F.trim(F.coalesce(owner["reportingOwnerId"]["rptOwnerName"], F.lit("")))
 
-    def rows(path: str, table: str, post: bool) -> DataFrame:
-        t = d.select(*carry, name.alias("insider"), title.alias("title"), F.explode(path).alias("t"))
-        number = lambda c: F.regexp_replace(F.trim(c), ",", "").try_cast("double")
-        amounts = F.col("t.transactionAmounts")
-        shares, price = number(amounts["transactionShares"]["value"]), number(amounts["transactionPricePerShare"]["value"])
-        day = F.try_to_date(F.trim("t.transactionDate.value"), "yyyy-MM-dd")
-        after = number(F.col("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value"))
-        total = (shares.cast("decimal(18,4)") * price.cast("decimal(18,4)")).cast("decimal(28,2)").cast("double")
-        return t.select(
-            *carry, "insider", "title", F.coalesce(day, F.col("filed")).alias("txn_date"),
-            transaction_type(F.trim(F.coalesce("t.transactionCoding.transactionCode", F.lit("")))).alias("transaction_type"),
-            F.coalesce(shares, F.lit(0.0)).alias("shares"), price.alias("price"), total.alias("total_value"),
-            (after if post else F.lit(None).cast("double")).alias("shares_after"), F.lit(table).alias("table"),
-        )
-
-    return rows("x.nonDerivativeTable.nonDerivativeTransaction", "non_derivative", True).unionByName(
-        rows("x.derivativeTable.derivativeTransaction", "derivative", False)
+    def tagged(path: str, table: str) -> Column:
+        rows = F.coalesce(F.col(path), F.array().cast(f"array<{TRADE}>"))
+        return F.transform(rows, lambda t: F.struct(t.alias("t"), F.lit(table).alias("table")))
+
+    # Both tables in one pass, so that each document is parsed once.
+    every = F.concat(
+        tagged("x.nonDerivativeTable.nonDerivativeTransaction", "non_derivative"),
+        tagged("x.derivativeTable.derivativeTransaction", "derivative"),
+    )
+    t = d.select(*carry, name.alias("insider"), title.alias("title"), F.explode(every).alias("e"))
+    t = t.select(*carry, "insider", "title", "e.t", "e.table")
+
+    def number(c: str) -> Column:
+        return F.regexp_replace(F.trim(F.col(c)), ",", "").try_cast("double")
+
+    shares = number("t.transactionAmounts.transactionShares.value")
+    price = number("t.transactionAmounts.transactionPricePerShare.value")
+    after = number("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value")
+    day = F.try_to_date(F.trim("t.transactionDate.value"), "yyyy-MM-dd")
+    total = (shares.cast("decimal(18,4)") * price.cast("decimal(18,4)")).cast("decimal(28,2)").cast("double")
+    return t.select(
+        *carry, "insider", "title", F.coalesce(day, F.col("filed")).alias("txn_date"),
+        transaction_type(F.trim(F.coalesce("t.transactionCoding.transactionCode", F.lit("")))).alias("transaction_type"),
+        F.coalesce(shares, F.lit(0.0)).alias("shares"), price.alias("price"), total.alias("total_value"),
+        F.when(F.col("table") == "non_derivative", after).alias("shares_after"), "table",
     )
 
 
