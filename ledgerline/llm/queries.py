@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import simhash
+from ledgerline.llm import licenses, simhash
 from ledgerline.llm.common import table
 
 QUERIES: dict = {}
@@ -20,3 +20,12 @@ def query(fn):
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_licenses"] = licenses.ORACLE
