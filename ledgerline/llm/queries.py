@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import licenses, simhash
+from ledgerline.llm import licenses, mixing, simhash
 from ledgerline.llm.common import table
 
 QUERIES: dict = {}
@@ -29,3 +30,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_licenses"] = licenses.ORACLE
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+                        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
