@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import licenses, mixing, simhash
+from ledgerline.llm import chat, licenses, mixing, pages, reshard, simhash
 from ledgerline.llm.common import table
 
 QUERIES: dict = {}
@@ -38,3 +38,34 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                         F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of one made of control strings, read back from their format."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(
+        f"SELECT * FROM VALUES (-1L, 0L, 'user', '{chat.PROBE}'), (-1L, 1L, 'assistant', '{chat.PROBE}') AS t(conv_id, turn, role, text)"
+    )
+    return chat.digests(chat.reconstruct(chat.turn_events(given.union(probe))))
+
+
+ORACLES["op6_chat"] = chat.ORACLE
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents moved from five shards, filled by source, to eight of equal counts."""
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.xxhash64("source"), F.lit(5))
+    rows = docs.select("source", *reshard.measures("doc_id", "text"))
+    placed = reshard.reshard(rows, old, 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+
+
+@query
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = pages.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
