@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, licenses, mixing, pages, reshard, simhash
+from ledgerline.llm import chat, decontam, licenses, mixing, pages, reshard, simhash, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict = {}
@@ -69,3 +69,19 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     found = pages.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items they contain."""
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op2_decontamination"] = decontam.ORACLE
