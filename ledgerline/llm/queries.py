@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontam, licenses, mixing, pages, reshard, simhash, toxicity
+from ledgerline.llm import chat, decontam, licenses, mixing, pages, reshard, simhash, toxicity, vectors
 from ledgerline.llm.common import table
 
 QUERIES: dict = {}
@@ -85,3 +85,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_decontamination"] = decontam.ORACLE
+
+
+@query
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
