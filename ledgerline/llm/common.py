@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -30,6 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, in compressed columns, for tables that grow with the corpus.
+
+    The files stay in the checkpoint folder, under the application's name.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc.getCheckpointDir()}/{sc.applicationId}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case, every other character as it is; NULL becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)

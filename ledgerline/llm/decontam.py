@@ -135,11 +135,14 @@ def _candidates(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 def shingles(text: Column, words: int = WORDS) -> Column:
     """Distinct word shingles of a text as strings, natively."""
     tokens = F.regexp_extract_all(lowered(text), F.lit(WORDLIKE), F.lit(0))
-    n = F.size(tokens)
-    made = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, words), " ")
-    )
-    return F.when(n > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    def made(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - words + 1, F.lit(1)))
+        parts = F.transform(starts, lambda i: F.array_join(F.slice(t, i, words), " "))
+        return F.when(F.size(t) > 0, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
+
+    # Bound once: inside a lambda the split would be done again for every shingle.
+    return F.element_at(F.transform(F.array(tokens), made), 1)
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED, id: str = "doc_id", text: str = "text",

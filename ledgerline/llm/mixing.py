@@ -185,8 +185,8 @@ def taken_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
     ))
     passes = passes.withColumn("mix_own", own)
     tokens = F.split(F.regexp_replace(F.col(text), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    part = F.array_join(F.flatten(F.transform(
-        "mix_own", lambda p: F.slice(tokens, (p["first"] + 1).cast("int"), p["words"].cast("int"))
-    )), "")
+    part = F.element_at(F.transform(F.array(tokens), lambda t: F.array_join(F.flatten(F.transform(
+        "mix_own", lambda p: F.slice(t, (p["first"] + 1).cast("int"), p["words"].cast("int"))
+    )), "")), 1)
     whole = F.expr("aggregate(mix_own, 0L, (a, p) -> a + p.words)") == F.col("mix_size")
     return passes.withColumn(text, F.when(whole, F.col(text)).otherwise(F.regexp_replace(part, r"[\x20\x09-\x0D]+$", "")))
