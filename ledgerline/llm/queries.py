@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontam, licenses, mixing, pages, reshard, simhash, toxicity, vectors
+from ledgerline.llm import chat, decontam, licenses, mixing, pages, repeats, reshard, simhash, toxicity, vectors
 from ledgerline.llm.common import table
 
 QUERIES: dict = {}
@@ -91,3 +91,9 @@ ORACLES["op2_decontamination"] = decontam.ORACLE
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of all documents without repeated strings of 200 bytes."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
