@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import cut, runs
 from ledgerline.llm.components import components
+from ledgerline.llm.vectors import plan
 
 SEED = 42
 # Fingerprints per grid cell above which the cell is searched by neighbour values.
@@ -139,3 +141,136 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id: str =
     return marked.join(named, "fp").select(
         F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# Wider reach: similarity of shingle sets instead of two bits.
+WIDE_BITS = 256
+BUCKET = 512
+BLOCK = 2048
+_SEGMENT = 16
+_STRIP = 128
+
+
+def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
+    """A SimHash of 256 bits over a text's distinct word shingles, as four numbers."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(WIDE_BITS // 64, np.int64)
+    width = min(words, len(tokens))
+    digest = xxhash.xxh64_intdigest
+    seen = {digest(b" ".join(tokens[i : i + width]), SEED) for i in range(len(tokens) - width + 1)}
+    base = np.fromiter(seen, np.uint64, len(seen))
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(base), _BLOCK):
+        part, bits = base[at : at + _BLOCK], []
+        for k in range(WIDE_BITS // 64):
+            h = (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF | 1)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            bits.append(np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1))
+        ones += np.concatenate(bits, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(base)).view(np.int64)
+
+
+def reach(similarity: float) -> int:
+    """Differing bits of 256 expected at a Jaccard similarity of shingle sets, the sets being of like size."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(round(WIDE_BITS * np.arccos(cosine) / np.pi))
+
+
+def _cell_keys(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """One grid cell per table: the bit counts of ``bits`` one-bit segments drawn from the fingerprint."""
+    flat = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
+    rng = np.random.default_rng(SEED)
+    axes = np.concatenate([rng.permutation(WIDE_BITS) for _ in range(bits * tables // WIDE_BITS + 1)])[: bits * tables]
+    return (flat[:, axes].reshape(len(prints), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
+
+
+def block_sets(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> np.ndarray:
+    """Each row's set (its smallest row) when rows of two blocks within ``radius`` bits are joined.
+
+    The Manhattan distance of the bit counts of 16-bit segments bounds the
+    distance from below; pairs it leaves are compared exactly.
+    """
+    count = lambda p: np.bitwise_count(p.view(np.uint16)).astype(np.float32)
+    offset, n = 0 if same else len(left), len(left)
+    a, b = count(left), count(right)
+    parent = np.arange(n + (0 if same else len(right)))
+    for at in range(0, n, _STRIP):
+        low = np.zeros((min(_STRIP, n - at), len(right)), np.float32)
+        for s in range(a.shape[1]):
+            low += np.abs(a[at : at + _STRIP, s, None] - b[None, :, s])
+        i, j = np.nonzero(low <= radius)
+        i = i + at
+        if same:
+            i, j = i[i < j], j[i < j]
+        near = np.bitwise_count((left[i] ^ right[j]).view(np.uint64)).sum(axis=1) <= radius
+        i, j = i[near], j[near] + offset
+        while len(i):
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            lo, hi = np.minimum(parent[i], parent[j]), np.maximum(parent[i], parent[j])
+            if (lo == hi).all():
+                break
+            np.minimum.at(parent, hi, lo)
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, bucket: int = BUCKET,
+                   id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component) for every row: texts whose word shingles are ``similarity`` alike are linked.
+
+    Equal fingerprints are one node. Nodes meet in sampled grid cells, in as
+    many tables as the recall at the threshold asks for; the number of axes of
+    a cell follows from the number of nodes, so that cells stay near ``bucket``
+    rows. Cells beyond 2,048 rows are split into blocks, and each pair of
+    blocks is its own task, which reports one edge per row that has a partner.
+    Nulls, empty texts, repeats and empty tables are as in
+    :func:`near_duplicates`; texts without words form one group.
+    """
+    radius = reach(similarity)
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(x, words).tolist() for x in texts], dtype="object")
+
+    marked = cut(docs.select(F.col(id).alias("id"), of(F.col(text)).alias("prints")).withColumn("node", F.xxhash64("prints")))
+    nodes = cut(marked.groupBy("node").agg(F.first("prints").alias("prints")))
+    bits, tables = plan(nodes.count(), 2 * similarity / (1 + similarity), recall, bucket)
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                keys = _cell_keys(np.stack(batch["prints"].to_numpy()).astype(np.int64), bits, tables)
+                yield batch.assign(cells=keys.tolist())
+
+    spread = nodes.mapInPandas(index, "node long, prints array<long>, cells array<long>").select(
+        "node", "prints", F.posexplode("cells").alias("grid", "cell")
+    )
+    sizes = spread.groupBy("grid", "cell").agg(F.count("*").alias("held")).where("held > 1")
+    members = spread.join(sizes, ["grid", "cell"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    members = members.withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    work = members.select("node", "prints", "own", i.alias("i"), j.alias("j"), F.xxhash64("grid", "cell", i, j).alias("task"))
+    work = work.repartition("task").sortWithinPartitions("task", "node")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for one in runs(batches, ["task"]):
+            own, i, j = one["own"].to_numpy(), one["i"].iloc[0], one["j"].iloc[0]
+            sides = [one[own == i], one[own == j]] if i != j else [one, one]
+            if not len(sides[0]) or not len(sides[1]):
+                continue
+            data = [np.stack(s["prints"].to_numpy()).astype(np.int64) for s in sides]
+            parent = block_sets(data[0], data[1], i == j, radius)
+            names = sides[0]["node"].to_numpy() if i == j else np.concatenate([s["node"].to_numpy() for s in sides])
+            linked = parent != np.arange(len(parent))
+            yield pd.DataFrame({"a": names[linked], "b": names[parent[linked]]})
+
+    roots = components(work.mapInPandas(compare, "a long, b long"))
+    firsts = marked.groupBy("node").agg(F.min("id").alias("first"))
+    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select("node", "component_id")
+    return marked.join(named, "node").select(F.col("id").alias(id), "component_id")
