@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import unsigned_hash_of_id
+from ledgerline.llm.common import cut, unsigned_hash_of_id
 
 GRAM = 4
 SLOTS = 1 << 20
@@ -114,15 +114,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         return []
     prior = min(max(row["p"] / row["n"], 1e-4), 1 - 1e-4)
     seen = docs.where(~held_out(F.col(id))).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    toxic = seen.join(known.where("y = 1").select(F.col(id).alias("id")), "id", "left_semi")
-    parts = []
+    toxic = seen.select("id").join(known.where("y = 1").select(F.col(id).alias("id")), "id", "left_semi")
+    # Ids are drawn first, so that texts of the bounded sample alone are moved.
+    chosen = None
     for m in range(members):
         for kind, rows, most in ((1, toxic, positives), (0, seen, unlabelled)):
-            drawn = rows.orderBy(F.xxhash64(F.lit(m), F.lit(kind), "id"), "id").limit(most)
-            parts.append(drawn.select(F.lit(m).alias("member"), F.lit(kind).alias("kind"), "text"))
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.union(part)
+            ids = rows.select("id").distinct().orderBy(F.xxhash64(F.lit(m), F.lit(kind), "id"), "id").limit(most)
+            ids = ids.select(F.lit(m).alias("member"), F.lit(kind).alias("kind"), "id")
+            chosen = ids if chosen is None else chosen.union(ids)
+    sample = seen.join(F.broadcast(cut(chosen)), "id").dropDuplicates(["member", "kind", "id"])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         slots, weights, bias = train(pdf["text"][pdf["kind"] == 1], pdf["text"][pdf["kind"] == 0], prior)
