@@ -172,9 +172,12 @@ def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
 
 
 def reach(similarity: float) -> int:
-    """Differing bits of 256 expected at a Jaccard similarity of shingle sets, the sets being of like size."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(round(WIDE_BITS * np.arccos(cosine) / np.pi))
+    """Bits of 256 within which all but a fifteenth of pairs with that Jaccard similarity of shingle sets differ.
+
+    The expected number for sets of like size and one and a half deviations.
+    """
+    part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(WIDE_BITS * part + 1.5 * np.sqrt(WIDE_BITS * part * (1 - part))))
 
 
 def _cell_keys(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
