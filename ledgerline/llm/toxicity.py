@@ -18,6 +18,7 @@ POSITIVES = 2000
 UNLABELLED = 6000
 FEATURES = 4096
 STEPS = 300
+MARKS = 50
 _SCALE = 0.2
 _PENALTY = 1e-5
 _RATE = 0.1
@@ -59,15 +60,25 @@ def train(positive: pd.Series, unlabelled: pd.Series, prior: float) -> tuple[np.
     positives, which the last term takes out again. Where that estimate turns
     negative the step goes up it instead, so that the model does not memorise
     the positives.
+
+    ``prior`` is lowered where the texts say so: a gram is at least as frequent
+    in the unlabelled texts as prior times its frequency in the positives, and
+    for grams that only positives have the ratio is the prior itself. Its median
+    over the fifty clearest grams is an upper bound, also where the labelled
+    rows aren't a fair sample.
     """
     n_p, n_u = len(positive), len(unlabelled)
-    bias = float(np.log(prior / (1 - prior)))
     if not n_p or not n_u:
-        return np.zeros(0, np.int64), np.zeros(0), bias
+        return np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior)))
     (p_slot, p_row), (u_slot, u_row) = _rows(positive), _rows(unlabelled)
     p_has, u_has = np.bincount(p_slot, minlength=SLOTS), np.bincount(u_slot, minlength=SLOTS)
     both = (p_has + u_has + 1) / (n_p + n_u + 2)
     lift = (p_has / n_p - u_has / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    marks = np.argsort(-lift, kind="stable")[:MARKS]
+    marks = marks[lift[marks] > 4]
+    if len(marks):
+        prior = min(prior, max(1e-3, float(np.median((u_has[marks] / n_u) / (p_has[marks] / n_p)))))
+    bias = float(np.log(prior / (1 - prior)))
     slots = np.sort(np.argsort(-lift, kind="stable")[:FEATURES])
     slots = slots[lift[slots] > 4]
     at = np.full(SLOTS, -1, np.int32)
