@@ -15,9 +15,9 @@ from ledgerline.llm.common import runs, written
 
 LENGTH = 200
 GRAM = 50
-# Bytes of text a task hashes at once, and bytes of strings in one transform.
-_CHUNK = 1 << 20
-_TRANSFORM = 1 << 20
+# Bytes of text a task hashes at once, and bytes of strings from which a transform is closed.
+_CHUNK = 1 << 18
+_TRANSFORM = 60_000
 # Different strings under one key from which their windows are told apart by Spark instead.
 CROWDED = 2048
 _BASE = 0x9E3779B97F4A7C15
@@ -93,20 +93,27 @@ def window_runs(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     return own, first - begin, last - first + 1, keys.astype(np.int64), content.astype(np.int64), np.isin(keys, again).astype(np.int64)
 
 
-def _suffixes(text: np.ndarray, strings: int) -> np.ndarray:
-    """Suffix array of symbols of which 0 .. strings - 1 end the strings, by doubling sorted prefixes."""
+def _order(high: np.ndarray, low: np.ndarray, limit: int) -> np.ndarray:
+    """Places sorted by (high, low), numbers below ``limit``; two passes by digits where these are short."""
+    if limit <= 1 << 16:
+        first = np.argsort(low.astype(np.uint16), kind="stable")
+        return first[np.argsort(high.astype(np.uint16)[first], kind="stable")]
+    return np.argsort(high.astype(np.int64) * limit + low, kind="stable")
+
+
+def _suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by their first ``depth`` symbols or more, by doubling sorted prefixes."""
     n = len(text)
     order = np.argsort(text, kind="stable")
-    rank = np.zeros(n, np.int64)
-    step = 1
+    rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], text[order][1:] != text[order][:-1]]))
-    while rank[order[-1]] < n - 1:
-        ahead = np.full(n, -1, np.int64)
-        ahead[: n - step] = rank[step:]
-        key = rank * (n + 1) + ahead + 1
-        order = np.argsort(key, kind="stable")
-        sorted_keys = key[order]
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_keys[1:] != sorted_keys[:-1]]))
+    step = 1
+    while step < depth and rank[order[-1]] < n - 1:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - step] = rank[step:] + 1
+        order = _order(rank, ahead, n + 1)
+        a, b = rank[order], ahead[order]
+        rank[order] = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         step *= 2
     return order
 
@@ -130,7 +137,7 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH) -> list[np.ndar
     text[ends] = np.arange(count)
     text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + count
     n = len(text)
-    suffix = _suffixes(text, count)
+    suffix = _suffixes(text, length)
     before = text[suffix - 1]  # the transform; place 0 wraps to an end symbol
     step = np.empty(n, np.int64)
     step[np.argsort(before, kind="stable")] = np.arange(n)
@@ -149,7 +156,7 @@ def repeated_windows(strings: list[bytes], length: int = LENGTH) -> list[np.ndar
         if not len(rows):
             break
         target, symbol = step[rows], before[rows]
-        order = np.lexsort((target, which))
+        order = _order(which, target, n)
         which, target, symbol = which[order], target[order], symbol[order]
         new = np.concatenate([[True], (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])])
         low = target[new]
@@ -187,8 +194,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowde
     bytes, are counted by key, and keys seen once are dropped. Runs of equal
     content are one class: a key with one class has copies only, all of them
     repeated. Where classes differ, one string per class is fetched, and
-    strings of the same keys meet in Burrows-Wheeler transforms of about a
-    megabyte. Keys with very many classes (such as a common line among
+    strings of the same keys meet in Burrows-Wheeler transforms of some ten
+    thousand bytes, more only where one key has more. Keys with very many classes (such as a common line among
     different ones) take another exact way: their windows are grouped by a
     128-bit hash with map-side combine, so no task holds such a key.
     """
@@ -256,11 +263,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowde
             return part[["key", "content"]].assign(spans=out)
 
         for one in runs(batches, ["key"]):
-            held.append(one)
-            size += int(one["data"].map(len).sum())
-            if size >= _TRANSFORM:
+            more = int(one["data"].map(len).sum()) + len(one)
+            if held and size + more > _TRANSFORM:
                 yield flush()
                 held, size = [], 0
+            held.append(one)
+            size += more
         if held:
             yield flush()
 
