@@ -82,8 +82,8 @@ UNION ALL SELECT cik, ticker, 1 FROM (SELECT * FROM fx_company WHERE starts_with
 """)
 def tiered_search(i):
     c = i.fx_company
-    return en.tiered_search(c, "t0020-a").select("cik", "ticker", "tier").union(
-        en.tiered_search(c, "t001").select("cik", "ticker", "tier"))
+    return en.tiered_search(c, "t0020-a", 10).select("cik", "ticker", "tier").union(
+        en.tiered_search(c, "t001", 10).select("cik", "ticker", "tier"))
 
 
 @query("enrich_profile", """
@@ -198,7 +198,7 @@ def screen_ranges(i):
         (F.col("net_income") / F.col("revenue")).alias("net_margin"), F.col("eps_diluted").alias("eps"),
         F.try_divide("long_term_debt", "stockholders_equity").alias("de_ratio"))
     return sc.screen_ranges(df, {"sector": " A ", "gross_margin_min": 0.3, "net_margin_max": 0.5, "de_ratio_max": 2,
-                                 "eps_min": 1, "net_income_min": 1000, "revenue_min": 10})
+                                 "eps_min": 1, "net_income_min": 1000, "revenue_min": 10}, 50)
 
 
 COMPOSED = f"""{NEWEST}, prev AS (SELECT * FROM (SELECT cik, revenue AS prior_revenue, row_number() OVER (PARTITION BY cik ORDER BY fy DESC) AS rn FROM fx_wide) x WHERE rn = 2),

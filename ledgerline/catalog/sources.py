@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerline.catalog.registry import query
+from ledgerline.functions import concepts as C
 from ledgerline.functions.ratios import with_ratios
 from ledgerline.operators import compare as cp
 from ledgerline.operators import ownership as ow
@@ -88,7 +89,7 @@ def insider_forms(i):
 
 @query("holding_reports", """
 WITH r AS (SELECT institution AS filer, upper(name) AS issuer, h.shares, cast(value AS decimal(18,0))::double AS v FROM fx_holdings h JOIN fx_company c ON h.cik = c.cik),
-k AS (SELECT DISTINCT right(upper(name), 3) AS issuer_key FROM fx_company WHERE cik <= 20)
+k AS (SELECT DISTINCT right(upper(name), 3) AS issuer_key FROM fx_company)
 SELECT filer, issuer_key, sum(shares)::bigint AS shares, sum(v) * 1000 AS value FROM r JOIN k ON contains(issuer, issuer_key) GROUP BY filer, issuer_key
 """)
 def holding_reports(i):
@@ -100,7 +101,7 @@ def holding_reports(i):
     # One report per filer and hundred companies, as filers split long lists.
     g = h.groupBy(F.col("institution").alias("filer"), (F.col("cik") / 100).cast("int").alias("part")).agg(F.array_join(F.collect_list(row), "").alias("body"))
     docs = g.select("filer", F.concat(F.lit("<informationTable>"), "body", F.lit("</informationTable>")).alias("xml"))
-    keys = i.fx_company.where("cik <= 20").select(F.upper(F.right("name", F.lit(3))).alias("issuer_key")).distinct()
+    keys = i.fx_company.select(F.upper(F.right("name", F.lit(3))).alias("issuer_key")).distinct()
     return sd.holding_reports(docs, keys)
 
 
@@ -281,15 +282,20 @@ def stream_daily_bars(i):
 WITH p AS (SELECT cik, form, accn, max(end_date) AS report_date, min(filed) AS filed FROM fx_facts WHERE taxonomy <> 'dei' AND end_date <= filed GROUP BY cik, form, accn),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, form ORDER BY filed DESC NULLS LAST, accn) AS rn FROM p) x WHERE rn <= CASE form WHEN '10-K' THEN 3 ELSE 4 END),
 f AS (SELECT c.cik, c.accn, c.form, c.report_date, concept, value, DAYS(end_date, start_date) AS dur FROM fx_facts f JOIN c ON f.cik = c.cik AND f.accn = c.accn AND f.end_date = c.report_date
-  WHERE dimension IS NULL AND concept IN ('NetIncomeLoss', 'Assets') ),
-n AS (SELECT *, row_number() OVER (PARTITION BY cik, accn, concept ORDER BY dur DESC NULLS LAST) AS longest FROM f)
-SELECT c.cik, c.accn, c.form, c.report_date, max(CASE WHEN concept = 'NetIncomeLoss' AND longest = 1 THEN value END) AS net_income, max(CASE WHEN concept = 'Assets' THEN value END) AS total_assets,
+  WHERE dimension IS NULL AND (units = 'shares' OR units = CASE WHEN c.cik % 10 = 9 THEN 'EUR' ELSE 'USD' END)),
+n AS (SELECT *, row_number() OVER (PARTITION BY cik, accn, concept ORDER BY dur DESC NULLS LAST, value) AS longest FROM f),
+r(tag, priority) AS (VALUES """ + ", ".join(f"('{r.tag}', {r.priority})" for r in C.default_rules() if r.metric == "revenue" and r.industry in ("*", "standard") and not r.aggregate) + """),
+o AS (SELECT cik, accn, 1 AS step, priority, 0.0 AS size, value FROM n JOIN r ON concept = tag WHERE longest = 1
+  UNION ALL SELECT cik, accn, 3, 0, -abs(value), value FROM n WHERE longest = 1 AND NOT regexp_matches(concept, '(?i)(""" + "|".join(C.FORECAST_WORDS) + """)') AND regexp_matches(concept, '(?i)(_Revenues$|_Revenue$|_TotalRevenue$|_TotalRevenues$)')),
+v AS (SELECT cik, accn, value AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY cik, accn ORDER BY step, priority, size) AS k FROM o) x WHERE k = 1)
+SELECT c.cik, c.accn, c.form, c.report_date, max(v.revenue) AS revenue, max(CASE WHEN concept = 'NetIncomeLoss' AND longest = 1 THEN value END) AS net_income, max(CASE WHEN concept = 'Assets' THEN value END) AS total_assets,
+ max(CASE WHEN concept = 'NetIncomeLoss' AND longest = 1 THEN value END) / nullif(max(v.revenue), 0) AS net_margin,
  max(CASE WHEN concept = 'NetIncomeLoss' AND longest = 1 THEN value END) / max(CASE WHEN concept = 'Assets' THEN value END) AS return_on_assets
-FROM c JOIN n ON c.cik = n.cik AND c.accn = n.accn GROUP BY c.cik, c.accn, c.form, c.report_date
+FROM c JOIN n ON c.cik = n.cik AND c.accn = n.accn LEFT JOIN v ON c.cik = v.cik AND c.accn = v.accn GROUP BY c.cik, c.accn, c.form, c.report_date
 """)
 def historical_extract(i):
     out = plan.historical_extract(i.fx_facts, {"10-K": 3}, 4)
-    return out.select("cik", "accn", "form", "report_date", "net_income", "total_assets", "return_on_assets")
+    return out.select("cik", "accn", "form", "report_date", "revenue", "net_income", "total_assets", "net_margin", "return_on_assets")
 
 
 @query("metric_subset", "SELECT cik, end_date, revenue, ebitda FROM fx_wide")

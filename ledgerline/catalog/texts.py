@@ -24,12 +24,12 @@ def phrase_search(i):
 WITH p AS (SELECT a.doc_id, a.text AS t1, b.text AS t2 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
 x AS (SELECT doc_id, unnest(string_split(t1, chr(10))) AS para, unnest(range(0, len(string_split(t1, chr(10))))) AS pos FROM p),
 y AS (SELECT doc_id, unnest(string_split(t2, chr(10))) AS para, unnest(range(0, len(string_split(t2, chr(10))))) AS pos FROM p),
-kx AS (SELECT doc_id, left(lower(trim(regexp_replace(para, '\s+', ' ', 'g'))), 100) AS k, arg_max(para, pos) AS para, min(pos) AS pos FROM x WHERE trim(regexp_replace(para, '\s+', ' ', 'g')) <> '' GROUP BY 1, 2),
-ky AS (SELECT doc_id, left(lower(trim(regexp_replace(para, '\s+', ' ', 'g'))), 100) AS k, arg_max(para, pos) AS para, min(pos) AS pos FROM y WHERE trim(regexp_replace(para, '\s+', ' ', 'g')) <> '' GROUP BY 1, 2),
+kx AS (SELECT doc_id, lower(trim(regexp_replace(para, '\s+', ' ', 'g'))) AS k, arg_max(para, pos) AS para, min(pos) AS pos FROM x WHERE trim(regexp_replace(para, '\s+', ' ', 'g')) <> '' GROUP BY 1, 2),
+ky AS (SELECT doc_id, lower(trim(regexp_replace(para, '\s+', ' ', 'g'))) AS k, arg_max(para, pos) AS para, min(pos) AS pos FROM y WHERE trim(regexp_replace(para, '\s+', ' ', 'g')) <> '' GROUP BY 1, 2),
 a AS (SELECT doc_id, count(*) AS n, string_agg(para, chr(10) || chr(10) ORDER BY pos) AS t FROM ky WHERE NOT EXISTS (SELECT 1 FROM kx WHERE kx.doc_id = ky.doc_id AND kx.k = ky.k) GROUP BY doc_id),
 r AS (SELECT doc_id, count(*) AS n, string_agg(para, chr(10) || chr(10) ORDER BY pos) AS t FROM kx WHERE NOT EXISTS (SELECT 1 FROM ky WHERE kx.doc_id = ky.doc_id AND kx.k = ky.k) GROUP BY doc_id)
-SELECT p.doc_id, coalesce(a.n, 0)::int AS n_added, coalesce(r.n, 0)::int AS n_removed, (length(t2) - length(t1))::int AS length_change, md5(CASE WHEN length(a.t) > 5000 THEN left(a.t, 5000) || chr(10) || '[...truncated...]' ELSE coalesce(a.t, '') END) AS added_md5,
- md5(CASE WHEN length(r.t) > 5000 THEN left(r.t, 5000) || chr(10) || '[...truncated...]' ELSE coalesce(r.t, '') END) AS removed_md5 FROM p LEFT JOIN a ON p.doc_id = a.doc_id LEFT JOIN r ON p.doc_id = r.doc_id
+SELECT p.doc_id, coalesce(a.n, 0)::int AS n_added, coalesce(r.n, 0)::int AS n_removed, (length(t2) - length(t1))::int AS length_change, md5(coalesce(a.t, '')) AS added_md5,
+ md5(coalesce(r.t, '')) AS removed_md5 FROM p LEFT JOIN a ON p.doc_id = a.doc_id LEFT JOIN r ON p.doc_id = r.doc_id
 """)
 def diff_sections(i):
     # Every document against the one after it; the data has no blank lines.
@@ -84,14 +84,17 @@ def _with_figures(i):
 
 
 @query("entity_counts", r"""
-WITH e AS (SELECT doc_id, 'PERCENT' AS label, trim(e) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' ' || (doc_id % 90) || '.5% and ' || (doc_id % 90) || '.5% or ' || (doc_id % 7) || ' %', '\d+\.?\d*\s*%')) AS e FROM documents))
+WITH d AS (SELECT doc_id, text || ' ' || (doc_id % 90) || '.5% and ' || (doc_id % 90) || '.5% or ' || (doc_id % 7) || ' %' AS text FROM documents),
+e AS (SELECT doc_id, 'PERCENT' AS label, trim(e) AS entity FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\d+\.?\d*\s*%')) AS e FROM d)
+UNION ALL SELECT doc_id, 'MONEY', trim(e) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\$[\d,]+(?:\.\d+)?(?:\s*(?:million|billion|thousand|mn|bn|k))?')) AS e FROM d)
+UNION ALL SELECT doc_id, 'DATE', trim(e) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:Q[1-4]\s*\d{4}|fiscal\s+year\s+\d{4}|FY\s*\d{2,4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})')) AS e FROM d))
 SELECT doc_id, label, count(DISTINCT entity) AS n FROM e GROUP BY doc_id, label
 """)
 def entity_counts(i):
     d = F.col("doc_id")
     half = (d % 90).cast("string")
     text = F.concat("text", F.lit(" "), half, F.lit(".5% and "), half, F.lit(".5% or "), (d % 7).cast("string"), F.lit(" %"))
-    return tx.entity_counts(tx.entities(i.documents.select("doc_id", text.alias("text"))).where("label = 'PERCENT'"))
+    return tx.entity_counts(tx.entities(i.documents.select("doc_id", text.alias("text"))))
 
 
 @query("weighted_labels", """
@@ -145,7 +148,7 @@ def clean_filing_text(i):
 
 @query("signature_blocks", r"""
 WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Power of Attorney ' || text WHEN doc_id % 3 = 1 THEN text || ' /s/ Ann /s/ Bob /s/ Cy' ELSE text END AS text FROM documents)
-SELECT doc_id, length(trim(text)) >= 100 AND (contains(lower(left(text, 3000)), 'power of attorney') OR len(regexp_extract_all(left(text, 5000), '/s/\s*[A-Z][a-z]+')) >= 3) AS signature FROM t
+SELECT doc_id, length(trim(text)) >= 100 AND (contains(lower(text), 'power of attorney') OR len(regexp_extract_all(text, '/s/\s*[A-Z][a-z]+')) >= 3) AS signature FROM t
 """)
 def signature_blocks(i):
     t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Power of Attorney "), "text")).when(

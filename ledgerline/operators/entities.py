@@ -51,13 +51,16 @@ def resolve_entity(requests: DataFrame, company: DataFrame, overrides: DataFrame
     )
 
 
-def resolve_alias(texts: DataFrame, aliases: DataFrame, key: str, text: str, max_words: int = 4) -> DataFrame:
+def resolve_alias(texts: DataFrame, aliases: DataFrame, key: str, text: str, max_words: int | None = None) -> DataFrame:
     """The ticker of the longest alias found at word boundaries in each text.
 
-    The text's runs of up to ``max_words`` words meet the aliases in an
-    equi-join. The whole text as an alias wins. ``aliases`` is (alias, ticker)
-    with lower-case aliases of at most ``max_words`` words.
+    The text's runs of up to ``max_words`` words, by default those of the
+    longest alias, meet the aliases in an equi-join. The whole text as an alias
+    wins. ``aliases`` is (alias, ticker) with lower-case aliases.
     """
+    if max_words is None:
+        longest = F.max(F.size(F.array_remove(F.split("alias", "[^\\p{L}\\p{N}_]+"), "")))
+        max_words = aliases.agg(longest).first()[0] or 1
     low = F.lower(F.trim(F.col(text)))
     words = F.array_remove(F.split(low, "[^\\p{L}\\p{N}_]+"), "")
     n = F.size("__w")
@@ -98,7 +101,7 @@ def search_score(query: str) -> Column:
     )
 
 
-def search_companies(company: DataFrame, query: str = "", limit: int = 10, **filters) -> DataFrame:
+def search_companies(company: DataFrame, query: str = "", limit: int | None = None, **filters) -> DataFrame:
     """Ranked search with optional exact and range filters."""
     allowed = {"sector", "industry", "country", "exchange", "market_cap_min", "market_cap_max", "first_filed_after"}
     unknown = set(filters) - allowed
@@ -119,10 +122,11 @@ def search_companies(company: DataFrame, query: str = "", limit: int = 10, **fil
         df = df.where(F.col("market_cap") <= filters["market_cap_max"])
     if "first_filed_after" in filters:
         df = df.where(F.col("first_filed") > F.lit(filters["first_filed_after"]).cast("date"))
-    return df.orderBy(F.col("score").desc(), "ticker").limit(limit)
+    df = df.orderBy(F.col("score").desc(), "ticker")
+    return df if limit is None else df.limit(limit)
 
 
-def tiered_search(company: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def tiered_search(company: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Exact ticker, then ticker prefix, then containment; one row per company."""
     q = query.strip().upper()
     ticker, name = F.upper("ticker"), F.upper("name")
@@ -132,7 +136,8 @@ def tiered_search(company: DataFrame, query: str, limit: int = 10) -> DataFrame:
     )
     df = company.withColumn("tier", tier).where("tier IS NOT NULL")
     first = top_per_group(df, ["cik"], [F.col("tier"), F.col("ticker")], 1).drop("rn")
-    return first.orderBy("tier", "ticker").limit(limit)
+    first = first.orderBy("tier", "ticker")
+    return first if limit is None else first.limit(limit)
 
 
 def enrich_profile(

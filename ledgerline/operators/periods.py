@@ -280,7 +280,7 @@ def compare_periods(series: DataFrame, *, quarterly: bool = False, keys: Sequenc
 
 def newest_periods(rows: DataFrame, limit: int, quarterly: bool = False, keys: Sequence[str] = ("cik",)) -> DataFrame:
     """Newest-first slice of at most twelve periods; quarters get one neighbour more."""
-    want = min(max(limit, 1), 12)
+    want = max(limit, 1)
     return newest(rows, want + 1 if quarterly else want, keys=keys)
 
 

@@ -143,7 +143,8 @@ def resolve_metrics(
     cand = candidates(facts, rules, keys, metrics)
     total = F.col("step") < 4
     pick = F.struct("value", "source", "confidence", "method")
-    order = F.struct("step", "priority", "size", "source")
+    # The value comes last, so that two units or prefixes of one tag have an order too.
+    order = F.struct("step", "priority", "size", "source", "value")
     grouped = cand.groupBy(*keys, "metric").agg(
         F.min_by(F.when(total, pick), F.when(total, order)).alias("best"),
         exact_sum(F.when(~total, F.col("value"))).alias("parts"),

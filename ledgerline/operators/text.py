@@ -124,12 +124,12 @@ def clean_text(text: Column | str) -> Column:
 
 def is_signature_block(text: Column) -> Column:
     """Signature pages: a marker phrase, or three signed names."""
-    head = F.lower(F.substring(text, 1, 3000))
+    head = F.lower(text)
     marker = (
         head.contains("power of attorney") | head.contains("know all persons by these presents")
         | head.contains("pursuant to the requirements of the securities exchange act of 1934, this report has been signed")
     )
-    names = F.regexp_count(F.substring(text, 1, 5000), F.lit(r"/s/\s*[A-Z][a-z]+"))
+    names = F.regexp_count(text, F.lit(r"/s/\s*[A-Z][a-z]+"))
     return (F.length(F.trim(text)) >= 100) & (marker | (names >= 3))
 
 
@@ -156,6 +156,21 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
+def containing(names: DataFrame, name: str, parts: DataFrame, part: str) -> DataFrame:
+    """Pairs in which ``name`` contains ``part``; an empty part is in nothing.
+
+    An equi-join on a run of up to three characters: every such run of a name
+    meets the parts that begin with it, and only those are compared.
+    """
+    def runs(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(name) - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col(name), i, F.lit(k)))
+
+    keyed = names.withColumn("__run", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
+    sought = parts.where(F.length(part) > 0).withColumn("__run", F.substring(part, 1, 3))
+    return keyed.join(sought, "__run").where(F.col(name).contains(F.col(part))).drop("__run")
+
+
 def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phrase_id: str = "item_id") -> DataFrame:
     """Documents that contain each phrase exactly, ignoring case.
 
@@ -189,7 +204,7 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phra
     piece = F.array_max(F.transform(_words(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     short = short.withColumn("__piece", piece)
     words = keys.select("anchor").distinct().where(~F.col("anchor").contains(" "))
-    led = words.join(short, F.col("anchor").contains(F.col("__piece"))).select(phrase_id, "phrase", "anchor")
+    led = containing(words, "anchor", short, "__piece").select(phrase_id, "phrase", "anchor")
     anchored = p.where("anchor IS NOT NULL").unionByName(led)
     hits = keys.join(anchored, "anchor").select(doc, phrase_id, "phrase").distinct()
     full = hits.join(d.select(doc, "__text"), doc).where(F.col("__text").contains(F.col("phrase")))
@@ -199,9 +214,9 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phra
 # Paragraph diff.
 
 def paragraphs(docs: DataFrame, key: Sequence[str], separator: str = "\n\n") -> DataFrame:
-    """Paragraphs under their normalised first hundred characters; the last of a kind stays."""
+    """Paragraphs under a digest of their normalised text; the last of a kind stays."""
     rows = docs.select(*key, F.posexplode(F.split("text", separator)).alias("pos", "para"))
-    norm = F.substring(F.lower(F.trim(F.regexp_replace("para", r"\s+", " "))), 1, 100)
+    norm = F.sha2(F.lower(F.trim(F.regexp_replace("para", r"\s+", " "))), 256)
     rows = rows.where(F.trim("para", F.lit(" \n\t\r")) != "").withColumn("para_key", norm)
     return rows.groupBy(*key, "para_key").agg(
         F.max_by("para", "pos").alias("para"), F.min("pos").alias("pos")
@@ -209,12 +224,11 @@ def paragraphs(docs: DataFrame, key: Sequence[str], separator: str = "\n\n") ->
 
 
 def diff_sections(
-    old: DataFrame, new: DataFrame, key: Sequence[str], separator: str = "\n\n", shown: int = 5000
+    old: DataFrame, new: DataFrame, key: Sequence[str], separator: str = "\n\n"
 ) -> DataFrame:
-    """Added and removed paragraphs between two versions of a text.
+    """Added and removed paragraphs between two versions of a text, all of them and whole.
 
-    ``old`` and ``new`` have the key columns and ``text``. The shown text is
-    cut at ``shown`` characters with a marker; the counts are complete.
+    ``old`` and ``new`` have the key columns and ``text``.
     """
     a = paragraphs(old, key, separator).select(*key, "para_key", F.col("para").alias("a"), F.col("pos").alias("ap"))
     b = paragraphs(new, key, separator).select(*key, "para_key", F.col("para").alias("b"), F.col("pos").alias("bp"))
@@ -223,9 +237,7 @@ def diff_sections(
     removed = F.when(F.col("b").isNull(), F.struct(F.col("ap"), F.col("a")))
 
     def text(c: str, field: str) -> Column:
-        joined = F.array_join(F.transform(c, lambda x: x[field]), "\n\n")
-        cut = F.concat(F.substring(joined, 1, shown), F.lit("\n[...truncated...]"))
-        return F.when(F.length(joined) > shown, cut).otherwise(joined)
+        return F.array_join(F.transform(c, lambda x: x[field]), "\n\n")
 
     changes = both.groupBy(*key).agg(
         F.array_sort(F.collect_list(added)).alias("__add"), F.array_sort(F.collect_list(removed)).alias("__rem")
@@ -355,70 +367,58 @@ def last_turns(turns: DataFrame, n: int = 6) -> DataFrame:
 
 # Sections by page anchor.
 
-class _Nodes(HTMLParser):
-    """Text pieces and the elements open or started before each of them."""
-
-    TAGS = frozenset("a div span p h1 h2 h3 h4 b font".split())
+class _Marked(HTMLParser):
+    """The page's text pieces in order, each with the anchors opened since the one before."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.texts: list[str] = []
-        self.elements: list[dict] = []
-        self.open: list[dict] = []
+        self.pieces: list[tuple[str, list[str]]] = []
+        self.names: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            return
-        a = dict(attrs)
-        names = [(a.get(k) or "").lower().replace(" ", "").replace("_", "") for k in ("name", "id")]
-        node = {"tag": tag, "names": names, "start": len(self.texts), "text": []}
-        if tag in self.TAGS:
-            self.elements.append(node)
-        self.open.append(node)
-
-    def handle_endtag(self, tag):
-        if tag in [n["tag"] for n in self.open]:
-            while self.open.pop()["tag"] != tag:
-                pass
+        self.names += [v for k, v in attrs if k in ("id", "name") and v]
 
     def handle_data(self, data):
-        piece = data.strip()
-        if piece:
-            for node in self.open:
-                node["text"].append(piece)
-        self.texts.append(piece)
+        if data.strip():
+            self.pieces.append((data.strip(), self.names))
+            self.names = []
 
 
-def _anchored(html: str | None, item: str, limit: int) -> str | None:
-    if not html:
-        return None
-    nodes = _Nodes()
-    nodes.feed(html)
+def _pieces(html: pd.Series) -> pd.Series:
+    def one(page):
+        parser = _Marked()
+        parser.feed(page or "")
+        parser.close()
+        return [{"text": t, "names": n} for t, n in parser.pieces]
+
+    return html.map(one)
+
+
+def anchored_section(html: Column | str, item: str) -> Column:
+    """Text from the last place that names the item, up to the next item's heading.
+
+    A place names the item if an anchor opened before it holds the item's
+    number, or if a heading of under 120 characters says "item" and it. The
+    parser only splits the page; start and end are found in the pieces. NULL
+    where the item is not named.
+    """
+    pieces = F.pandas_udf(_pieces, "array<struct<text:string,names:array<string>>>")(html)
     label, bare = f"item {item}".lower(), item.replace(" ", "").lower()
-    start = None
-    for el in nodes.elements:
-        said = "".join(el["text"])
-        if any(bare in n for n in el["names"]) or (len(said) < 120 and label in said.lower()):
-            start = el["start"]
-    if start is None:
-        return None
-    out, size = [], 0
-    header = re.compile(r"item\s+\d+[a-z]*[.\s:\-]", re.I)
-    for piece in nodes.texts[start:]:
-        if not piece:
-            continue
-        if size > 500 and header.search(piece) and label not in piece.lower()[:30]:
-            break
-        out.append(piece)
-        size += len(piece)
-        if size > limit:
-            break
-    return "\n".join(out) or None
-
-
-def anchored_section(html: Column | str, item: str, limit: int = 150_000) -> Column:
-    """Text after the last element that names the item, up to the next item."""
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: _anchored(x, item, limit))
-
-    return F.pandas_udf(run, "string")(html)
+
+    def names_it(p: Column) -> Column:
+        plain = F.transform(p["names"], lambda n: F.regexp_replace(F.lower(n), "[ _]", ""))
+        return F.exists(plain, lambda n: n.contains(bare)) | (
+            (F.length(p["text"]) < 120) & F.lower(p["text"]).contains(label)
+        )
+
+    def other(p: Column) -> Column:
+        return p["text"].rlike(r"(?i)^item\s+\d+[a-z]*[.\s:\-]") & ~F.lower(p["text"]).startswith(label)
+
+    def section(all_: Column) -> Column:
+        start = F.array_max(F.transform(all_, lambda p, i: F.when(names_it(p), i)))
+        rest = F.slice(all_, start + 1, F.size(all_))
+        stop = F.array_min(F.transform(rest, lambda p, i: F.when((i > 0) & other(p), i)))
+        kept = F.slice(rest, 1, F.coalesce(stop, F.size(rest)))
+        return F.when(start.isNotNull(), F.array_join(F.transform(kept, lambda p: p["text"]), "\n"))
+
+    return F.element_at(F.transform(F.array(pieces), section), 1)

@@ -94,6 +94,11 @@ def historical_extract(
     rows = facts.where(fx.is_quality_row(facts)).join(
         index.select("cik", "accn", "report_date", F.col("form").alias("__form")), ["cik", "accn"]
     ).where("end_date = report_date")
+    # A filing's own currency: rows in another one would mix into its sums and ratios.
+    money = fx.detect_currency(rows, ("cik", "accn"))
+    rows = rows.join(money, ["cik", "accn"]).where(
+        fx.unit_currency().isNull() | (fx.unit_currency() == F.col("currency")) | (F.col("currency") == "USD")
+    ).drop("currency")
     rows = fx.dedupe_facts(rows, ("cik", "accn", "concept", "taxonomy", "units", "start_date", "end_date"))
     series = ("cik", "accn", "concept", "taxonomy", "units")
     annual = fx.annual_facts(rows.where(F.col("__form").isin("10-K", "20-F")), series)

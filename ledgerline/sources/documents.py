@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.ownership import transaction_type
+from ledgerline.operators.text import containing
 
 FACT = (
     "struct<val:double,value:double,start:string,end:string,filed:string,form:string,accn:string,fy:int,fp:string>"
@@ -161,7 +162,7 @@ def holding_reports(docs: DataFrame, issuers: DataFrame, column: str = "xml", ca
     )
     # Issuer names repeat across reports: match the names once, then join.
     names = rows.select("issuer").distinct()
-    match = names.join(issuers, F.col("issuer").contains(F.col("issuer_key")))
+    match = containing(names, "issuer", issuers, "issuer_key")
     return rows.join(match, "issuer").groupBy(*carry, "issuer_key").agg(
         F.coalesce(F.sum("shares"), F.lit(0)).alias("shares"),
         F.coalesce(F.sum(F.col("value").cast("decimal(28,4)")).cast("double"), F.lit(0.0)).alias("thousands"),
