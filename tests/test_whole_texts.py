@@ -74,3 +74,27 @@ def test_more_than_a_dozen_periods(spark):
     rows = spark.createDataFrame([(1, f"20{n:02d}-12-31", 2000 + n) for n in range(20)], "cik int, end_date string, fy int")
     got = pr.newest_periods(rows.withColumn("end_date", F.to_date("end_date")), 15)
     assert got.count() == 15
+
+
+def test_subtotals_in_groups_of_any_size(spark):
+    from itertools import combinations
+
+    import numpy as np
+
+    from ledgerline.operators import segments as sg
+
+    def plain(target, others):
+        return any(abs(sum(c) - target) / target < 0.001 for k in range(2, len(others) + 1) for c in combinations(others, k))
+
+    rnd = np.random.default_rng(3)
+    for _ in range(150):
+        values = np.sort(np.round(rnd.exponential(100, int(rnd.integers(2, 9))) + 1, 2))[::-1]
+        assert sg._is_sum(values[0], values[1:]) == plain(values[0], values[1:].tolist())
+    # Powers of three have no sums among themselves; the first of each group adds up two others.
+    few = [3.0**k for k in range(19)]
+    many = [3.0**k for k in range(60)]
+    rows = [(1, f"m{k}", v) for k, v in enumerate(few)] + [(1, "sum", few[-1] + few[-2])]
+    rows += [(2, f"m{k}", v) for k, v in enumerate(many)] + [(2, "sum", many[-1] + many[-2])]
+    df = spark.createDataFrame([(c, 2020, "a", lab, v) for c, lab, v in rows], "cik int, fy int, axis string, label string, value double")
+    got = sg.drop_subtotals(df, max_others=None).groupBy("cik").agg(F.count("*").alias("n"), F.max("label").alias("last")).collect()
+    assert {r["cik"]: r["n"] for r in got} == {1: 19, 2: 60} and all(r["last"] != "sum" for r in got)
