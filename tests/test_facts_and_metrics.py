@@ -125,3 +125,16 @@ def test_numbers(spark):
 ])
 def test_market_clock(spark, utc, want):
     assert spark.range(1).select(market_session(F.lit(utc).cast("timestamp"))).first()[0] == want
+
+
+def test_debt_and_spending_tags_of_single_filers(spark):
+    rows = [
+        (1, "LongTermNotesPayable", 122.3), (2, "LongTermDebtAndCapitalLeaseObligationsIncludingCurrentMaturities", 20.0),
+        (3, "DebtAndCapitalLeaseObligations", 15.0), (4, "LongTermDebt", 5.0), (4, "DebtAndCapitalLeaseObligations", 9.0),
+        (5, "NotesPayable", 25.0), (5, "LoansPayable", 1.7), (6, "NoncurrentPortionOfNoncurrentBorrowings", 3.0),
+        (7, "PaymentsToAcquireRealEstate", 4.0), (8, "PaymentsForCapitalImprovements", 2.0), (8, "PaymentsToAcquireRealEstate", 4.0),
+    ]
+    facts = spark.createDataFrame([(c, "2020-12-31", t, v) for c, t, v in rows], "cik long, end_date string, concept string, value double")
+    got = {(r["cik"], r["metric"]): r["value"] for r in rs.resolve_metrics(facts).collect()}
+    assert [got[c, "long_term_debt"] for c in range(1, 7)] == [122.3, 20.0, 15.0, 5.0, 26.7, 3.0]
+    assert got[7, "capital_expenditures"] == 4.0 and got[8, "capital_expenditures"] == 2.0
