@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, runs
+from ledgerline.llm.common import cut, runs, written
 from ledgerline.llm.components import components
-from ledgerline.llm.vectors import plan
 
 SEED = 42
 # Fingerprints per grid cell above which the cell is searched by neighbour values.
@@ -144,136 +144,182 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id: str =
 
 
 # Wider reach: similarity of shingle sets instead of two bits.
-WIDE_BITS = 256
-BUCKET = 512
+MINIMA = 256
 BLOCK = 2048
-_SEGMENT = 16
 _STRIP = 128
+_PART = 1024
+_ODD = (np.random.default_rng(SEED).integers(1, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_PLACES = np.random.default_rng(SEED + 1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
-    """A SimHash of 256 bits over a text's distinct word shingles, as four numbers."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct word shingles of a text as sorted 64-bit hashes; A-Z are lower-cased.
+
+    A text of fewer words has its whole sequence as one shingle, one without words has none.
+    """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return np.zeros(WIDE_BITS // 64, np.int64)
+        return np.zeros(0, np.uint64)
     width = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    seen = {digest(b" ".join(tokens[i : i + width]), SEED) for i in range(len(tokens) - width + 1)}
-    base = np.fromiter(seen, np.uint64, len(seen))
-    ones = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(base), _BLOCK):
-        part, bits = base[at : at + _BLOCK], []
-        for k in range(WIDE_BITS // 64):
-            h = (part ^ (part >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF | 1)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            bits.append(np.unpackbits((h ^ (h >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1))
-        ones += np.concatenate(bits, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(base)).view(np.int64)
-
-
-def reach(similarity: float) -> int:
-    """Bits of 256 within which all but a fifteenth of pairs with that Jaccard similarity of shingle sets differ.
-
-    The expected number for sets of like size and one and a half deviations.
-    """
-    part = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(round(WIDE_BITS * part + 1.5 * np.sqrt(WIDE_BITS * part * (1 - part))))
+    each = np.fromiter((digest(t, SEED) for t in tokens), np.uint64, len(tokens))
+    made = len(tokens) - width + 1
+    total = np.full(made, width, np.uint64)
+    for k in range(width):
+        total += each[k : k + made] * _PLACES[k % len(_PLACES)] + np.uint64(k)
+    return np.unique(_mixed(total))
 
 
-def _cell_keys(prints: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """One grid cell per table: the bit counts of ``bits`` one-bit segments drawn from the fingerprint."""
-    flat = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
-    rng = np.random.default_rng(SEED)
-    axes = np.concatenate([rng.permutation(WIDE_BITS) for _ in range(bits * tables // WIDE_BITS + 1)])[: bits * tables]
-    return (flat[:, axes].reshape(len(prints), tables, bits).astype(np.int64) << np.arange(bits)).sum(axis=2)
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The smallest value of a set's shingles under each of 256 hash functions (MinHash)."""
+    low = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), _PART):
+        np.minimum(low, (_ODD[:, None] * short[None, at : at + _PART]).min(axis=1), out=low)
+    return low
 
 
-def block_sets(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> np.ndarray:
-    """Each row's set (its smallest row) when rows of two blocks within ``radius`` bits are joined.
+def _bits(low: np.ndarray) -> np.ndarray:
+    """One hashed bit per minimum, as four numbers: two sets differ in (1 - Jaccard) / 2 of them."""
+    h = (low ^ (low >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return np.packbits((h >> np.uint32(31)).astype(np.uint8)).view(np.int64)
 
-    The Manhattan distance of the bit counts of 16-bit segments bounds the
-    distance from below; pairs it leaves are compared exactly.
-    """
-    count = lambda p: np.bitwise_count(p.view(np.uint16)).astype(np.float32)
-    offset, n = 0 if same else len(left), len(left)
-    a, b = count(left), count(right)
-    parent = np.arange(n + (0 if same else len(right)))
-    for at in range(0, n, _STRIP):
-        low = np.zeros((min(_STRIP, n - at), len(right)), np.float32)
-        for s in range(a.shape[1]):
-            low += np.abs(a[at : at + _STRIP, s, None] - b[None, :, s])
-        i, j = np.nonzero(low <= radius)
-        i = i + at
-        if same:
-            i, j = i[i < j], j[i < j]
-        near = np.bitwise_count((left[i] ^ right[j]).view(np.uint64)).sum(axis=1) <= radius
-        i, j = i[near], j[near] + offset
-        while len(i):
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            lo, hi = np.minimum(parent[i], parent[j]), np.maximum(parent[i], parent[j])
-            if (lo == hi).all():
-                break
-            np.minimum.at(parent, hi, lo)
-    while (parent[parent] != parent).any():
-        parent = parent[parent]
-    return parent
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.98, bucket: int = BUCKET,
-                   id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component) for every row: texts whose word shingles are ``similarity`` alike are linked.
-
-    Equal fingerprints are one node. Nodes meet in sampled grid cells, in as
-    many tables as the recall at the threshold asks for; the number of axes of
-    a cell follows from the number of nodes, so that cells stay near ``bucket``
-    rows. Cells beyond 2,048 rows are split into blocks, and each pair of
-    blocks is its own task, which reports one edge per row that has a partner.
-    Nulls, empty texts, repeats and empty tables are as in
-    :func:`near_duplicates`; texts without words form one group.
-    """
-    radius = reach(similarity)
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(x, words).tolist() for x in texts], dtype="object")
+def _cell_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One cell per band of ``rows`` minima."""
+    parts = low[: bands * rows].astype(np.uint64).reshape(bands, rows)
+    return _mixed((parts * _PLACES[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _PLACES[rows]).view(np.int64)
 
-    marked = cut(docs.select(F.col(id).alias("id"), of(F.col(text)).alias("prints")).withColumn("node", F.xxhash64("prints")))
-    nodes = cut(marked.groupBy("node").agg(F.first("prints").alias("prints")))
-    bits, tables = plan(nodes.count(), 2 * similarity / (1 + similarity), recall, bucket)
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                keys = _cell_keys(np.stack(batch["prints"].to_numpy()).astype(np.int64), bits, tables)
-                yield batch.assign(cells=keys.tolist())
+def banding(similarity: float, recall: float) -> tuple[int, int]:
+    """(bands, minima a band): sets ``similarity`` alike share a cell with probability ``recall``.
 
-    spread = nodes.mapInPandas(index, "node long, prints array<long>, cells array<long>").select(
-        "node", "prints", F.posexplode("cells").alias("grid", "cell")
-    )
-    sizes = spread.groupBy("grid", "cell").agg(F.count("*").alias("held")).where("held > 1")
-    members = spread.join(sizes, ["grid", "cell"]).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    As many minima a band as the 256 allow, five at most.
+    """
+    for rows in range(5, 0, -1):
+        agree = similarity**rows
+        bands = 1 if agree >= 1 else ceil(log(1 - recall) / log(1 - agree))
+        if bands * rows <= MINIMA:
+            return bands, rows
+    raise ValueError("similarity is too small for this recall")
+
+
+def reach(similarity: float, miss: float = 1e-6) -> int:
+    """Bits of 256 within which all but ``miss`` of the pairs with that Jaccard similarity differ (binomial tail)."""
+    p = (1 - similarity) / 2
+    over, radius = 0.0, MINIMA
+    while radius and over + comb(MINIMA, radius) * p**radius * (1 - p) ** (MINIMA - radius) <= miss:
+        over += comb(MINIMA, radius) * p**radius * (1 - p) ** (MINIMA - radius)
+        radius -= 1
+    return radius
+
+
+def block_pairs(left: pd.DataFrame, right: pd.DataFrame, radius: int, similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b), a < b, of two blocks of nodes that may be ``similarity`` alike and have different roots."""
+    bits = [np.stack(x["bits"].to_numpy()).astype(np.int64).view(np.uint64) for x in (left, right)]
+    (na, ra, va), (nb, rb, vb) = ([x[c].to_numpy() for c in ("node", "root", "n")] for x in (left, right))
+    for at in range(0, len(left), _STRIP):
+        part = slice(at, at + _STRIP)
+        apart = np.bitwise_count(bits[0][part, None, :] ^ bits[1][None, :, :]).sum(axis=2, dtype=np.int64)
+        sized = np.minimum(va[part, None], vb) >= similarity * np.maximum(va[part, None], vb) - 1e-6
+        i, j = np.nonzero((apart <= radius) & sized & (ra[part, None] != rb))
+        a, b = na[part][i], nb[j]
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 1 - 1e-5, bucket: int = BLOCK,
+                   id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component) for every row: texts whose sets of word shingles have a Jaccard index from ``similarity`` are linked.
+
+    Candidates come from MinHash and every link is verified by the exact index
+    of the two sets (of 64-bit hashes), so nothing less alike is linked. A pair
+    at the threshold shares one of the cells (bands of minima) with probability
+    ``recall``, more alike pairs sooner. Texts of equal sets are one node.
+
+    First each node of a cell is verified against the cell's smallest. In cells
+    whose nodes are then not yet one component, all pairs of nodes of different
+    components follow, in blocks of ``bucket`` nodes, each pair of blocks its
+    own task; only pairs whose sizes and hashed bits allow the similarity (all
+    but one in a million at the threshold) are verified. Pairs inside a
+    component need no edge. Nulls, empty texts, repeats and empty tables are as
+    in :func:`near_duplicates`; texts without words form one group.
+    """
+    radius = reach(similarity)
+    bands, rows = banding(similarity, recall)
+
+    def node_of(shingles: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+    @F.pandas_udf("node long, n long, bits array<long>, cells array<long>")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in texts:
+            shingles = shingle_set(x, words)
+            low = minima(shingles)
+            out.append((node_of(shingles), len(shingles), _bits(low).tolist(), _cell_keys(low, bands, rows).tolist() if len(shingles) else []))
+        return pd.DataFrame(out, columns=["node", "n", "bits", "cells"])
+
+    @F.pandas_udf("node long, shingles array<long>")
+    def listed(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(x, words) for x in texts]
+        return pd.DataFrame({"node": [node_of(x) for x in sets], "shingles": [x.view(np.int64) for x in sets]})
+
+    marked = cut(docs.select(F.col(id).alias("id"), signed(F.col(text)).alias("s")).select("id", "s.*"))
+    nodes = cut(marked.groupBy("node").agg(
+        F.min("id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("cells").alias("cells")
+    ))
+    spread = nodes.select("node", F.explode("cells").alias("cell"))
+    filled = spread.groupBy("cell").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
+    members = cut(spread.join(filled, "cell"))
+    slim = nodes.select("node", "n", "bits")
+
+    def ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        own = [table.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in table.columns]) for side in "ab"]
+        return pairs.join(own[0], "a").join(own[1], "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sets are alike; the sets are made again from one text per node."""
+        sought = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = nodes.join(sought, "node", "left_semi").select(F.col("first").alias("id")).distinct()
+        texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        texts = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
+        sets = texts.select(listed(F.col("text")).alias("s")).select("s.*")
+        sets = written(sets.join(sought, "node", "left_semi").dropDuplicates(["node"]))
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        union = F.size("shingles_a") + F.size("shingles_b") - both
+        return cut(ends(pairs, sets).where(both / union >= similarity).select("a", "b"))
+
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(MINIMA // 64)), F.lit(0))
+    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-6
+    stars = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    stars = cut(ends(stars, slim).where(sized & (differ <= radius)).select("a", "b"))
+    links = verified(stars)
+
+    rooted = members.where("held > 2").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted.select("cell", "held", "node", "root"))
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    work = rooted.join(mixed, "cell", "left_semi").join(slim, "node").withColumn("blocks", F.ceil(F.col("held") / bucket).cast("int"))
+    work = work.withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    work = members.select("node", "prints", "own", i.alias("i"), j.alias("j"), F.xxhash64("grid", "cell", i, j).alias("task"))
+    work = work.select("node", "root", "n", "bits", "own", i.alias("i"), j.alias("j"), F.xxhash64("cell", i, j).alias("task"))
     work = work.repartition("task").sortWithinPartitions("task", "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for one in runs(batches, ["task"]):
             own, i, j = one["own"].to_numpy(), one["i"].iloc[0], one["j"].iloc[0]
-            sides = [one[own == i], one[own == j]] if i != j else [one, one]
-            if not len(sides[0]) or not len(sides[1]):
-                continue
-            data = [np.stack(s["prints"].to_numpy()).astype(np.int64) for s in sides]
-            parent = block_sets(data[0], data[1], i == j, radius)
-            names = sides[0]["node"].to_numpy() if i == j else np.concatenate([s["node"].to_numpy() for s in sides])
-            linked = parent != np.arange(len(parent))
-            yield pd.DataFrame({"a": names[linked], "b": names[parent[linked]]})
-
-    roots = components(work.mapInPandas(compare, "a long, b long"))
-    firsts = marked.groupBy("node").agg(F.min("id").alias("first"))
-    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            yield from block_pairs(one[own == i], one[own == j], radius, similarity) if (own == i).any() and (own == j).any() else ()
+
+    rest = cut(work.mapInPandas(compare, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
+    roots = components(links.union(verified(rest)))
+    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "component_id")
     return marked.join(named, "node").select(F.col("id").alias(id), "component_id")

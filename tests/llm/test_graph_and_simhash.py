@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -109,3 +110,53 @@ def test_similar_groups(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(*rows)).collect()} == want
     blocks = simhash.similar_groups(docs(*rows), bucket=8)
     assert {r["doc_id"]: r["component_id"] for r in blocks.collect()} == want
+
+
+def test_similar_groups_link_what_is_alike_and_nothing_else(spark, docs):
+    """Families of texts that share much of a long passage, around 0.8 from both sides, against brute force."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    rows = []
+    for size in (6, 12, 30, 60, 150, 400):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            for _ in range(7):
+                cut = rnd.randrange(0, max(2, size * 3 // 10))
+                rows.append((len(rows), " ".join(base[: size - cut] + [word() for _ in range(rnd.choice([0, cut // 2, cut]))]), "s"))
+    sets = {}
+    for i, t, _ in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = 0
+    for a in sets:
+        for b in range(a):
+            alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            near += 0.6 <= alike < 0.8
+            if alike >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert near > 100 and len({find(x) for x in sets}) > 60
+    for bucket in (2048, 3):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs(*rows), bucket=bucket).collect()}
+        assert got == {i: find(i) for i in sets}
+
+
+def test_reach_and_bands_hold_the_pairs_at_the_threshold():
+    rnd = np.random.default_rng(3)
+    bands, width = simhash.banding(0.8, 1 - 1e-5)
+    lost, radius, apart = 0, simhash.reach(0.8), []
+    for k in range(600):
+        n = [1, 5, 40][k % 3]
+        x = rnd.integers(0, 1 << 63, 10 * n, dtype=np.uint64)
+        low = [simhash.minima(x[: 9 * n]), simhash.minima(x[n:])]  # 8 of 10 in common
+        cells = [simhash._cell_keys(v, bands, width) for v in low]
+        apart.append(int(np.bitwise_count((simhash._bits(low[0]) ^ simhash._bits(low[1])).view(np.uint64)).sum()))
+        lost += not (cells[0] == cells[1]).any() or apart[-1] > radius
+    assert lost == 0 and abs(np.mean(apart) - 25.6) < 1
