@@ -173,17 +173,31 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     )
 
 
-def taken_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
+def shard_words(shards: int = SHARDS) -> Column:
+    """The words of a row's mix_pieces that go to each shard, one number per shard."""
+    of = lambda k: F.aggregate(
+        F.filter("mix_pieces", lambda p: p["shard"] == k), F.lit(0).cast("long"), lambda a, p: a + p["words"]
+    )
+    return F.array(*[of(k) for k in range(shards)])
+
+
+def taken_texts(mixed: DataFrame, text: str = "text", by_shard: bool = False) -> DataFrame:
     """One row per document and pass with the words that were taken, and mix_pass.
 
     A pass that takes every word keeps the text as it is; else the pieces stand
-    in order, each word with the white space after it.
+    in order, each word with the white space after it. With ``by_shard`` there
+    is one row per document, pass and output shard, with mix_shard and
+    mix_place, the first place of its pieces in the shuffled shard.
     """
-    passes = mixed.withColumn("mix_pass", F.explode(F.array_distinct(F.transform("mix_pieces", lambda p: p["pass"]))))
-    own = F.sort_array(F.transform(
-        F.filter("mix_pieces", lambda p: p["pass"] == F.col("mix_pass")), lambda p: F.struct(p["first"].alias("first"), p["words"].alias("words"))
-    ))
-    passes = passes.withColumn("mix_own", own)
+    part = (lambda p: F.struct(p["pass"], p["shard"])) if by_shard else (lambda p: F.struct(p["pass"]))
+    passes = mixed.withColumn("mix_part", F.explode(F.array_distinct(F.transform("mix_pieces", part))))
+    passes = passes.withColumn("mix_pieces", F.filter("mix_pieces", lambda p: part(p) == F.col("mix_part")))
+    passes = passes.withColumn("mix_pass", F.col("mix_part.pass"))
+    if by_shard:
+        passes = passes.withColumn("mix_shard", F.col("mix_part.shard"))
+        passes = passes.withColumn("mix_place", F.array_min(F.transform("mix_pieces", lambda p: p["place"])))
+    own = F.sort_array(F.transform("mix_pieces", lambda p: F.struct(p["first"].alias("first"), p["words"].alias("words"))))
+    passes = passes.withColumn("mix_own", own).drop("mix_part")
     tokens = F.split(F.regexp_replace(F.col(text), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     part = F.element_at(F.transform(F.array(tokens), lambda t: F.array_join(F.flatten(F.transform(
         "mix_own", lambda p: F.slice(t, (p["first"] + 1).cast("int"), p["words"].cast("int"))

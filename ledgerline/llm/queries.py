@@ -34,10 +34,11 @@ ORACLES["op4_licenses"] = licenses.ORACLE
 
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document, and how many words of it each output shard gets."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
-                        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+                        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
+                        mixing.shard_words().alias("shard_words"))
 
 
 @query

@@ -79,3 +79,28 @@ def test_nulls_empty_tables_and_clashing_columns(spark, docs):
         for _, stage in pipeline.STAGES:
             got = pipeline.written(stage(spark, got, SF))
         assert got.count() == 0 or {r["doc_id"] for r in got.collect()} <= {2, 3}
+
+
+def test_shards_are_dealt_and_shuffled(spark, docs):
+    """Every shard holds the sources in like parts, most rows stay where the mix dealt them, in shuffled order."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(320)), "abc"[i % 3]) for i in range(240)]
+    taken = pipeline.written(pipeline.mixed(spark, docs(*rows), SF))
+    got = pipeline.sharded(spark, taken, SF).collect()
+    assert len(got) == taken.count() and len({(r["doc_id"], r["text"]) for r in got}) > 1000
+    share = lambda rows, s: sum(len(r["text"].split()) for r in rows if r["source"] == s) / sum(len(r["text"].split()) for r in rows)
+    runs = 0
+    for k in range(8):
+        own = sorted((r for r in got if r["shard"] == k), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        assert all(abs(share(own, s) - share(got, s)) < 0.08 for s in "abc")
+        runs += sum(a["source"] != b["source"] for a, b in zip(own, own[1:], strict=False)) / len(own)
+    assert runs / 8 > 0.5 and sum(r["moved"] for r in got) < 0.1 * len(got)
+
+
+def test_mixing_query_tells_the_shards(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["op5_mixing"](spark, SF).collect()
+    assert all(sum(r["shard_words"]) == r["taken"] for r in got)
+    per = [sum(r["shard_words"][k] for r in got) for k in range(8)]
+    assert max(per) - min(per) <= 0.02 * sum(per)
