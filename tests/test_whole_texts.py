@@ -98,3 +98,17 @@ def test_subtotals_in_groups_of_any_size(spark):
     df = spark.createDataFrame([(c, 2020, "a", lab, v) for c, lab, v in rows], "cik int, fy int, axis string, label string, value double")
     got = sg.drop_subtotals(df, max_others=None).groupBy("cik").agg(F.count("*").alias("n"), F.max("label").alias("last")).collect()
     assert {r["cik"]: r["n"] for r in got} == {1: 19, 2: 60} and all(r["last"] != "sum" for r in got)
+
+
+def test_tables_of_any_length_and_distance_are_read_whole(spark):
+    from ledgerline.operators import segments as sg
+
+    filler = "The company sells goods in many markets and says so at length here.\n" * 90
+    lines = "".join(f"Line {chr(65 + k)}{chr(97 + k)} .... ${100 + k}\n" for k in range(12))
+    text = f"Revenue by segment\n{filler}Amounts (in millions)\n{lines}"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = {r["label"]: r["value"] for r in sg.segment_table(df).collect()}
+    assert got == {f"Line {chr(65 + k)}{chr(97 + k)}": (100 + k) * 1e6 for k in range(12)}
+    text = f"Revenue by geography (in thousands)\n{filler}Africa   $5,000\nEurope   $7,000\n"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert {r["label"]: r["value"] for r in sg.geographic_table(df).collect()} == {"Africa": 5e6, "Europe": 7e6}
