@@ -50,29 +50,63 @@ KEEP = 0.25
 WIDTH = 1.0
 
 
+# Before such a name a class only says that the part is there or not.
+_SAYS = re.compile(r"(?<![a-z])(?:has|no|with|without|have|hide|show)[-_]+[^\s\"']*")
+
+
 def _named_aside(attrs: str) -> bool:
     for name, value in _ATTR.findall(attrs):
-        if name.lower() == "hidden":
-            return True
-        if set(_NAME.findall(value.lower())) & _ASIDE_NAMES:
+        if name.lower() != "hidden" and set(_NAME.findall(_SAYS.sub(" ", value.lower()))) & _ASIDE_NAMES:
             return True
     return False
 
 
+def _hidden(attrs: str) -> bool:
+    return any(name.lower() == "hidden" for name, _ in _ATTR.findall(attrs))
+
+
+def _wrappers(found: list, named: list[dict], free_article: bool) -> set[int]:
+    """Marked elements that wrap the article, so that their names don't count.
+
+    Those that hold the page's main element; or, if no article or main element
+    is outside marked ones, those that hold the article with the most fused mass
+    or, without any article, more than half of the page's fused mass.
+    """
+    mass = [0.0] * len(named)
+    total = 0.0
+    for _, aside, inside, text in found:
+        if not aside:
+            own = (len(text) * (1 + len(_PUNCT.findall(text)))) ** 0.5
+            total += own
+            for k in inside:
+                mass[k] += own
+    out = {k for k, e in enumerate(named) if e["main"]}
+    if not free_article and not out:
+        held = [k for k, e in enumerate(named) if e["article"]]
+        least = max((mass[k] for k in held), default=total) / 2
+        out |= {k for k in held or range(len(named)) if mass[k] > least}
+    return out
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     """(tag path, inside a part that surrounds the article, text) of each block in page order.
 
     Inline elements don't enter the path. An end tag that fits no open element
     is ignored; elements still open at the end of a cut page are closed there.
+    A part surrounds the article by its tag, or by its names unless it wraps the
+    article itself.
     """
-    stack: list[tuple[str, bool]] = []
-    out, piece, at = [], [], 0
+    stack: list[tuple[str, bool, int | None]] = []
+    found, piece, at = [], [], 0
+    named: list[dict] = []
+    free_article = False
 
     def flush() -> None:
         text = " ".join("".join(piece).split())
         piece.clear()
         if text:
-            out.append((tuple(t for t, _ in stack), any(a for _, a in stack), text))
+            inside = [k for _, _, k in stack if k is not None]
+            found.append((tuple(t for t, _, _ in stack), any(a for _, a, _ in stack), inside, text))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -88,7 +122,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             piece.append(" ")
             continue
         if m["end"]:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 flush()
                 while stack.pop()[0] != tag:
                     pass
@@ -101,13 +135,25 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
                 break
             if stack[k][0] in _HOLDS:
                 break
-        within = any(t in ("article", "main") for t, _ in stack)
+        within = any(t in ("article", "main") for t, _, _ in stack)
         aside = tag in _ASIDE or (tag == "header" and not within)
         if not m["attrs"].rstrip().endswith("/"):
-            stack.append((tag, aside or (tag not in ("html", "body", "article", "main") and _named_aside(m["attrs"]))))
+            own = None
+            if tag in ("article", "main"):
+                marks = [k for _, _, k in stack if k is not None]
+                free_article |= not marks and not any(a for _, a, _ in stack)
+                for k in marks:
+                    named[k][tag] = True
+            elif tag not in ("html", "body"):
+                aside = aside or _hidden(m["attrs"])
+                if _named_aside(m["attrs"]):
+                    own = len(named)
+                    named.append({"article": False, "main": False})
+            stack.append((tag, aside, own))
     piece.append(html.unescape(page[at:]))
     flush()
-    return out
+    wraps = _wrappers(found, named, free_article)
+    return [(path, aside or any(k not in wraps for k in inside), text) for path, aside, inside, text in found]
 
 
 def _smooth(values: np.ndarray, width: float) -> np.ndarray:

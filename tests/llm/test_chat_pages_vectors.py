@@ -154,3 +154,18 @@ def test_estimates_are_unbiased_and_bounded():
     estimate = (a.code * b.turned).sum(axis=1) / a.factor
     assert abs((estimate - true).mean()) < 0.02
     assert (a.upper(slice(0, 400), b).diagonal() >= true).mean() > 0.995
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>", "<div id='no-sidebar'>", "<section class='post related-topics'>", "<div class='widget text'>"])
+@pytest.mark.parametrize("inner", ["", "article", "main"])
+def test_names_of_a_wrapper_do_not_lose_the_article(wrapper, inner):
+    from ledgerline.llm import pages
+
+    body = [f"This is sentence {k} of the article, with commas, and enough words to be content." for k in range(5)]
+    text = "".join(f"<p>{x}</p>" for x in body)
+    text = f"<{inner}>{text}</{inner}>" if inner else text
+    page = f"<html><body>{wrapper}{text}<div class='sidebar'><p>Short advert, really.</p></div></{wrapper[1:].split()[0]}></body></html>"
+    assert pages.main_text(page) == "\n\n".join(body)
+    # Comments as articles stay out where the article is outside of them.
+    page = f"<body><article>{''.join(f'<p>{x}</p>' for x in body)}</article><div class='comments'><article><p>I say, no, never, and at some length too.</p></article></div></body>"
+    assert pages.main_text(page) == "\n\n".join(body)
