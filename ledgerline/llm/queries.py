@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontam, licenses, mixing, pages, repeats, reshard, simhash, toxicity, vectors
+from ledgerline.llm import (
+    alignment,
+    chat,
+    decontam,
+    divergence,
+    licenses,
+    mixing,
+    neighbours,
+    pages,
+    repeats,
+    reshard,
+    simhash,
+    toxicity,
+    vectors,
+)
 from ledgerline.llm.common import table
 
 QUERIES: dict = {}
@@ -98,3 +112,24 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of all documents without repeated strings of 200 bytes."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every twentieth embedding."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of all documents meet."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language diverge."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_divergence"] = divergence.ORACLE
