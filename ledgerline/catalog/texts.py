@@ -252,23 +252,35 @@ def statement_roles(i):
     return gr.statement_roles(r.withColumn("role", F.concat(F.lit(base), role)))
 
 
-@query("graph_resolve", """
-WITH f AS (SELECT cik, end_date, concept, max(value) AS value FROM fx_facts WHERE form = '10-K' AND dimension IS NULL AND fp = 'FY' AND start_date = make_date(year(end_date), 1, 1) GROUP BY 1, 2, 3),
-n(tree, metric, concept, extra, rk) AS (VALUES ('calc', 'revenue', 'Revenues', 0, 1), ('calc', 'revenue', 'acme_TotalRevenue', 1, 2), ('pres', 'revenue', 'RevenueFromContractWithCustomerExcludingAssessedTax', 0, 2), ('pres', 'revenue', 'SubscriptionRevenue', 1, 3), ('calc', 'net_income', 'NetIncomeLoss', 0, 1)),
-h AS (SELECT f.cik, f.end_date, n.metric, f.value, f.concept, n.tree, row_number() OVER (PARTITION BY f.cik, f.end_date, n.metric ORDER BY CASE tree WHEN 'calc' THEN 0 ELSE 1 END, extra, rk, f.concept) AS rn FROM f JOIN n ON f.concept = n.concept)
-SELECT cik, end_date, metric, value, concept || ' (graph_' || tree || ')' AS source, CASE tree WHEN 'calc' THEN 0.97 ELSE 0.93 END::double AS confidence FROM h WHERE rn = 1
+SEEDS = [("revenue", "income", "Revenues", 1), ("revenue", "income", "RevenueFromContractWithCustomerExcludingAssessedTax", 2),
+         ("net_income", "income", "NetIncomeLoss", 1), ("operating_income", "income", "OperatingIncomeLoss", 1)]
+
+TREE_WALK = """p AS (SELECT accn, tree, statement, child, arg_max(parent, ord) FILTER (WHERE true) AS parent FROM fx_trees GROUP BY ALL),
+w AS (SELECT accn, tree, statement, child, child AS at, 0 AS depth, []::varchar[] AS seen FROM p
+  UNION ALL SELECT w.accn, w.tree, w.statement, w.child, p.parent, w.depth + 1, list_append(w.seen, w.at) FROM w JOIN p ON p.accn = w.accn AND p.tree = w.tree AND p.child = w.at WHERE p.parent IS NOT NULL AND NOT list_contains(w.seen, w.at)),
+d AS (SELECT accn, tree, statement, child, max(depth)::int AS depth FROM w GROUP BY ALL)"""
+
+
+@query("filing_tree_depths", f"WITH RECURSIVE {TREE_WALK} SELECT * FROM d")
+def filing_tree_depths(i):
+    return gr.concept_depths(i.fx_trees, ("accn", "tree", "statement"))
+
+
+@query("graph_resolve", f"""
+WITH RECURSIVE {TREE_WALK},
+s(metric, statement, concept, priority) AS (VALUES {", ".join(map(str, SEEDS))}),
+n AS (SELECT accn, tree, metric, d.child AS concept, 0 AS extra, priority AS rk FROM d JOIN s ON d.statement = s.statement AND d.child = s.concept
+  UNION ALL SELECT accn, tree, 'revenue', child, 1, depth FROM d WHERE regexp_matches(lower(child), 'revenue|netsales|salesnet|turnover') AND NOT regexp_matches(lower(child), 'cost|deferred|unearned|remaining|expense|receivable|guidance|contract(asset|liabilit)|taxespayable')
+    AND child NOT IN (SELECT concept FROM s WHERE metric = 'revenue')),
+g AS (SELECT accn, cik, report_date AS end_date, filed FROM fx_filings WHERE form = '10-K'),
+k AS (SELECT g.accn, g.cik, g.end_date, f.concept, f.value, row_number() OVER (PARTITION BY g.accn, g.end_date, f.concept ORDER BY f.filed DESC, f.value DESC) AS rn
+  FROM g JOIN fx_facts f ON f.cik = g.cik AND f.end_date = g.end_date AND f.filed <= g.filed WHERE f.value IS NOT NULL AND f.dimension IS NULL AND f.start_date = make_date(year(f.end_date), 1, 1)),
+h AS (SELECT k.*, n.metric, n.tree, row_number() OVER (PARTITION BY k.accn, n.metric ORDER BY CASE n.tree WHEN 'calc' THEN 0 ELSE 1 END, extra, rk, k.concept) AS pick FROM k JOIN n ON n.accn = k.accn AND n.concept = k.concept WHERE k.rn = 1)
+SELECT accn, cik, end_date, metric, value, concept || ' (graph_' || tree || ')' AS source, CASE tree WHEN 'calc' THEN 0.97 ELSE 0.93 END::double AS confidence FROM h WHERE pick = 1
 """)
 def graph_resolve(i):
-    f = i.fx_facts.where("form = '10-K' AND dimension IS NULL AND fp = 'FY' AND start_date = make_date(year(end_date), 1, 1)")
-    f = f.groupBy("cik", "end_date", "concept").agg(F.max("value").alias("value"))
-    spark = i.spark
-    depths = spark.createDataFrame([
-        ("calc", "income", "Revenues", 1), ("calc", "income", "acme_TotalRevenue", 2), ("calc", "income", "DeferredRevenues", 1),
-        ("calc", "income", "NetIncomeLoss", 0), ("pres", "income", "RevenueFromContractWithCustomerExcludingAssessedTax", 2),
-        ("pres", "income", "SubscriptionRevenue", 3), ("calc", "income", "CostOfRevenue", 1),
-    ], "tree string, statement string, concept string, depth int")
-    seeds = spark.createDataFrame([
-        ("revenue", "income", "Revenues", 1), ("revenue", "income", "RevenueFromContractWithCustomerExcludingAssessedTax", 2),
-        ("net_income", "income", "NetIncomeLoss", 1),
-    ], "metric string, statement string, concept string, priority int")
-    return gr.graph_resolve(f, depths, seeds)
+    facts = i.fx_facts.where("dimension IS NULL AND start_date = make_date(year(end_date), 1, 1)")
+    filings = i.fx_filings.where("form = '10-K'").withColumnRenamed("report_date", "end_date")
+    depths = gr.concept_depths(i.fx_trees, ("accn", "tree", "statement"))
+    seeds = i.spark.createDataFrame(SEEDS, "metric string, statement string, concept string, priority int")
+    return gr.graph_resolve(facts, filings, depths, seeds)

@@ -46,64 +46,109 @@ def children_of(edges: DataFrame, parent: str) -> DataFrame:
     return edges.where(F.col("parent") == parent)
 
 
-def concept_depths(edges: DataFrame, keys: Sequence[str] = ("statement",), max_levels: int = 200) -> DataFrame:
-    """Steps from each concept up to its root; a cycle counts its members once.
+def _kept(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _climb(parents: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Where each child's path ends, and the children whose path never does.
 
-    One parent per child, the last edge wins. All concepts climb together, one
-    level per join; finished ones leave the loop and each level is
-    checkpointed, so the plan does not grow with the depth.
+    ``parents`` is (keys, child, parent), one row per child. The first frame is
+    (keys, child, end, depth); the second (keys, child, at), ``at`` a place on
+    the cycle that the path runs into. Every round joins each pointer with that
+    of the place it points to, so paths double: a tree of 1,000 levels takes
+    ten rounds. Only two counts reach the driver.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    parent = edges.groupBy(*keys, "child").agg(F.max_by("parent", F.struct("ord", "parent")).alias("parent"))
-    parent = parent.checkpoint()
-    up = parent.where("parent IS NOT NULL").select(*keys, F.col("child").alias("__at"), F.col("parent").alias("__next"))
-    walk = parent.select(
-        *keys, "child", F.col("child").alias("__at"), F.lit(0).alias("depth"),
-        F.array().cast("array<string>").alias("__seen"),
+    known = parents.select(*keys, F.col("child").alias("parent"), F.lit(True).alias("known"))
+    first = _kept(parents.join(known, [*keys, "parent"], "left"))
+    parent, is_node = F.col("parent"), F.col("known").isNotNull()
+    done = first.where(~is_node).select(
+        *keys, "child", F.coalesce(parent, F.col("child")).alias("end"), F.when(parent.isNull(), 0).otherwise(1).alias("depth")
     )
-    done = None
-    for _ in range(max_levels):
-        step = walk.join(up, [*keys, "__at"], "left").checkpoint()
-        # At a root, or back at a place already passed.
-        stop = F.col("__next").isNull() | F.array_contains("__seen", F.col("__at"))
-        finished = step.where(stop).select(*keys, "child", "depth")
-        done = finished if done is None else done.unionByName(finished)
-        walk = step.where(~stop).select(
-            *keys, "child", F.col("__next").alias("__at"), (F.col("depth") + 1).alias("depth"),
-            F.array_append("__seen", F.col("__at")).alias("__seen"),
+    live = first.where(is_node).select(*keys, "child", parent.alias("at"))
+    longest = live.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    steps = 1
+    while longest:
+        ahead = done.select(*keys, F.col("child").alias("at"), "end", "depth", F.lit(None).cast("string").alias("next")).unionByName(
+            live.select(*keys, F.col("child").alias("at"), F.lit(None).cast("string").alias("end"), F.lit(None).cast("int").alias("depth"), F.col("at").alias("next"))
         )
-        if walk.isEmpty():
-            return done
-    raise ValueError(f"a statement tree is deeper than {max_levels} levels")
+        moved = _kept(live.join(ahead, [*keys, "at"]))
+        done = done.unionByName(moved.where("end IS NOT NULL").select(*keys, "child", "end", (F.col("depth") + steps).alias("depth")))
+        live = moved.where("end IS NULL").select(*keys, "child", F.col("next").alias("at"))
+        steps *= 2
+        if live.isEmpty() or steps > longest:
+            break
+    return done, live
+
+
+def concept_depths(edges: DataFrame, keys: Sequence[str] = ("statement",)) -> DataFrame:
+    """Steps from each concept up to its root; a cycle counts its members once.
+
+    One parent per child, the last edge wins. Depths come by pointer doubling,
+    in rounds that grow with the logarithm of the depth, for all trees at once.
+    What never reaches a root hangs on a cycle: after as many steps as a tree
+    has nodes every pointer lies on one, which gives the cycles' members; their
+    smallest member, found by doubling too, tells cycles apart and so their
+    lengths, and the rest climbs to its cycle as to a root.
+    """
+    parents = _kept(edges.groupBy(*keys, "child").agg(F.max_by("parent", F.struct("ord", "parent")).alias("parent")))
+    done, live = _climb(parents, keys)
+    out = done.select(*keys, "child", "depth")
+    if live.isEmpty():
+        return out
+    members = _kept(live.select(*keys, F.col("at").alias("child")).distinct())
+    ring = _kept(parents.join(members, [*keys, "child"], "left_semi").withColumnRenamed("parent", "at").withColumn("low", F.col("child")))
+    largest, steps = ring.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0], 1
+    while steps < largest:
+        ahead = ring.select(*keys, F.col("child").alias("at"), F.col("at").alias("next"), F.col("low").alias("other"))
+        ring = _kept(ring.join(ahead, [*keys, "at"]).select(*keys, "child", F.col("next").alias("at"), F.least("low", "other").alias("low")))
+        steps *= 2
+    sizes = ring.groupBy(*keys, "low").agg(F.count("*").cast("int").alias("around"))
+    around = _kept(ring.join(sizes, [*keys, "low"]).select(*keys, "child", "around"))
+    tails = parents.join(live, [*keys, "child"], "left_semi").join(members, [*keys, "child"], "left_anti")
+    onto, _ = _climb(tails, keys)
+    onto = onto.join(around.withColumnRenamed("child", "end"), [*keys, "end"]).select(*keys, "child", (F.col("depth") + F.col("around")).alias("depth"))
+    return out.unionByName(around.withColumnRenamed("around", "depth")).unionByName(onto)
 
 
 # Confidence of a resolution by the tree it came from.
 TREE_CONFIDENCE = (("calc", 0.97), ("pres", 0.93))
 
 
-def graph_resolve(facts: DataFrame, depths: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("cik", "end_date")) -> DataFrame:
-    """Metrics through the statement trees: seeds present in the tree, in seed order.
+def graph_resolve(facts: DataFrame, filings: DataFrame, depths: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Metrics of each filing through its own statement trees.
+
+    ``facts`` is (cik, end_date, concept, value, filed), ``filings`` is (accn,
+    cik, end_date, filed), ``depths`` is (accn, tree, statement, child, depth)
+    and ``seeds`` (metric, statement, concept, priority). A filing's candidates
+    are the seeds present in its tree in seed order; for revenue, further
+    revenue nodes of the tree follow, shallowest first. The calculation tree
+    comes before the presentation tree. Values are those known when the filing
+    was filed: the latest up to that day of each concept and period.
 
-    ``depths`` is (tree, statement, concept, depth), ``seeds`` is (metric,
-    statement, concept, priority). For revenue, further revenue nodes of the
-    tree follow the seeds, shallowest first. The calculation tree comes first.
+    Facts meet filings on (cik, end_date), nodes on (accn, concept), so no
+    concept that all companies report is a key by itself.
     """
-    in_tree = depths.join(seeds, ["statement", "concept"]).select(
-        "tree", "metric", "concept", F.lit(False).alias("extra"), F.col("priority").alias("rank")
+    nodes = depths.withColumnRenamed("child", "concept")
+    in_tree = nodes.join(F.broadcast(seeds), ["statement", "concept"]).select(
+        "accn", "tree", "metric", "concept", F.lit(False).alias("extra"), F.col("priority").alias("rank")
     )
     name = F.col("concept")
     own = seeds.where("metric = 'revenue'").select("concept").distinct()
-    extra = depths.where((F.col("statement") == "income") & name.rlike(REVENUE_NODE) & ~name.rlike(REVENUE_NODE_EXCLUDED))
-    extra = extra.join(own, "concept", "left_anti").select(
-        "tree", F.lit("revenue").alias("metric"), "concept", F.lit(True).alias("extra"), F.col("depth").alias("rank")
+    extra = nodes.where((F.col("statement") == "income") & name.rlike(REVENUE_NODE) & ~name.rlike(REVENUE_NODE_EXCLUDED))
+    extra = extra.join(F.broadcast(own), "concept", "left_anti").select(
+        "accn", "tree", F.lit("revenue").alias("metric"), "concept", F.lit(True).alias("extra"), F.col("depth").alias("rank")
     )
-    nodes = in_tree.unionByName(extra)
-    hits = facts.where("value IS NOT NULL").join(nodes, "concept")
+    known = facts.where("value IS NOT NULL").select("cik", "end_date", "concept", "value", F.col("filed").alias("told"))
+    known = filings.select("accn", "cik", "end_date", "filed").join(known, ["cik", "end_date"]).where("told <= filed")
+    known = known.groupBy("accn", "cik", "end_date", "concept").agg(F.max_by("value", F.struct("told", "value")).alias("value"))
+    hits = known.join(in_tree.unionByName(extra), ["accn", "concept"])
     tree = F.when(F.col("tree") == TREE_CONFIDENCE[0][0], 0).otherwise(1)
     order = F.struct(tree, "extra", "rank", "concept")
-    best = hits.groupBy(*keys, "metric").agg(F.min_by(F.struct("value", "concept", "tree"), order).alias("b"))
+    best = hits.groupBy("accn", "cik", "end_date", "metric").agg(F.min_by(F.struct("value", "concept", "tree"), order).alias("b"))
     sure = F.when(F.col("b.tree") == "calc", TREE_CONFIDENCE[0][1]).otherwise(TREE_CONFIDENCE[1][1])
     return best.select(
-        *keys, "metric", "b.value", F.concat("b.concept", F.lit(" (graph_"), "b.tree", F.lit(")")).alias("source"),
-        sure.alias("confidence"),
+        "accn", "cik", "end_date", "metric", "b.value",
+        F.concat("b.concept", F.lit(" (graph_"), "b.tree", F.lit(")")).alias("source"), sure.alias("confidence"),
     )

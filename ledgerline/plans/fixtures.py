@@ -410,6 +410,32 @@ SELECT 'balance', 'S' || cast(s_suppkey AS string), 'S' || cast(s_suppkey + (CAS
 FROM supplier
 """
 
+# Statement trees per annual filing: not every filing has a calculation tree, tags differ by company,
+# some put an own revenue node above the usual one, and one in 13 hangs two nodes on each other.
+TREES = """
+SELECT accn, tree, 'income' AS statement, child, parent, cast(ord AS int) AS ord
+FROM (
+  SELECT f.accn, f.cik, t.tree, n.child, n.parent, n.ord, n.every, n.rest
+  FROM (SELECT DISTINCT accn, cik FROM fx_filings WHERE form = '10-K') f
+  CROSS JOIN (SELECT 'calc' AS tree UNION ALL SELECT 'pres') t
+  CROSS JOIN (
+    SELECT 'NetIncomeLoss' AS child, cast(NULL AS string) AS parent, 0 AS ord, 1 AS every, 0 AS rest
+    UNION ALL SELECT 'OperatingIncomeLoss', 'NetIncomeLoss', 1, 1, 0
+    UNION ALL SELECT 'acme_TotalRevenue', 'OperatingIncomeLoss', 2, 9, 0
+    UNION ALL SELECT 'beta_TotalRevenue', 'acme_TotalRevenue', 3, 2, 0
+    UNION ALL SELECT 'Revenues', 'OperatingIncomeLoss', 4, 2, 0
+    UNION ALL SELECT 'RevenueFromContractWithCustomerExcludingAssessedTax', 'OperatingIncomeLoss', 5, 5, 0
+    UNION ALL SELECT 'SubscriptionRevenue', 'Revenues', 6, 1, 0
+    UNION ALL SELECT 'OnlineStoresRevenue', 'SubscriptionRevenue', 7, 1, 0
+    UNION ALL SELECT 'DeferredRevenues', 'NetIncomeLoss', 8, 1, 0
+    UNION ALL SELECT 'CostOfRevenue', 'OperatingIncomeLoss', 9, 1, 0
+    UNION ALL SELECT 'UnitedStatesRevenue', 'EuropeSegmentRevenue', 10, 13, 1
+    UNION ALL SELECT 'EuropeSegmentRevenue', 'UnitedStatesRevenue', 11, 13, 1
+  ) n
+) x
+WHERE cik % every = rest AND NOT (tree = 'calc' AND cik % 3 = 0) AND NOT (tree = 'pres' AND cik % 7 = 2 AND ord < 6)
+"""
+
 CHUNKS = """
 SELECT d.doc_id, d.source, cast(d.n_chars AS double) AS weight,
        cast(l.quality AS double) AS quality, cast(l.toxic AS double) AS toxic
@@ -431,7 +457,7 @@ _DEPS = {
     "fx_facts": ("fx_ytd",), "fx_wide": ("fx_ytd",), "fx_long": ("fx_wide",),
     "fx_quarters": ("fx_ytd",), "fx_filings": ("fx_facts",), "fx_vendor": ("fx_long",),
     "fx_rates": (), "fx_dims": (), "fx_segments": ("fx_dims",), "fx_holdings": (),
-    "fx_insider": (), "fx_bars": (), "fx_prices": ("fx_company",), "fx_edges": (),
+    "fx_insider": (), "fx_bars": (), "fx_prices": ("fx_company",), "fx_edges": (), "fx_trees": ("fx_filings",),
     "fx_chunks": (), "fx_obs": ("fx_long",),
 }
 
@@ -442,7 +468,7 @@ def view_sql(name: str, dialect: str) -> str:
         "fx_company": COMPANY, "fx_base": BASE, "fx_quarter": QUARTER, "fx_ytd": YTD,
         "fx_wide": WIDE, "fx_quarters": QUARTERS, "fx_filings": FILINGS, "fx_vendor": VENDOR,
         "fx_rates": RATES, "fx_segments": SEGMENTS, "fx_holdings": HOLDINGS,
-        "fx_insider": INSIDER, "fx_bars": BARS, "fx_prices": PRICES, "fx_edges": EDGES,
+        "fx_insider": INSIDER, "fx_bars": BARS, "fx_prices": PRICES, "fx_edges": EDGES, "fx_trees": TREES,
         "fx_chunks": CHUNKS, "fx_obs": OBSERVATIONS,
     }.get(name)
     if text is None:

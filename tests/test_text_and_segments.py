@@ -142,3 +142,47 @@ def test_cycles_and_roots(spark):
     df = spark.createDataFrame(edges, "statement string, child string, parent string, ord int")
     got = {r.child: r.depth for r in gr.concept_depths(df).collect()}
     assert got == {"b": 1, "c": 2, "x": 2, "y": 2}
+
+
+def walked_depths(parent_of):
+    """Depths by walking up node by node; every place counts once."""
+    out = {}
+    for node in parent_of:
+        at, seen = node, set()
+        while parent_of.get(at) and at not in seen:
+            seen.add(at)
+            at = parent_of[at]
+        out[node] = len(seen)
+    return out
+
+
+def test_depths_of_long_paths_wide_trees_and_cycles(spark):
+    rng = np.random.default_rng(11)
+    trees = {"path": {f"n{k}": f"n{k - 1}" for k in range(1, 1001)} | {"n0": None}}
+    trees["star"] = {f"leaf{k}": "hub" for k in range(500)} | {"hub": "top"}
+    trees["ring"] = {f"r{k}": f"r{(k + 1) % 37}" for k in range(37)} | {f"t{k}": f"t{k + 1}" if k < 20 else "r5" for k in range(21)}
+    trees["self"] = {"me": "me", "after": "me"}
+    for t in range(5):
+        n = 60
+        trees[f"random{t}"] = {f"v{k}": f"v{int(rng.integers(n))}" if rng.random() < 0.9 else None for k in range(n)}
+    rows = [(s, c, p, 1) for s, tree in trees.items() for c, p in tree.items()]
+    df = spark.createDataFrame(rows, "statement string, child string, parent string, ord int")
+    got = {(r.statement, r.child): r.depth for r in gr.concept_depths(df).collect()}
+    assert got == {(s, c): d for s, tree in trees.items() for c, d in walked_depths(tree).items()}
+    assert gr.concept_depths(df.limit(0)).count() == 0
+
+
+def test_filing_resolution_takes_what_was_known_then(spark):
+    facts = spark.createDataFrame([
+        (1, "2020-12-31", "Revenues", 10.0, "2021-02-01"), (1, "2020-12-31", "Revenues", 11.0, "2022-02-01"),
+        (1, "2020-12-31", "acme_NetSales", 9.0, "2021-02-01"), (1, "2020-12-31", "CostOfRevenue", 5.0, "2021-02-01"), (1, "2020-12-31", "Revenues", None, "2021-02-02"),
+    ], "cik long, end_date string, concept string, value double, filed string")
+    filings = spark.createDataFrame([("a", 1, "2020-12-31", "2021-03-01"), ("b", 1, "2020-12-31", "2022-03-01"), ("c", 1, "2020-12-31", "2022-03-01"),
+                                     ("d", 1, "2020-12-31", "2020-12-31")], "accn string, cik long, end_date string, filed string")
+    depths = spark.createDataFrame([
+        ("a", "pres", "income", "Revenues", 2), ("b", "calc", "income", "Revenues", 1), ("b", "pres", "income", "Revenues", 1),
+        ("c", "pres", "income", "Revenues", 1), ("c", "calc", "income", "acme_NetSales", 3), ("c", "calc", "income", "CostOfRevenue", 0),
+        ("d", "calc", "income", "Revenues", 1)], "accn string, tree string, statement string, child string, depth int")
+    seeds = spark.createDataFrame([("revenue", "income", "Revenues", 1)], "metric string, statement string, concept string, priority int")
+    got = {r.accn: (r.value, r.source, r.confidence) for r in gr.graph_resolve(facts, filings, depths, seeds).collect()}
+    assert got == {"a": (10.0, "Revenues (graph_pres)", 0.93), "b": (11.0, "Revenues (graph_calc)", 0.97), "c": (9.0, "acme_NetSales (graph_calc)", 0.97)}
