@@ -346,19 +346,47 @@ def metric_ranks(i):
     return rk.metric_ranks(df)
 
 
-@query("find_peers", """
-WITH cur AS (SELECT a.ticker, b.ticker AS peer, cast(b.cik AS int) AS position FROM fx_company a JOIN fx_company b ON b.cik = a.cik + 1 OR b.cik = a.cik + 2 WHERE a.cik % 4 = 0),
-grp AS (SELECT country, ticker, row_number() OVER (PARTITION BY country ORDER BY ticker) AS position FROM fx_company),
-p AS (SELECT ticker, peer, position, 0.95::double AS relevance, 'curated' AS reason FROM cur
- UNION ALL SELECT c.ticker, g.ticker, g.position, 0.70::double, 'same group' FROM fx_company c JOIN grp g ON c.country = g.country AND g.ticker <> c.ticker WHERE c.ticker NOT IN (SELECT ticker FROM cur)),
-r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY relevance DESC, position, peer) AS n FROM p) SELECT ticker, peer, relevance, reason, n FROM r WHERE n <= 3
-""")
-def find_peers(i):
+PEER_LISTS = """cur AS (SELECT a.ticker, b.ticker AS peer, cast(b.cik AS int) AS position FROM fx_company a JOIN fx_company b ON b.cik = a.cik + 1 OR b.cik = a.cik + 2 WHERE a.cik % 4 = 0),
+cus AS (SELECT a.ticker, b.ticker AS peer, cast(b.cik AS int) AS position FROM fx_company a JOIN fx_company b ON b.cik = a.cik + 3 WHERE a.cik % 6 = 0),
+uni AS (SELECT key, ticker AS peer, row_number() OVER (ORDER BY key, cik) AS place FROM (SELECT replace(lower(country), ' ', '_') AS key, ticker, cik FROM fx_company) t WHERE key NOT IN ('united_states', 'saudi_arabia', 'china')),
+ind AS (SELECT ticker, replace(lower(CASE WHEN cik % 8 = 1 THEN 'Kingdom Of Saudi-Iran' ELSE country END), '-', '_') AS raw FROM fx_company),
+"""
+
+PEERS = f"""
+WITH {PEER_LISTS} own AS (SELECT ticker, replace(raw, ' ', '_') AS key FROM ind),
+grp AS (SELECT o.ticker, u.peer, min(u.place) AS place, 'same group' AS reason FROM own o JOIN uni u ON u.key = o.key GROUP BY o.ticker, u.peer),
+ovl AS (SELECT o.ticker, u.peer, min(u.place) AS place, 'shared word' AS reason FROM own o JOIN uni u ON len(list_intersect(string_split(o.key, '_'), string_split(u.key, '_'))) > 0
+  WHERE o.key NOT IN (SELECT key FROM uni) GROUP BY o.ticker, u.peer),
+fal AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY place) AS position FROM (SELECT * FROM grp UNION ALL SELECT * FROM ovl) t WHERE ticker <> peer),
+p AS (SELECT ticker, peer, position, 1.0::double AS relevance, 'custom' AS reason FROM cus
+ UNION ALL SELECT ticker, peer, position, 0.95::double, 'curated' FROM cur WHERE ticker NOT IN (SELECT ticker FROM cus)
+ UNION ALL SELECT ticker, peer, position, 0.70::double, reason FROM fal WHERE position <= 6 AND ticker NOT IN (SELECT ticker FROM cus) AND ticker NOT IN (SELECT ticker FROM cur)),
+r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY relevance DESC, position, peer) AS n FROM p WHERE relevance >= LEAST)
+SELECT ticker, peer, relevance, reason, n FROM r WHERE n <= 3
+"""
+
+
+def _peers(i, min_relevance: float):
     c = i.fx_company
-    nxt = c.select("ticker", "cik").where("cik % 4 = 0").withColumn("k", F.explode(F.array(F.col("cik") + 1, F.col("cik") + 2)))
-    curated = nxt.join(c.select(F.col("cik").alias("k"), F.col("ticker").alias("peer")), "k").select(
-        "ticker", "peer", F.col("k").cast("int").alias("position"))
-    return en.find_peers(c, c, curated=curated, group="country", max_peers=3)
+    follow = lambda cond, *steps: c.select("ticker", "cik").where(cond).withColumn("k", F.explode(F.array(*[F.col("cik") + s for s in steps]))).join(
+        c.select(F.col("cik").alias("k"), F.col("ticker").alias("peer")), "k").select("ticker", "peer", F.col("k").cast("int").alias("position"))
+    # Peer groups by country, three countries left out: companies there fall back to groups that share a word.
+    groups = c.select(en.group_key(F.col("country")).alias("key"), F.col("ticker").alias("peer"), "cik")
+    groups = groups.where(~F.col("key").isin("united_states", "saudi_arabia", "china"))
+    groups = groups.select("key", "peer", F.struct("key", "cik").alias("place"))
+    company = c.select("ticker", F.when(F.col("cik") % 8 == 1, "Kingdom Of Saudi-Iran").otherwise(F.col("country")).alias("industry"))
+    return en.find_peers(c, company, curated=follow("cik % 4 = 0", 1, 2), custom=follow("cik % 6 = 0", 3), universe=groups,
+                         max_peers=3, min_relevance=min_relevance)
+
+
+@query("find_peers", PEERS.replace("LEAST", "0.0"))
+def find_peers(i):
+    return _peers(i, 0.0)
+
+
+@query("find_peers_relevant", PEERS.replace("LEAST", "0.9"))
+def find_peers_relevant(i):
+    return _peers(i, 0.9)
 
 
 @query("find_comps", f"""

@@ -189,20 +189,54 @@ def work_list(wanted: DataFrame, stored: DataFrame, keys: Sequence[str], max_age
     return wanted.join(fresh.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def group_key(name: Column) -> Column:
+    """An industry name as the key of a peer group: lower case, words joined by underscores."""
+    return F.translate(F.lower(F.trim(name)), " -", "__")
+
+
+def token_heads(members: DataFrame, n: int) -> DataFrame:
+    """(token, peer, place): per word of a group's key its first ``n`` members over all groups that hold the word.
+
+    An inverted index that never grows with a word's use: whatever else holds
+    the word comes later in every list that the word can lead to. Members are
+    counted once, at their first place; losers are dropped before the shuffle.
+    """
+    words = members.select(F.explode(F.array_distinct(F.split("key", "_"))).alias("token"), "peer", "place").where("token <> ''")
+    firsts = words.groupBy("token", "peer").agg(F.min("place").alias("place"))
+    return top_per_group(firsts, ["token"], [F.col("place"), F.col("peer")], n).drop("rn")
+
+
+def overlapping(names: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """(key, peer, place): per key of ``names`` the first ``n`` members of the groups that share a word with it.
+
+    A member's place is its first in any of these groups, i.e. the first over
+    the words' own lists; so the lists' first ``n`` members suffice.
+    """
+    words = names.select("key", F.explode(F.array_distinct(F.split("key", "_"))).alias("token")).where("token <> ''")
+    found = words.join(heads, "token").groupBy("key", "peer").agg(F.min("place").alias("place"))
+    return top_per_group(found, ["key"], [F.col("place"), F.col("peer")], n).drop("rn")
+
+
 def find_peers(
     targets: DataFrame,
     company: DataFrame,
     *,
     curated: DataFrame | None = None,
     custom: DataFrame | None = None,
+    universe: DataFrame | None = None,
     group: str = "industry",
     max_peers: int = 5,
     min_relevance: float = 0.0,
 ) -> DataFrame:
-    """Peers per target: a custom list alone, else curated ones, else the group.
-
-    ``curated`` and ``custom`` are (ticker, peer, position). From a group only
-    its first members are needed, so a large group is never paired with itself.
+    """Peers per target: a custom list alone, else curated ones, else the industry group.
+
+    ``curated`` and ``custom`` are (ticker, peer, position), ``universe`` is
+    (key, peer, place) with places counted over all groups; without one, the
+    groups are those of ``company``. A target whose industry has no group takes
+    the groups whose key shares a word with its own. At most twice the limit
+    of group members come in, in order of place. Several targets of one industry share one short
+    list, so neither a large industry nor a frequent word is paired with
+    itself. Targets that no step serves give no rows.
     """
     t = targets.select("ticker").distinct()
 
@@ -222,13 +256,22 @@ def find_peers(
     for d in explicit:
         out = d if out is None else out.unionByName(d)
     left = t if out is None else t.join(out.select("ticker").distinct(), "ticker", "left_anti")
-    # Twice the limit, and one more in case the target is among them.
-    head = top_per_group(company.select(group, "ticker"), [group], [F.col("ticker")], 2 * max_peers + 1, "position")
-    head = head.select(group, F.col("ticker").alias("peer"), "position")
-    own = left.join(company.select("ticker", group), "ticker").join(head, group).where("ticker <> peer")
-    own = own.select(
-        "ticker", "peer", "position", F.lit(0.70).alias("relevance"), F.lit("same group").alias("reason")
-    )
+
+    industry = company.select("ticker", group_key(F.col(group)).alias("key")).where("key <> ''")
+    # One more than the limit, in case the target is among them.
+    limit = 2 * max_peers + 1
+    if universe is None:
+        members = industry.select("key", F.col("ticker").alias("peer"), F.struct("key", "ticker").alias("place"))
+    else:
+        members = universe.select("key", "peer", F.struct("place", "peer").alias("place"))
+    head = members.groupBy("key", "peer").agg(F.min("place").alias("place"))
+    head = top_per_group(head, ["key"], [F.col("place"), F.col("peer")], limit).drop("rn").withColumn("reason", F.lit("same group"))
+    wanted = left.join(industry, "ticker")
+    bare = wanted.select("key").distinct().join(members.select("key").distinct(), "key", "left_anti")
+    near = overlapping(bare, token_heads(members, limit), limit).withColumn("reason", F.lit("shared word"))
+    own = wanted.join(head.unionByName(near), "key").where("ticker <> peer")
+    own = top_per_group(own, ["ticker"], [F.col("place"), F.col("peer")], 2 * max_peers, "position")
+    own = own.select("ticker", "peer", "position", F.lit(0.70).alias("relevance"), "reason")
     out = own if out is None else out.unionByName(own)
     out = out.where(F.col("relevance") >= min_relevance)
     best = top_per_group(out, ["ticker"], [F.col("relevance").desc(), F.col("position"), F.col("peer")], max_peers, "n")
