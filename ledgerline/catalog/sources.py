@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ledgerline.catalog.metrics import INDUSTRY, RULES
 from ledgerline.catalog.registry import query
 from ledgerline.functions import concepts as C
+from ledgerline.functions.labels import industry_class
 from ledgerline.functions.ratios import with_ratios
 from ledgerline.operators import compare as cp
 from ledgerline.operators import ownership as ow
@@ -298,6 +300,51 @@ def historical_extract(i):
     return out.select("cik", "accn", "form", "report_date", "revenue", "net_income", "total_assets", "net_margin", "return_on_assets")
 
 
+# Annual filings that tag most of what the rules know: some tags prefixed, in some filings only, and some
+# repeated in a second currency.
+TAGS = tuple(dict.fromkeys(r.tag for r in C.default_rules()))
+HISTORY = f"""
+WITH t(tag, idx) AS (VALUES {", ".join(f"('{t}', {k})" for k, t in enumerate(TAGS))}),
+k AS (SELECT cik, accn, report_date, cast(year(report_date) AS int) AS y FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accn) AS rn FROM fx_filings WHERE form = '10-K') x WHERE rn <= 3),
+class AS (SELECT cik, {INDUSTRY} AS industry FROM fx_company),
+d AS (SELECT k.cik, k.accn, industry, CASE WHEN (idx + k.cik + y) % 7 = 0 THEN 'acme:' ELSE '' END || tag AS concept, tag AS bare, cast(idx * 1000 + k.cik + y AS double) AS value
+  FROM k JOIN class ON class.cik = k.cik, t WHERE (k.cik + idx) % 4 <> 0),
+{RULES},
+h AS (SELECT d.cik, accn, r.metric, r.priority, r.agg, d.value, r.display, d.concept = r.tag AS direct, r.tag FROM d JOIN rules r ON d.bare = r.tag AND r.ind IN ('*', d.industry)),
+u AS (SELECT DISTINCT cik, tag FROM h WHERE direct),
+cand AS (SELECT cik, accn, metric, agg, priority, value, display, concat(cik, tag) IN (SELECT concat(cik, tag) FROM u) AS used, direct FROM h),
+best AS (SELECT *, row_number() OVER (PARTITION BY cik, accn, metric ORDER BY priority, display, value) AS rn FROM cand WHERE agg = 0 AND (direct OR NOT used)),
+parts AS (SELECT cik, accn, metric, sum(cast(value AS decimal(28, 4)))::double AS value, string_agg(display, ' + ' ORDER BY priority) AS source, least(0.85, 0.60 + 0.05 * count(*))::double AS confidence
+  FROM cand WHERE agg = 1 AND (direct OR NOT used) GROUP BY cik, accn, metric)
+SELECT cik, accn, metric, value, display AS source, 0.99::double AS confidence, 'exact' AS method FROM best WHERE rn = 1
+UNION ALL SELECT cik, accn, metric, value, source, confidence, 'aggregate' FROM parts p
+  WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.cik = p.cik AND b.accn = p.accn AND b.metric = p.metric)
+"""
+
+
+def _dense_filings(i):
+    """Facts of annual filings for nearly every tag of the rules, with a second currency beside some of them."""
+    tags = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(k).alias("idx")) for k, t in enumerate(TAGS)]))
+    f = i.fx_filings.where("form = '10-K'").select("cik", "accn", "filed", F.col("report_date").alias("end_date"), tags.alias("t"))
+    f = f.select("*", "t.*", F.year("end_date").alias("y")).where("(cik + idx) % 4 <> 0")
+    concept = F.concat(F.when((F.col("idx") + F.col("cik") + F.col("y")) % 7 == 0, "acme:").otherwise(""), "tag")
+    own, other = (F.when((F.col("cik") % 10 == 9) == own, "EUR").otherwise("USD") for own in (True, False))
+    value = (F.col("idx") * 1000 + F.col("cik") + F.col("y")).cast("double")
+    base = f.select(
+        "cik", F.lit("us-gaap").alias("taxonomy"), concept.alias("concept"), own.alias("units"), F.make_date("y", F.lit(1), F.lit(1)).alias("start_date"),
+        "end_date", "filed", "accn", F.col("y").alias("fy"), F.lit("FY").alias("fp"), F.lit("10-K").alias("form"), value.alias("value"),
+        F.lit(None).cast("string").alias("dimension"), other.alias("__other"), "idx",
+    )
+    second = base.where("idx % 5 = 0").withColumns({"units": F.col("__other"), "value": F.col("value") / 16})
+    return base.unionByName(second).drop("__other", "idx")
+
+
+@query("historical_metrics", HISTORY)
+def historical_metrics(i):
+    industry = i.fx_company.select("cik", industry_class("sic", "ticker").alias("industry"))
+    return plan.historical_metrics(_dense_filings(i), {"10-K": 3}, 4, industry)
+
+
 @query("metric_subset", "SELECT cik, end_date, revenue, ebitda FROM fx_wide")
 def metric_subset(i):
     return plan.metric_subset(i.fx_wide, ["revenue", "ebitda"])

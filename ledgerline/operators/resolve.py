@@ -161,16 +161,19 @@ def resolve_metrics(
 
 
 def pivot_metrics(resolved: DataFrame, metrics: Sequence[str], keys: Sequence[str] = PERIOD) -> DataFrame:
-    """Wide form: each metric with ``<name>__src`` and ``<name>__conf``."""
-    aggs = []
-    for m in metrics:
-        here = F.col("metric") == m
-        aggs += [
-            F.max(F.when(here, F.col("value"))).alias(m),
-            F.max(F.when(here, F.col("source"))).alias(f"{m}__src"),
-            F.max(F.when(here, F.col("confidence"))).alias(f"{m}__conf"),
-        ]
-    return resolved.groupBy(*keys).agg(*aggs)
+    """Wide form: each metric with ``<name>__src`` and ``<name>__conf``.
+
+    One grouping gathers a key's metrics in a map, which is then read by name:
+    the work grows with the metrics that a key has, not with keys times metrics.
+    """
+    entry = F.struct("metric", F.struct("value", "source", "confidence"))
+    held = resolved.where(F.col("metric").isin(list(metrics))).groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("__held"))
+    # Each metric is looked up once, its three columns are read off the result.
+    wide = held.select(*keys, *[F.col("__held")[m].alias(f"__{m}") for m in metrics])
+    return wide.select(*keys, *[
+        F.col(f"__{m}")[part].alias(f"{m}{end}")
+        for m in metrics for part, end in (("value", ""), ("source", "__src"), ("confidence", "__conf"))
+    ])
 
 
 # Tags read directly by the derivation rules.
@@ -340,12 +343,17 @@ def derive_metrics(wide: DataFrame) -> DataFrame:
 
 # Metrics the derivation rules need side by side.
 CORE_METRICS = (
-    "revenue cost_of_revenue gross_profit operating_income operating_expenses net_income "
-    "income_tax_expense income_before_tax interest_expense depreciation_amortization "
-    "operating_cash_flow capital_expenditures total_assets current_assets total_liabilities "
-    "current_liabilities stockholders_equity total_equity minority_interest long_term_debt "
-    "short_term_debt cash_and_equivalents shares_outstanding eps_basic eps_diluted"
-).split()
+    "revenue", "cost_of_revenue", "gross_profit", "operating_income", "operating_expenses", "net_income",
+    "income_tax_expense", "income_before_tax", "interest_expense", "depreciation_amortization",
+    "operating_cash_flow", "capital_expenditures", "total_assets", "current_assets", "total_liabilities",
+    "current_liabilities", "stockholders_equity", "total_equity", "minority_interest", "long_term_debt",
+    "short_term_debt", "cash_and_equivalents", "shares_outstanding", "eps_basic", "eps_diluted",
+)
+
+# Every metric of the tag rules, those the derivations need first.
+ALL_METRICS = tuple(dict.fromkeys([*CORE_METRICS, *[r.metric for r in C.default_rules()]]))
+# What the derivations add.
+DERIVED_METRICS = ("total_debt", "net_debt", "free_cash_flow", "ebitda")
 
 
 def extract(
@@ -368,11 +376,11 @@ def extract(
 
 # Metrics never converted; per-share amounts are.
 NOT_CONVERTED = (
-    "shares_outstanding reit_occupancy insurance_combined_ratio bank_efficiency "
-    "bank_net_interest_margin fintech_take_rate gross_margin operating_margin net_margin "
-    "return_on_assets return_on_equity current_ratio debt_to_equity debt_to_assets "
-    "ebitda_margin fcf_margin ocf_to_net_income retail_same_store retail_store_count"
-).split()
+    "shares_outstanding", "reit_occupancy", "insurance_combined_ratio", "bank_efficiency",
+    "bank_net_interest_margin", "fintech_take_rate", "gross_margin", "operating_margin", "net_margin",
+    "return_on_assets", "return_on_equity", "current_ratio", "debt_to_equity", "debt_to_assets",
+    "ebitda_margin", "fcf_margin", "ocf_to_net_income", "retail_same_store", "retail_store_count",
+)
 
 
 def convert_currency(metrics: DataFrame, rates: DataFrame, to: str = "USD") -> DataFrame:

@@ -81,34 +81,47 @@ def trailing_profitability(facts: DataFrame, industry: DataFrame | None = None)
     )
 
 
-def historical_extract(
-    facts: DataFrame, caps: dict[str, int], default: int, metrics: tuple[str, ...] = tuple(rs.CORE_METRICS),
-    industry: DataFrame | None = None,
-) -> DataFrame:
-    """All metrics and ratios of every periodic filing, as it was filed.
+def filing_views(facts: DataFrame, caps: dict[str, int], default: int) -> tuple[DataFrame, DataFrame]:
+    """(index, view): the newest filings of each form up to its cap, and their own facts of their own period.
 
-    Facts are resolved per accession, so restatements do not leak backwards.
-    The newest filings of each form are kept up to its cap.
+    A filing keeps one currency, the one most of its rows have: rows in another
+    one, also in dollars, would mix into its sums and ratios.
     """
     index = capped_filings(fx.filing_profile(facts), caps, default)
     rows = facts.where(fx.is_quality_row(facts)).join(
         index.select("cik", "accn", "report_date", F.col("form").alias("__form")), ["cik", "accn"]
     ).where("end_date = report_date")
-    # A filing's own currency: rows in another one would mix into its sums and ratios.
     money = fx.detect_currency(rows, ("cik", "accn"))
-    rows = rows.join(money, ["cik", "accn"]).where(
-        fx.unit_currency().isNull() | (fx.unit_currency() == F.col("currency")) | (F.col("currency") == "USD")
-    ).drop("currency")
+    own = fx.unit_currency().isNull() | (fx.unit_currency() == F.col("currency"))
+    rows = rows.join(money, ["cik", "accn"]).where(own).drop("currency")
     rows = fx.dedupe_facts(rows, ("cik", "accn", "concept", "taxonomy", "units", "start_date", "end_date"))
     series = ("cik", "accn", "concept", "taxonomy", "units")
     annual = fx.annual_facts(rows.where(F.col("__form").isin("10-K", "20-F")), series)
     interim = fx.ytd_facts(rows.where(~F.col("__form").isin("10-K", "20-F")), series)
-    view = annual.unionByName(interim).select("cik", "accn", "concept", "value")
+    return index, annual.unionByName(interim).select("cik", "accn", "concept", "value")
+
+
+def historical_metrics(facts: DataFrame, caps: dict[str, int], default: int, industry: DataFrame | None = None) -> DataFrame:
+    """Every metric of the tag rules as each periodic filing tags it: one row per (cik, accn, metric)."""
+    _, view = filing_views(facts, caps, default)
+    return rs.resolve_metrics(view, industry=industry, keys=("cik", "accn"))
+
+
+def historical_extract(
+    facts: DataFrame, caps: dict[str, int], default: int, metrics: tuple[str, ...] = rs.ALL_METRICS,
+    industry: DataFrame | None = None,
+) -> DataFrame:
+    """All metrics and ratios of every periodic filing, as it was filed.
+
+    Facts are resolved per accession, so restatements do not leak backwards.
+    The newest filings of each form are kept up to its cap.
+    """
+    index, view = filing_views(facts, caps, default)
     wide = rs.extract(view, industry=industry, metrics=metrics, keys=("cik", "accn"))
     return with_ratios(wide.join(index.select("cik", "accn", "form", "report_date", "filed"), ["cik", "accn"]))
 
 
-KNOWN_METRICS = (*rs.CORE_METRICS, "free_cash_flow", "ebitda", "total_debt", "net_debt")
+KNOWN_METRICS = (*rs.ALL_METRICS, *rs.DERIVED_METRICS)
 
 
 def metric_subset(wide: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("cik", "end_date")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from ledgerline.functions import concepts as C
 from ledgerline.operators import resolve as rs
 from ledgerline.plans import fundamentals as plan
 
@@ -22,6 +23,38 @@ def test_history_stays_in_the_currency_of_the_filing(spark):
     assert (r["revenue"], r["net_income"], r["net_margin"]) == (100.0, 20.0, 0.2)
 
 
+def filed(spark, rows):
+    made = [(cik, "us-gaap", concept, unit, dt.date(2020, 1, 1), dt.date(2020, 12, 31), dt.date(2021, 2, 1), f"a-{cik}", 2020, "FY", "10-K", value, None)
+            for cik, concept, unit, value in rows]
+    return spark.createDataFrame(
+        made, "cik long, taxonomy string, concept string, units string, start_date date, end_date date, filed date, accn string, "
+              "fy int, fp string, form string, value double, dimension string")
+
+
+def test_a_dollar_filing_drops_rows_in_other_currencies(spark):
+    """Either way round the currency of most rows is kept, and the smaller amount of the other one does not win."""
+    for own, other in (("USD", "EUR"), ("EUR", "USD")):
+        rows = [(7, "Revenues", own, 100.0), (7, "Revenues", other, 90.0), (7, "NetIncomeLoss", own, 20.0), (7, "CostOfRevenue", own, 60.0)]
+        r = plan.historical_extract(filed(spark, rows), {"10-K": 3}, 4).first()
+        assert (r["revenue"], r["net_margin"]) == (100.0, 0.2)
+
+
+def test_history_holds_every_metric_of_the_rules(spark):
+    tags = {}
+    for rule in C.default_rules():
+        if rule.industry in ("*", "standard") and not rule.aggregate:
+            tags.setdefault(rule.metric, rule.tag)
+    value = {t: 1000.0 + k for k, t in enumerate(dict.fromkeys(tags.values()))}
+    facts = filed(spark, [(3, t, "USD", v) for t, v in value.items()])
+    long = {r["metric"]: r["value"] for r in plan.historical_metrics(facts, {"10-K": 3}, 4).collect()}
+    assert len(rs.ALL_METRICS) == 79 and set(tags) <= set(long)
+    wide = plan.historical_extract(facts, {"10-K": 3}, 4)
+    assert set(rs.ALL_METRICS) | set(rs.DERIVED_METRICS) <= set(wide.columns)
+    r = wide.first()
+    derived = {"gross_profit", "capital_expenditures", "depreciation_amortization", "revenue"}
+    assert {m: r[m] for m in long if m not in derived} == {m: v for m, v in long.items() if m not in derived}
+
+
 def test_prefixed_tags_that_tie_are_ordered_by_value(spark):
     rows = [(1, "2020-12-31", "a:NetIncomeLoss", v) for v in (7.0, 3.0)] + [(1, "2020-12-31", "b:NetIncomeLoss", 5.0)]
     for order in (rows, rows[::-1]):
