@@ -1,5 +1,7 @@
 """Revenue breakdowns by dimension, tag name and filing table."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerline.catalog.registry import query
@@ -108,11 +110,40 @@ def concept_segments(i):
     return sg.concept_segments(fx.form_filter(i.fx_facts, ["10-K"]))
 
 
-def _geo_text(i, columnar=False):
+# The region names in turn, five to a filing. A line in which two patterns match is read as a row of headings,
+# so only names of one pattern serve here.
+_MATCHING = {name: [label for pattern, label in sg.GEO_TEXT if re.search(pattern, name)] for name in dict.fromkeys(label for _, label in sg.GEO_TEXT)}
+REGION_NAMES = tuple(n for n, m in _MATCHING.items() if m == [n])
+
+
+def _geo_rows(names):
+    return f"""SELECT cik, fy, list_element([{", ".join(map(_text, names))}], ((cik * 5 + r) % {len(names)} + 1)::int) AS name, cast(value AS decimal(18,0)) AS value
+  FROM (SELECT *, CASE label WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 4 END AS r FROM fx_dims
+    WHERE axis = 'StatementGeographicalAxis' AND label IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')) x"""
+
+
+def _text(name):
+    return "'" + name.replace("'", "''") + "'"
+
+
+def _geo_sql(names, values):
+    within = " OR ".join(f"(label = '{a}' AND list_contains(have, '{b}'))" for a, b in sg.SUBSETS)
+    return f"""
+WITH d AS ({_geo_rows(names)}),
+v AS (SELECT cik, fy, name AS label, max(value)::double * 1000 AS value FROM d WHERE {values} GROUP BY ALL),
+h AS (SELECT *, list(label) OVER (PARTITION BY cik, fy) AS have FROM v)
+SELECT cik, fy, label, value, value / (sum(cast(value AS decimal(28,4))) OVER (PARTITION BY cik, fy))::double * 100 AS pct FROM h WHERE NOT ({within})
+"""
+
+
+def _geo_text(i, names, columnar=False):
     """Filing text with a regional revenue table, written from the data."""
-    d = i.fx_dims.where("axis = 'StatementGeographicalAxis' AND label IN ('AFRICA', 'EUROPE', 'MIDDLE EAST')")
+    place = {"AFRICA": 0, "AMERICA": 1, "ASIA": 2, "EUROPE": 3, "MIDDLE EAST": 4}
+    d = i.fx_dims.where(F.col("label").isin(*place) & (F.col("axis") == "StatementGeographicalAxis"))
+    r = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col("label")]
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), ((F.col("cik") * 5 + r) % len(names) + 1).cast("int"))
     amount = F.format_number(F.col("value").cast("decimal(18,0)"), 0)
-    rows = F.array_sort(F.collect_list(F.struct("label", amount.alias("a"))))
+    rows = F.array_sort(F.collect_list(F.struct(r.alias("r"), name.alias("label"), amount.alias("a"))))
     g = d.groupBy("cik", "fy").agg(rows.alias("r"))
     filler = F.repeat(F.lit("The company sells goods in many markets and reports results each year. "), 4)
     if columnar:
@@ -120,26 +151,42 @@ def _geo_text(i, columnar=False):
         vals = F.array_join(F.transform("r", lambda x: F.concat(F.lit("$ "), x["a"])), "   ")
         body = F.concat(head, F.lit("\nNet sales "), vals)
     else:
-        body = F.array_join(F.transform("r", lambda x: F.concat(F.initcap(x["label"]), F.lit("     $"), x["a"], F.lit("   $1,000"))), "\n")
-    text = F.concat(filler, F.lit("\nRevenue by geography (in thousands)\n"), body, F.lit("\nTotal  $9,999,999\n"), filler)
+        body = F.array_join(F.transform("r", lambda x: F.concat(x["label"], F.lit("     $"), x["a"], F.lit("   $1,000"))), "\n")
+    heading = F.when(F.col("cik") % 2 == 0, "Revenue by geography").otherwise("Revenue earned in customer by geography")
+    text = F.concat(filler, F.lit("\n"), heading, F.lit(" (in thousands)\n"), body, F.lit("\nTotal  $9,999,999\n"), filler)
     return g.select("cik", "fy", text.alias("text"))
 
 
-GEO_SQL = """
-WITH d AS (SELECT cik, fy, CASE label WHEN 'AFRICA' THEN 'Africa' WHEN 'EUROPE' THEN 'Europe' ELSE 'Middle East' END AS label, cast(value AS decimal(18,0))::double * 1000 AS value
-  FROM fx_dims WHERE axis = 'StatementGeographicalAxis' AND label IN ('AFRICA', 'EUROPE', 'MIDDLE EAST'))
-SELECT *, value / (sum(cast(value AS decimal(28,4))) OVER (PARTITION BY cik, fy))::double * 100 AS pct FROM d WHERE value / 1000 NOT BETWEEN 1900 AND 2100
-"""
-
-
-@query("geographic_table_rows", GEO_SQL)
+@query("geographic_table_rows", _geo_sql(REGION_NAMES, "value > 0 AND value NOT BETWEEN 1900 AND 2100"))
 def geographic_table_rows(i):
-    return sg.geographic_table(_geo_text(i), key=("cik", "fy"))
+    return sg.geographic_table(_geo_text(i, REGION_NAMES), key=("cik", "fy"))
 
 
-@query("geographic_table_columns", GEO_SQL)
+@query("geographic_table_columns", _geo_sql(REGION_NAMES, "value > 0"))
 def geographic_table_columns(i):
-    return sg.geographic_table(_geo_text(i, columnar=True), key=("cik", "fy"))
+    return sg.geographic_table(_geo_text(i, REGION_NAMES, columnar=True), key=("cik", "fy"))
+
+
+BUSINESSES = """
+WITH d AS (SELECT cik, fy, 'Line ' || translate(label, '0123456789#', 'ABCDEFGHIJN') AS label, cast(value AS decimal(18,0))::double AS value FROM fx_dims WHERE axis IN ('ProductOrServiceAxis', 'StatementBusinessSegmentsAxis') AND value >= 2101),
+m AS (SELECT cik, fy, label, max(value) AS value FROM d GROUP BY ALL),
+s AS (SELECT *, (sum(cast(value AS decimal(28,4))) OVER (PARTITION BY cik, fy))::double AS t, count(*) OVER (PARTITION BY cik, fy) AS c FROM m),
+k AS (SELECT cik, fy, label, value * 1000 AS value FROM s WHERE NOT (c > 2 AND abs(value - (t - value)) / t < 0.05)),
+p AS (SELECT *, value / (sum(cast(value AS decimal(28,4))) OVER (PARTITION BY cik, fy))::double * 100 AS pct, count(*) OVER (PARTITION BY cik, fy) AS n FROM k)
+SELECT cik, fy, label, value, pct FROM p WHERE n >= 2 AND pct >= 0.95
+"""
+
+
+@query("segment_sections_revenue", BUSINESSES)
+def segment_sections_revenue(i):
+    """Texts without any heading of a segment table: each business has a section and a line with its revenue."""
+    d = i.fx_dims.where("axis IN ('ProductOrServiceAxis', 'StatementBusinessSegmentsAxis') AND value >= 2101")
+    name = F.concat(F.lit("Line "), F.translate("label", "0123456789#", "ABCDEFGHIJN"))
+    section = F.concat(name, F.lit("\nStatement of Income (unaudited)\nOther costs 17\nNet revenues  $ "), F.format_number(F.col("value").cast("decimal(18,0)"), 0), F.lit("  1,000\n"))
+    g = d.groupBy("cik", "fy").agg(F.array_join(F.array_sort(F.collect_list(section)), "\n").alias("body"))
+    filler = F.repeat(F.lit("Our lines share plants and people. "), 4)
+    text = F.concat(filler, F.lit("\nAmounts (in thousands)\n"), "body", F.lit("\n"), filler)
+    return sg.segment_table(g.select("cik", "fy", text.alias("text")), key=("cik", "fy"))
 
 
 @query("segment_table", """

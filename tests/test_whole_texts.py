@@ -1,10 +1,13 @@
 """Texts, rows and names beyond any fixed size are worked on whole."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import entities as en
 from ledgerline.operators import periods as pr
 from ledgerline.operators import sections as se
+from ledgerline.operators import segments as sg
 from ledgerline.operators import text as tx
 from ledgerline.sources import documents as sd
 
@@ -81,7 +84,6 @@ def test_subtotals_in_groups_of_any_size(spark):
 
     import numpy as np
 
-    from ledgerline.operators import segments as sg
 
     def plain(target, others):
         return any(abs(sum(c) - target) / target < 0.001 for k in range(2, len(others) + 1) for c in combinations(others, k))
@@ -101,7 +103,6 @@ def test_subtotals_in_groups_of_any_size(spark):
 
 
 def test_tables_of_any_length_and_distance_are_read_whole(spark):
-    from ledgerline.operators import segments as sg
 
     filler = "The company sells goods in many markets and says so at length here.\n" * 90
     lines = "".join(f"Line {chr(65 + k)}{chr(97 + k)} .... ${100 + k}\n" for k in range(12))
@@ -112,3 +113,67 @@ def test_tables_of_any_length_and_distance_are_read_whole(spark):
     text = f"Revenue by geography (in thousands)\n{filler}Africa   $5,000\nEurope   $7,000\n"
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
     assert {r["label"]: r["value"] for r in sg.geographic_table(df).collect()} == {"Africa": 5e6, "Europe": 7e6}
+
+
+def test_all_regions_in_rows_and_in_columns(spark):
+    """Every name that only its own pattern matches, against a plain reading of the table."""
+    import re
+
+    names = [n for n in dict.fromkeys(label for _, label in sg.GEO_TEXT) if [label for p, label in sg.GEO_TEXT if re.search(p, n)] == [n]]
+    assert len(names) > 50 and {"Sweden", "UAE", "Chile", "Philippines", "Nigeria"} <= set(names)
+    values = {n: 10_000.0 + 7 * k for k, n in enumerate(names)}
+    rows = "\n".join(f"{n}   ${v:,.0f}   $1" for n, v in values.items())
+    heads = " | ".join(names) + "\nNet sales " + "  ".join(f"$ {v:,.0f}" for v in values.values())
+    odd = "Revenue by region\nTürkiye $ 5,000\nU.S. $ 6,000\nUnited Arab Emirates $ 7,000\nNorth Macedonia $ 9\nFrance and others " + "x" * 300 + " $ 3\n"
+    docs = [(1, f"Geographic information\n{rows}\nTotal $ 99"), (2, f"Geographic area\n{heads}\n"), (3, odd), (4, "no table"), (5, None)]
+    got = {}
+    for r in sg.geographic_table(spark.createDataFrame(docs, "doc_id int, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.label] = r.value
+    gone = {child for child, parent in sg.SUBSETS if parent in values}
+    assert got[1] == got[2] == {n: v for n, v in values.items() if n not in gone}
+    assert got[3] == {"Turkey": 5000.0, "United States": 6000.0, "UAE": 7000.0}
+    assert set(got) == {1, 2, 3}
+
+
+def plain_business_sections(text):
+    """Each name with the text that follows it, read again for every name."""
+    import re
+
+    out = {}
+    for m in re.finditer(sg.BUSINESS_LINE, text, re.M):
+        label, after = m.group(1).strip(), text[m.end() : m.end() + sg.BUSINESS_REACH]
+        if re.match(sg.NOT_BUSINESS, label, re.I) or label.lower() in sg.REGION_NAMES[:17] or not re.search(sg.BUSINESS_TABLE, after, re.I):
+            continue
+        hit = re.search(sg.BUSINESS_REVENUE, after, re.I)
+        value = float(hit.group(1).replace(",", "")) if hit else 0
+        if value > 0 and not 1900 <= value <= 2100:
+            out[label] = max(value, out.get(label, 0))
+    return out
+
+
+def test_business_sections_against_a_plain_reading(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randrange(40)):
+            lines.append(rng.choice([
+                "Institutional Securities", "Wealth Management", "Europe", "Income tax", "Investment & Trading", "Income Statement Information",
+                "Statement of income (unaudited)", f"Net revenues  {rng.randrange(1, 90):,},{rng.randrange(100, 999)}", "Net revenue\n$ 2,000", "Total net revenues 4,100 3,000",
+                "some words " * rng.randrange(1, 120), "", "Overview of it", "X Y",
+            ]))
+        texts.append("\n".join(lines))
+    docs = spark.createDataFrame([*enumerate(texts), (99, None), (98, "")], "doc_id int, text string")
+    got = {}
+    for r in sg.business_sections(docs).collect():
+        got.setdefault(r.doc_id, {})[r.label] = r.value
+    want = {k: w for k, w in ((k, plain_business_sections(t)) for k, t in enumerate(texts)) if w}
+    assert got == want and sum(map(len, want.values())) > 40
+
+
+def test_more_than_eight_businesses_without_a_heading(spark):
+    names = ["Alpha", "Beta Works", "Gamma", "Delta", "Epsilon", "Zeta", "Eta Lines", "Theta", "Iota", "Kappa"]
+    body = "\n".join(f"{n}\nStatement of income (unaudited)\nNet revenues  {10 + k},000" for k, n in enumerate(names))
+    docs = spark.createDataFrame([(1, "Figures (in millions)\n" + body), (2, "figures\nAlpha\nStatement of income (x)\nNet revenues 5,000")], "doc_id int, text string")
+    got = {(r.doc_id, r.label): r.value for r in sg.segment_table(docs).collect()}
+    assert got == {(1, n): (10 + k) * 1e9 for k, n in enumerate(names)}
