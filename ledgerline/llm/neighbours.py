@@ -17,9 +17,10 @@ from ledgerline.operators.ranking import rank_within
 CURVES, AXES, BITS = 8, 8, 6
 # Queries whose true neighbours fit the window, and the share of them it must reach.
 SAMPLE, REACHED = 128, 0.97
-# Rows of a block of a curve, and of a strip of queries compared at once.
-BLOCK = 4096
-_STRIP = 128
+# Rows of a block of a curve at least and at most; between them a block is as long as the window.
+BLOCKS = (64, 1 << 18)
+# Scores held at once.
+_CELLS = 1 << 22
 
 
 @cache
@@ -83,9 +84,9 @@ def curve_keys(vectors: np.ndarray, longest: float, as_query: bool, curves: int,
 
 
 def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors in one byte a component, their scales, and the length of what the bytes lose."""
-    scale = np.abs(vectors).max(axis=1) / 127
-    small = np.rint(vectors / scale[:, None]).astype(np.int8)
+    """Vectors in two bytes a component, their scales, and the length of what the codes lose."""
+    scale = np.abs(vectors).max(axis=1) / 32767
+    small = np.rint(vectors / scale[:, None]).astype(np.int16)
     lost = vectors - small * scale[:, None]
     return small, scale, np.sqrt((lost * lost).sum(axis=1)) * (1 + 1e-9)
 
@@ -101,7 +102,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVES, axes: int = AXES, bits: int = BITS,
-           reached: float = REACHED, sample: int = SAMPLE, block: int = BLOCK, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+           reached: float = REACHED, sample: int = SAMPLE, block: int | None = None, id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` picks, the ``k`` rows of largest inner product found.
 
     All rows are in the index: each has a place on every curve, and a query
@@ -109,9 +110,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVE
     fitted so that ``reached`` of the true neighbours of ``sample`` queries
     (searched exhaustively, a bounded number) lie in one of their windows; it
     widens where vectors have no structure and narrows where they have. Curves
-    are range-partitioned; their blocks of ``block`` rows are tasks that hold
-    one byte a component. Error bounds of these decide which pairs can be among
-    the nearest, and those are computed in double precision on the vectors as
+    are range-partitioned; their blocks are tasks that hold two bytes a
+    component. A block is as long as the window (within bounds), so a query
+    meets about three on a curve and brings home few more than ``k`` + 1 rows
+    from each. Error bounds of the codes decide which pairs can be among the
+    nearest, and those are computed in double precision on the vectors as
     given, so coding loses nothing.
 
     Equal vectors are one point with its ``k`` + 1 smallest ids: a third of all
@@ -154,6 +157,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVE
     ranked = rank_within(spread, ["size", "curve"], [F.col("key"), F.col("point"), F.col("asks")])
     ranked = written(ranked.select("point", "size", "asks", "curve", F.col("rank").alias("place"), "group_size"))
     window = _window(points, asking, ranked, k, reached, sample)
+    block = block or min(max(window, BLOCKS[0]), BLOCKS[1])
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,19 +185,19 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVE
                 continue
             there = one[~asks]
             size = int(one["size"].iloc[0])
-            bytes_ = np.frombuffer(b"".join(there["code"]), np.int8).reshape(-1, size)
-            held_at = bytes_ * there["scale"].to_numpy()[:, None]
-            names, lost = there["point"].to_numpy(), there["lost"].to_numpy()
+            small = np.frombuffer(b"".join(there["code"]), np.int16).reshape(-1, size).T.astype(np.float64)
+            names, scale, lost = (there[c].to_numpy() for c in ("point", "scale", "lost"))
             wanted, who = _stacked(one.loc[asks, "vector"]), one.loc[asks, "point"].to_numpy()
-            for a in range(0, len(who), _STRIP):
-                q = wanted[a : a + _STRIP]
-                about = q @ held_at.T
+            strip = max(1, _CELLS // len(names))
+            for a in range(0, len(who), strip):
+                q = wanted[a : a + strip]
+                about = (q @ small) * scale
                 error = np.linalg.norm(q, axis=1)[:, None] * lost * (1 + 1e-9)
                 least = about - error
                 keep = min(k + 1, len(names))
                 floor = np.partition(least, len(names) - keep, axis=1)[:, len(names) - keep]
                 i, j = np.nonzero(about + error >= floor[:, None])
-                yield pd.DataFrame({"asker": who[a : a + _STRIP][i], "point": names[j], "least": least[i, j], "most": (about + error)[i, j]})
+                yield pd.DataFrame({"asker": who[a : a + strip][i], "point": names[j], "least": least[i, j], "most": (about + error)[i, j]})
 
     met = work.mapInPandas(compare, "asker long, point long, least double, most double")
     # A pair met on several curves has the same bounds each time.
