@@ -74,13 +74,14 @@ def day_change(i):
 
 
 EASTERN = "(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')"
-SESSION = "CASE WHEN isodow(l) >= 6 THEN 'closed' WHEN m >= 240 AND m < 570 THEN 'pre' WHEN m >= 570 AND m < 960 THEN 'regular' WHEN m >= 960 AND m < 1200 THEN 'after' ELSE 'closed' END"
+HOLIDAY = "cast(l AS date) IN (date '2024-01-01', date '2024-01-15')"
+SESSION = f"CASE WHEN isodow(l) >= 6 OR {HOLIDAY} THEN 'closed' WHEN m >= 240 AND m < 570 THEN 'pre' WHEN m >= 570 AND m < 960 THEN 'regular' WHEN m >= 960 AND m < 1200 THEN 'after' ELSE 'closed' END"
 
 
 # All events are in January 2024, so Eastern time is UTC less five hours.
 @query("market_session", f"""
 WITH t AS (SELECT event_id, ts - INTERVAL 5 HOUR AS l FROM events), u AS (SELECT *, hour(l) * 60 + minute(l) AS m FROM t)
-SELECT event_id, {SESSION} AS session, isodow(l) < 6 AND hour(l) BETWEEN 6 AND 21 AS filing_desk_open FROM u
+SELECT event_id, {SESSION} AS session, isodow(l) < 6 AND NOT {HOLIDAY} AND hour(l) BETWEEN 6 AND 21 AS filing_desk_open FROM u
 """)
 def market_sessions(i):
     return i.events.select("event_id", market_session("ts").alias("session"), filing_desk_open("ts").alias("filing_desk_open"))

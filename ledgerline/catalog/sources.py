@@ -193,12 +193,17 @@ def json_export_roundtrip(i):
 
 
 @query("comparison_snapshot", """
-SELECT c.ticker, fy, string_agg(metric, ',' ORDER BY metric) AS metrics, count(*) AS n FROM fx_long l JOIN fx_company c ON l.cik = c.cik WHERE metric IN ('revenue', 'net_income', 'gross_profit') GROUP BY c.ticker, fy
+WITH v AS (SELECT c.ticker, fy, metric, value FROM fx_long l JOIN fx_company c ON l.cik = c.cik WHERE metric IN ('revenue', 'net_income', 'gross_profit'))
+SELECT 'first' AS batch, ticker, fy, metric, value FROM v WHERE fy <= 1998
+UNION ALL SELECT 'second', ticker, fy, metric, value FROM v WHERE fy >= 1997
 """)
 def comparison_snapshot(i):
+    """Two snapshots appended, the first one twice, as a retry would; the sink holds each once."""
     long = i.fx_long.join(i.fx_company.select("cik", "ticker"), "cik")
-    snap = sinks.comparison_snapshot(long, ["revenue", "net_income", "gross_profit"])
-    return snap.select("ticker", "fy", F.array_join(F.transform("metrics", lambda m: m["metric"]), ",").alias("metrics"), F.size("metrics").cast("long").alias("n"))
+    sink = sinks.SnapshotSink(st.work_folder(i.spark, "snapshots"))
+    for batch, rows in (("first", "fy <= 1998"), ("first", "fy <= 1998"), ("second", "fy >= 1997")):
+        sink.append(sinks.comparison_snapshot(long.where(rows), ["revenue", "net_income", "gross_profit"]), batch)
+    return sink.read(i.spark).select("batch", "ticker", "fy", F.inline("metrics"))
 
 
 OBS = "SELECT cik, metric, period_type, end_date, value FROM (SELECT *, row_number() OVER (PARTITION BY cik, metric, period_type, end_date ORDER BY batch DESC) AS rn FROM fx_obs) t WHERE rn = 1"
@@ -217,10 +222,10 @@ def upsert_observations(i):
 def stream_upsert_observations(i):
     folder = st.work_folder(i.spark, "observations")
     for b in range(5):
-        # One file per batch, so that the stream sees them in order.
-        i.fx_obs.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = st.open_stream(i.spark, f"{folder}/in", files_per_batch=1)
-    table = st.upsert_stream(stream, f"{folder}/table", KEY, f"{folder}/state")
+        i.fx_obs.where(F.col("batch") == b).write.mode("append").parquet(f"{folder}/in")
+    # A micro-batch may hold files of several batches: the batch number orders the versions of a key.
+    stream = st.open_stream(i.spark, f"{folder}/in", files_per_batch=16)
+    table = st.upsert_stream(stream, f"{folder}/table", KEY, f"{folder}/state", order=["batch"])
     return table.read(i.spark).select(*KEY, "value")
 
 
@@ -264,13 +269,27 @@ def stream_insider_sliding(i):
     return _plain(st.drain(out, "insider-sliding"))
 
 
+def _sliding_sql(days):
+    return WINDOW_SQL.format(start="date_trunc('day', ts)::timestamp - to_days(k::int)", source=f", (SELECT unnest(range(0, {days})) AS k) g", days=days)
+
+
+@query("stream_insider_30_days", _sliding_sql(30))
+def stream_insider_30_days(i):
+    return _plain(st.drain(st.insider_windows(_trades(i), "30 days", "1 day"), "insider-30"))
+
+
+@query("stream_insider_90_days", _sliding_sql(90))
+def stream_insider_90_days(i):
+    return _plain(st.drain(st.insider_windows(_trades(i), "90 days", "1 day"), "insider-90"))
+
+
 def _plain(df):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query("stream_daily_bars", """
 WITH e AS (SELECT event_type || '-' || cast(user_id % 20 AS varchar) AS symbol, ts, value, ts - INTERVAL 5 HOUR AS l FROM events),
-s AS (SELECT *, CASE WHEN isodow(l) >= 6 THEN 'closed' WHEN hour(l) * 60 + minute(l) BETWEEN 240 AND 569 THEN 'pre' WHEN hour(l) * 60 + minute(l) BETWEEN 570 AND 959 THEN 'regular' WHEN hour(l) * 60 + minute(l) BETWEEN 960 AND 1199 THEN 'after' ELSE 'closed' END AS session FROM e)
+s AS (SELECT *, CASE WHEN isodow(l) >= 6 OR cast(l AS date) IN (date '2024-01-01', date '2024-01-15') THEN 'closed' WHEN hour(l) * 60 + minute(l) BETWEEN 240 AND 569 THEN 'pre' WHEN hour(l) * 60 + minute(l) BETWEEN 570 AND 959 THEN 'regular' WHEN hour(l) * 60 + minute(l) BETWEEN 960 AND 1199 THEN 'after' ELSE 'closed' END AS session FROM e)
 SELECT cast(ts AS date) AS day, symbol, session, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume FROM s
 WHERE cast(ts AS date) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2, 3
 """)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,17 +21,6 @@ FISCAL_PERIOD_BANDS = (
 # Order of a fiscal period inside its year.
 FISCAL_RANK = {"Q1": 1, "Q2": 2, "H1": 2, "Q3": 3, "M9": 3, "Q4": 4, "FY": 4}
 
-# Full-day exchange holidays, 2025 to 2027.
-HOLIDAYS = (
-    "2025-01-01", "2025-01-20", "2025-02-17", "2025-04-18", "2025-05-26",
-    "2025-06-19", "2025-07-04", "2025-09-01", "2025-11-27", "2025-12-25",
-    "2026-01-01", "2026-01-19", "2026-02-16", "2026-04-03", "2026-05-25",
-    "2026-06-19", "2026-07-03", "2026-09-07", "2026-11-26", "2026-12-25",
-    "2027-01-01", "2027-01-18", "2027-02-15", "2027-03-26", "2027-05-31",
-    "2027-06-18", "2027-07-05", "2027-09-06", "2027-11-25", "2027-12-24",
-)
-
-
 def day_gap(later: Column | str, earlier: Column | str) -> Column:
     return F.datediff(col(later), col(earlier))
 
@@ -92,16 +83,61 @@ def quarter_label(fp: Column) -> Column:
     return F.coalesce(out, up)
 
 
-def _closed_day(local: Column, holidays: tuple[str, ...]) -> Column:
-    return F.dayofweek(local).isin(1, 7) | F.date_format(local, "yyyy-MM-dd").isin(*holidays)
+def easter(year: int) -> dt.date:
+    """Easter Sunday of a Gregorian year, from the moon's age and the weekday in whole numbers."""
+    golden, century, rest = year % 19, year // 100, year % 100
+    moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
+    weekday = (32 + 2 * (century % 4) + 2 * (rest // 4) - moon - rest % 4) % 7
+    late = (golden + 11 * moon + 22 * weekday) // 451
+    month, day = divmod(moon + weekday - 7 * late + 114, 31)
+    return dt.date(year, month, day + 1)
+
+
+# Two days before Easter, for every year that filings or quotes can be of.
+GOOD_FRIDAYS = tuple(easter(y) - dt.timedelta(days=2) for y in range(1960, 2100))
+
+
+def is_exchange_holiday(day: Column | str) -> Column:
+    """Full-day exchange holidays of any year, by rule.
+
+    Holidays by weekday are that weekday's n-th of the month. Those of a fixed
+    day move from Saturday to Friday and from Sunday to Monday; New Year's Day
+    on a Saturday is not made up. Some only came in later years.
+    """
+    day = col(day)
+    year, month, dom, weekday = F.year(day), F.month(day), F.dayofmonth(day), F.dayofweek(day)
+    monday, friday, thursday = weekday == 2, weekday == 6, weekday == 5
+
+    def fixed(m: int, d: int) -> Column:
+        return (month == m) & (
+            ((dom == d) & weekday.between(2, 6)) | ((dom == d - 1) & friday) | ((dom == d + 1) & monday)
+        )
+
+    new_year = (month == 1) & (((dom == 1) & weekday.between(2, 6)) | ((dom == 2) & monday))
+    return (
+        new_year
+        | ((month == 1) & monday & dom.between(15, 21) & (year >= 1998))
+        | ((month == 2) & monday & dom.between(15, 21))
+        | day.isin(*GOOD_FRIDAYS)
+        | ((month == 5) & monday & (dom >= 25))
+        | (fixed(6, 19) & (year >= 2022))
+        | fixed(7, 4)
+        | ((month == 9) & monday & (dom <= 7))
+        | ((month == 11) & thursday & dom.between(22, 28))
+        | fixed(12, 25)
+    )
+
+
+def _closed_day(local: Column) -> Column:
+    return F.dayofweek(local).isin(1, 7) | is_exchange_holiday(F.to_date(local))
 
 
-def market_session(ts: Column | str, holidays: tuple[str, ...] = HOLIDAYS) -> Column:
+def market_session(ts: Column | str) -> Column:
     """pre, regular, after or closed, by Eastern wall clock."""
     local = F.from_utc_timestamp(col(ts), "America/New_York")
     minute = F.hour(local) * 60 + F.minute(local)
     return (
-        F.when(_closed_day(local, holidays), "closed")
+        F.when(_closed_day(local), "closed")
         .when((minute >= 240) & (minute < 570), "pre")
         .when((minute >= 570) & (minute < 960), "regular")
         .when((minute >= 960) & (minute < 1200), "after")
@@ -109,7 +145,7 @@ def market_session(ts: Column | str, holidays: tuple[str, ...] = HOLIDAYS) -> Co
     )
 
 
-def filing_desk_open(ts: Column | str, holidays: tuple[str, ...] = HOLIDAYS) -> Column:
+def filing_desk_open(ts: Column | str) -> Column:
     """Business days from six in the morning to ten at night, Eastern."""
     local = F.from_utc_timestamp(col(ts), "America/New_York")
-    return ~_closed_day(local, holidays) & F.hour(local).between(6, 21)
+    return ~_closed_day(local) & F.hour(local).between(6, 21)

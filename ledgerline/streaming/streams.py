@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import market_session
 from ledgerline.session import ensure_checkpoint_dir
-from ledgerline.sources.sinks import VersionedTable
+from ledgerline.sources.sinks import KeyedTable
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -48,16 +48,29 @@ def new_filings(stream: DataFrame, keys: Sequence[str], time: str = "ts", waterm
 def insider_windows(
     stream: DataFrame, length: str = "30 days", slide: str | None = "1 day", watermark: str = "1 day", time: str = "ts"
 ) -> DataFrame:
-    """Buys, sells and net shares per company in sliding or tumbling windows."""
+    """Buys, sells and net shares per company in sliding or tumbling windows.
+
+    Sliding windows are chained: trades are summed into panes of one slide
+    first, and only the panes are dealt to the windows that hold them. A trade
+    is expanded once, not once for each of 30 or 90 windows, and the state
+    keeps a row per company and pane or window. ``length`` is a multiple of
+    ``slide``.
+    """
     buy, sell = F.col("transaction_type") == "Purchase", F.col("transaction_type") == "Sale"
     shares = F.col("shares").cast("decimal(18,2)")
     zero = F.lit(0).cast("decimal(18,2)")
-    window = F.window(time, length, slide) if slide else F.window(time, length)
-    out = stream.withWatermark(time, watermark).groupBy(window, "cik").agg(
+    out = stream.withWatermark(time, watermark).groupBy(F.window(time, slide or length).alias("window"), "cik").agg(
         F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
-        F.sum(F.when(buy, shares).when(sell, -shares).otherwise(zero)).cast("double").alias("net_shares"),
+        F.sum(F.when(buy, shares).when(sell, -shares).otherwise(zero)).alias("net"),
+    )
+    if slide and slide != length:
+        out = out.groupBy(F.window("window", length, slide).alias("window"), "cik").agg(
+            F.sum("buys").alias("buys"), F.sum("sells").alias("sells"), F.sum("net").alias("net")
+        )
+    return out.select(
+        F.col("window.start").alias("start"), F.col("window.end").alias("end"), "cik", "buys", "sells",
+        F.col("net").cast("double").alias("net_shares"),
     )
-    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "cik", "buys", "sells", "net_shares")
 
 
 def daily_bars(stream: DataFrame, watermark: str = "1 day", time: str = "ts", key: str = "symbol", value: str = "value") -> DataFrame:
@@ -70,9 +83,9 @@ def daily_bars(stream: DataFrame, watermark: str = "1 day", time: str = "ts", ke
     return out.select(F.to_date("window.start").alias("day"), key, "session", "open", "high", "low", "close", "volume")
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], state: str) -> VersionedTable:
-    """Feed a keyed table; each micro-batch is one version, so retries are safe."""
-    table = VersionedTable(path, keys)
+def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], state: str, order: Sequence[str] = (), buckets: int = 16) -> KeyedTable:
+    """Feed a keyed table batch by batch; a batch that is run again leaves it unchanged."""
+    table = KeyedTable(path, keys, order, buckets)
     query = (
         stream.writeStream.foreachBatch(lambda batch, epoch: table.write(batch, epoch))
         .option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -1,10 +1,13 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions.dates import easter, is_exchange_holiday
 from ledgerline.functions.labels import expand_forms
 from ledgerline.operators import screen as sc
 from ledgerline.plans.fundamentals import metric_subset
-from ledgerline.sources.sinks import VersionedTable
+from ledgerline.sources.sinks import KeyedTable, SnapshotSink
 from ledgerline.streaming import streams as st
 
 
@@ -47,14 +50,64 @@ def test_missing_values_fail_screens(spark):
     assert got == [3, 1]
 
 
-def test_versions_can_be_written_twice(spark):
-    path = st.work_folder(spark, "versions")
-    table = VersionedTable(path, ["k"])
-    rows = lambda *r: spark.createDataFrame(list(r), "k int, v int")
-    table.write(rows((1, 1), (2, 2)), 0)
-    table.write(rows((2, 3)), 1)
-    table.write(rows((2, 3)), 1)
-    assert {(r.k, r.v) for r in table.read(spark).collect()} == {(1, 1), (2, 3)}
+def buckets_of(path):
+    return {p.name: sorted(f.name for f in p.glob("*.parquet")) for p in Path(path.removeprefix("file:")).glob("bucket=*")}
+
+
+def test_batches_can_be_written_twice_and_touch_their_buckets_only(spark):
+    path = st.work_folder(spark, "keyed")
+    table = KeyedTable(path, ["k"], buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v int")
+    table.write(rows(*[(k, k) for k in range(50)]), 0)
+    before = buckets_of(path)
+    table.write(rows((2, 300)), 1)
+    after = buckets_of(path)
+    table.write(rows((2, 300)), 1)
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert {(r.k, r.v) for r in table.read(spark).collect()} == {(k, 300 if k == 2 else k) for k in range(50)}
+
+
+def test_a_write_cut_short_is_finished_by_its_retry(spark):
+    """The rows set aside are whole: a bucket that was lost while it was replaced comes back."""
+    path = st.work_folder(spark, "cut")
+    table = KeyedTable(path, ["k"], buckets=2)
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v int")
+    table.write(rows(*[(k, 0) for k in range(20)]), 0)
+    table.write(rows(*[(k, 1) for k in range(10)]), 1)
+    lost = next(Path(path.removeprefix("file:")).glob("bucket=*"))
+    for file in lost.iterdir():
+        file.unlink()
+    table.write(rows(*[(k, 1) for k in range(10)]), 1)
+    assert {(r.k, r.v) for r in table.read(spark).collect()} == {(k, int(k < 10)) for k in range(20)}
+
+
+def test_rows_of_a_key_have_a_total_order(spark):
+    table = KeyedTable(st.work_folder(spark, "order"), ["k"], ["seq"], buckets=2)
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, seq int, v int")
+    table.write(rows((1, 5, 10), (1, 5, 11), (1, 4, 99), (2, 1, 1)), 0)
+    table.write(rows((1, 3, 50), (2, 2, 0), (3, 1, None)), 1)
+    assert {tuple(r) for r in table.read(spark).select("k", "seq", "v").collect()} == {(1, 5, 11), (2, 2, 0), (3, 1, None)}
+
+
+def test_a_snapshot_appended_again_replaces_itself(spark):
+    sink = SnapshotSink(st.work_folder(spark, "snap"))
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v double")
+    for batch, given in (("2024-01", [(1, 1.0), (2, 2.0)]), ("2024-02", [(1, 3.0)]), ("2024-01", [(1, 1.0), (2, 2.0)])):
+        sink.append(rows(*given), batch)
+    assert sorted(tuple(r) for r in sink.read(spark).select("batch", "k", "v").collect()) == [("2024-01", 1, 1.0), ("2024-01", 2, 2.0), ("2024-02", 1, 3.0)]
+
+
+def test_holidays_by_rule(spark):
+    days = spark.sql("SELECT explode(sequence(date '2024-01-01', date '2027-12-31')) AS d").where(is_exchange_holiday("d"))
+    got = [str(r.d) for r in days.orderBy("d").collect()]
+    assert got == [
+        "2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25",
+        "2025-01-01", "2025-01-20", "2025-02-17", "2025-04-18", "2025-05-26", "2025-06-19", "2025-07-04", "2025-09-01", "2025-11-27", "2025-12-25",
+        "2026-01-01", "2026-01-19", "2026-02-16", "2026-04-03", "2026-05-25", "2026-06-19", "2026-07-03", "2026-09-07", "2026-11-26", "2026-12-25",
+        "2027-01-01", "2027-01-18", "2027-02-15", "2027-03-26", "2027-05-31", "2027-06-18", "2027-07-05", "2027-09-06", "2027-11-25", "2027-12-24",
+    ]
+    known = {1961: "04-02", 1999: "04-04", 2000: "04-23", 2008: "03-23", 2011: "04-24", 2019: "04-21", 2038: "04-25"}
+    assert {y: str(easter(y))[5:] for y in known} == known
 
 
 def test_rank_filter_reaches_the_shuffle(spark):
