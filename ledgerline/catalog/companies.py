@@ -12,6 +12,7 @@ from ledgerline.operators import compare as cp
 from ledgerline.operators import entities as en
 from ledgerline.operators import ranking as rk
 from ledgerline.operators import screen as sc
+from ledgerline.operators import text as tx
 
 NEWEST = "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY fy DESC) AS rn FROM fx_wide) x WHERE rn = 1)"
 
@@ -94,6 +95,27 @@ def enrich_profile(i):
     return en.enrich_profile(i.fx_company, i.fx_filings, i.fx_prices).select("cik", "ticker", "first_filed", "price", "market_cap")
 
 
+# Annual reports around a document, with the executive named in one of four ways or not at all.
+SURNAMES = "['Smith', 'Jones', 'Young', 'Stone', 'Ward', 'Baker', 'Fox']"
+EXECUTIVE = """CASE cik % 5 WHEN 0 THEN 'Chief Executive Officer, Ann B. ' || who WHEN 1 THEN 'Carl ' || who || ', Chief Executive Officer'
+  WHEN 2 THEN 'the CEO - Dora ' || who WHEN 3 THEN 'Eve J ' || who || ' — CEO' ELSE 'the officers' END"""
+REPORTS = f"""SELECT cik, form, filed, accn, coalesce(text, '') || chr(10) || {EXECUTIVE} || chr(10) || 'and others.' AS text
+FROM (SELECT f.*, d.text, {{pick}} AS who FROM fx_filings f LEFT JOIN documents d ON d.doc_id = (f.cik * 8 + year(f.filed)) % 1000 WHERE f.form IN ('10-K', '10-Q')) x"""
+
+
+@query("profile_executives", f"""
+WITH r AS ({REPORTS.format(pick=f"list_element({SURNAMES}, (year(f.filed) % 7 + 1)::int)")}),
+n AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accn DESC) AS rn FROM r WHERE form = '10-K'),
+e AS (SELECT cik, filed, coalesce({", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')" for p in tx.CHIEF_PATTERNS)}) AS ceo FROM n WHERE rn = 1)
+SELECT c.cik, trim(ceo) AS ceo, CASE WHEN ceo IS NOT NULL THEN '10-K filed ' || cast(filed AS varchar) END AS ceo_source FROM fx_company c LEFT JOIN e ON c.cik = e.cik
+""")
+def profile_executives(i):
+    i.fx_filings.createOrReplaceTempView("fx_filings")
+    i.documents.createOrReplaceTempView("documents")
+    pick = f"element_at(array({SURNAMES[1:-1]}), cast(year(f.filed) % 7 + 1 AS int))"
+    return en.enrich_profile(i.fx_company.select("cik"), texts=i.spark.sql(REPORTS.format(pick=pick))).select("cik", "ceo", "ceo_source")
+
+
 @query("fill_quote_gaps", """
 SELECT c.cik, coalesce(CASE WHEN c.cik % 2 = 0 THEN p.price END, c.cik::double) AS price, coalesce(p.price * 2, c.shares) AS high FROM fx_company c LEFT JOIN fx_prices p ON c.cik = p.cik
 """)

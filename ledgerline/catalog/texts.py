@@ -156,6 +156,21 @@ def signature_blocks(i):
     return i.documents.select("doc_id", tx.is_signature_block(t).alias("signature"))
 
 
+@query("filing_signatures", r"""
+WITH s AS (SELECT doc_id, k, unnest([0, 1, 2]) AS j FROM (SELECT doc_id, (doc_id % 4)::int AS k FROM documents) x)
+SELECT doc_id, CASE j WHEN 0 THEN 'Ann B. Smith' WHEN 1 THEN 'Carl O''Neill-Fox' ELSE 'Dora Young' END AS signer,
+  CASE WHEN j = 0 THEN 'Chief Executive Officer' WHEN j = 1 AND k >= 2 THEN 'Director and Treasurer' END AS title FROM s WHERE j < k
+""")
+def filing_signatures(i):
+    """Signature pages behind every document: up to three names, titles on the next lines or missing."""
+    pages = (
+        "/s/ Ann B. Smith\nAnn B. Smith\nChief Executive Officer", "\n/s/  Carl O'Neill-Fox\n\nDirector and Treasurer", "\n/s/ Dora Young\nMay 5, 2024\n/s/ nobody",
+    )
+    k = F.col("doc_id") % 4
+    signed = F.concat(*[F.when(k > j, F.lit(page)).otherwise("") for j, page in enumerate(pages)])
+    return tx.signed_by(i.documents.select("doc_id", F.concat("text", F.lit("\nSIGNATURES\n"), signed).alias("text")))
+
+
 @query("event_items", r"""
 SELECT doc_id, md5(trim(text, chr(10) || chr(9) || ' ')) AS body_md5, '2.02,9.01' AS items FROM documents WHERE NOT regexp_matches(text, '(?i)signature|item\s*\d+\.\d+')
 """)

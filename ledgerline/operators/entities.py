@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.labels import dot_class, pad_cik, strip_class
 from ledgerline.functions.numeric import safe_div, truthy
 from ledgerline.operators.ranking import neighbours, rank_within, top_per_group
+from ledgerline.operators.text import chief_executive
 
 
 def resolve_entity(requests: DataFrame, company: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -141,15 +142,25 @@ def tiered_search(company: DataFrame, query: str, limit: int | None = None) -> D
 
 
 def enrich_profile(
-    company: DataFrame, filings: DataFrame | None = None, prices: DataFrame | None = None
+    company: DataFrame, filings: DataFrame | None = None, prices: DataFrame | None = None, texts: DataFrame | None = None
 ) -> DataFrame:
-    """Add first-filed date (a listing proxy), price and market value."""
+    """Add first-filed date (a listing proxy), price, market value and the chief executive.
+
+    ``texts`` is (cik, form, filed, accn, text); the executive is read from the
+    newest annual report of each company, whose name and day are the source.
+    """
     out = company
     if filings is not None:
         out = out.join(filings.groupBy("cik").agg(F.min("filed").alias("first_filed")), "cik", "left")
     if prices is not None:
         out = out.join(prices.select("cik", "price"), "cik", "left")
         out = out.withColumn("market_cap", F.col("price") * F.col("shares"))
+    if texts is not None:
+        # The name is read before the newest report is picked, so that no text is shuffled.
+        named = texts.where("form = '10-K'").select("cik", "filed", "accn", chief_executive("text").alias("ceo"))
+        newest = named.groupBy("cik").agg(F.max_by(F.struct("ceo", "filed"), F.struct("filed", "accn")).alias("n"))
+        source = F.when(F.col("n.ceo").isNotNull(), F.concat(F.lit("10-K filed "), F.col("n.filed").cast("string")))
+        out = out.join(newest.select("cik", "n.ceo", source.alias("ceo_source")), "cik", "left")
     return out
 
 

@@ -171,44 +171,129 @@ def containing(names: DataFrame, name: str, parts: DataFrame, part: str) -> Data
     return keyed.join(sought, "__run").where(F.col(name).contains(F.col(part))).drop("__run")
 
 
+# Windows of 1, 2 and 4 pieces are hashed at every place of a text.
+_LEVELS = 3
+
+
+def _spaced(text: Column) -> Column:
+    """Words with the white space behind them; put together they are the text."""
+    return F.split(F.lower(text), r"(?<=\s)(?=\S)")
+
+
+def _with_windows(df: DataFrame, pieces: str) -> DataFrame:
+    """Add ``__h0``, ``__h1`` and so on: hashes of all windows, each level made of two windows of the one before."""
+    df = df.withColumn("__h0", F.transform(pieces, lambda w: F.xxhash64(w)))
+    none = F.array().cast("array<bigint>")
+
+    def doubled(below: str, half: int) -> Column:
+        made = F.transform(
+            F.sequence(F.lit(1), F.size(below) - half), lambda i: F.xxhash64(F.element_at(below, i), F.element_at(below, i + half))
+        )
+        return F.when(F.size(below) > half, made).otherwise(none)
+
+    for level in range(1, _LEVELS):
+        df = df.withColumn(f"__h{level}", doubled(f"__h{level - 1}", 1 << (level - 1)))
+    return df
+
+
 def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phrase_id: str = "item_id") -> DataFrame:
-    """Documents that contain each phrase exactly, ignoring case.
-
-    The first and last word of a phrase may be cut in the text, but its inner
-    words must appear whole. So a pair of neighbouring inner words, the longest
-    one, finds the documents in an equi-join, and only those are compared in
-    full. Phrases with one inner word join on that word. For phrases of one or
-    two words, the vocabulary is searched instead of the texts: words that
-    contain the phrase's longer word lead to the documents. Blank phrases match
-    nothing.
+    """Documents that contain each phrase, ignoring case, white space as written.
+
+    The first and last piece of a phrase may be cut in the text, its inner
+    pieces must stand there whole. A text lists the hashes of all windows of 1, 2
+    and 4 pieces with their place and both neighbours; a phrase's inner
+    pieces are covered by a few windows of the largest size that fits. Windows
+    meet in an equi-join on the hash, end pieces are held against the
+    neighbours, and places at which all windows of a phrase stand in line are
+    hits. So a frequent word leads nowhere on its own, and only windows that a
+    phrase has too are shuffled, no texts. Equality of inner pieces is that of
+    64-bit hashes.
+
+    Phrases without an inner piece go through the vocabulary: pieces of texts
+    that contain the phrase's longer piece. Blank phrases match nothing.
     """
     p = phrases.select(phrase_id, F.lower("phrase").alias("phrase")).where(F.trim("phrase", F.lit(" \n\t\r")) != "")
-    # Splitting keeps the pieces at both ends, which may be empty.
-    inner = F.split("phrase", r"\s+")
-    p = p.withColumn("__inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))))
-    n = F.size("__inner")
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.slice("__inner", i, 2)))
-    longest = F.array_max(F.transform(pairs, lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
-    anchor = F.when(n >= 2, longest).when(n == 1, F.try_element_at("__inner", F.lit(1)))
-    p = p.withColumn("anchor", anchor).drop("__inner")
-
-    d = docs.select(doc, F.lower("text").alias("__text"))
-    d = d.withColumn("__w", _words(F.col("__text")))
-    two = F.when(
-        F.size("__w") >= 2,
-        F.transform(F.sequence(F.lit(1), F.size("__w") - 1), lambda i: F.concat_ws(" ", F.slice("__w", i, 2))),
-    ).otherwise(F.array().cast("array<string>"))
-    keys = d.select(doc, F.explode(F.array_distinct(F.concat("__w", two))).alias("anchor"))
-
-    short = p.where("anchor IS NULL").drop("anchor")
-    piece = F.array_max(F.transform(_words(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    short = short.withColumn("__piece", piece)
-    words = keys.select("anchor").distinct().where(~F.col("anchor").contains(" "))
-    led = containing(words, "anchor", short, "__piece").select(phrase_id, "phrase", "anchor")
-    anchored = p.where("anchor IS NOT NULL").unionByName(led)
-    hits = keys.join(anchored, "anchor").select(doc, phrase_id, "phrase").distinct()
-    full = hits.join(d.select(doc, "__text"), doc).where(F.col("__text").contains(F.col("phrase")))
-    return full.select(doc, phrase_id)
+    p = p.withColumn("__p", _spaced(F.col("phrase"))).withColumn("__inner", F.size("__p") - 2)
+    d = docs.where("text IS NOT NULL").select(doc, F.monotonically_increasing_id().alias("__row"), _spaced(F.col("text")).alias("__t"))
+
+    long = _with_windows(p.where("__inner > 0").withColumn("__t", F.slice("__p", 2, F.col("__inner"))), "__t")
+    level = F.least(F.floor(F.log2("__inner")), F.lit(_LEVELS - 1)).cast("int")
+    long = long.withColumn("level", level).withColumn("__span", F.call_function("shiftleft", F.lit(1), "level"))
+    last = F.col("__inner") - F.col("__span")
+    offsets = F.array_distinct(F.array_append(F.sequence(F.lit(0), last, F.col("__span")), last))
+    hashes = F.element_at(F.array(*[F.col(f"__h{m}") for m in range(_LEVELS)]), F.col("level") + 1)
+    sought = long.select(
+        phrase_id, "level", last.alias("__last"), F.size(offsets).alias("__windows"), F.explode(offsets).alias("offset"), hashes.alias("__h"),
+        F.element_at("__p", 1).alias("__head"), F.element_at("__p", -1).alias("__tail"),
+    )
+    sought = sought.withColumn("hash", F.element_at("__h", F.col("offset") + 1)).drop("__h")
+
+    # All levels in one list of hashes; a place in it gives level and place in the text, and from those the neighbours.
+    many = [F.greatest(F.size("__t") - (1 << m) + 1, F.lit(0)) for m in range(_LEVELS)]
+    listed = _with_windows(d, "__t").select(
+        doc, "__row", "__t", *[F.lit(0).alias("__s0") if m == 0 else sum(many[1:m], many[0]).alias(f"__s{m}") for m in range(_LEVELS)],
+        F.posexplode(F.concat(*[F.col(f"__h{m}") for m in range(_LEVELS)])).alias("__p", "hash"),
+    )
+    level, start = F.lit(0), F.col("__s0")
+    for m in range(1, _LEVELS):
+        level, start = F.when(F.col("__p") >= F.col(f"__s{m}"), m).otherwise(level), F.when(F.col("__p") >= F.col(f"__s{m}"), F.col(f"__s{m}")).otherwise(start)
+    placed = listed.select(doc, "__row", "__t", "hash", level.alias("level"), (F.col("__p") - start).alias("at"))
+    after = F.get("__t", F.col("at") + F.call_function("shiftleft", F.lit(1), "level"))
+    windows = placed.select(doc, "__row", "level", "at", "hash", F.get("__t", F.col("at") - 1).alias("before"), after.alias("after"))
+    met = windows.join(sought, ["level", "hash"])
+    met = met.where(((F.col("offset") > 0) | F.endswith("before", "__head")) & ((F.col("offset") < F.col("__last")) | F.startswith("after", "__tail")))
+    places = met.groupBy(doc, "__row", phrase_id, (F.col("at") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"), F.first("__windows").alias("of"))
+    found = places.where("n = of").select(doc, phrase_id).distinct()
+
+    short = p.where("__inner <= 0")
+    if short.isEmpty():
+        return found
+    pieces = F.transform("__p", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    short = short.select(phrase_id, F.get("__p", F.lit(0)).alias("__head"), F.get("__p", F.lit(1)).alias("__tail"), F.array_max(pieces)["w"].alias("__piece"))
+    each = d.select(doc, F.inline(F.transform("__t", lambda w, i: F.struct(w.alias("piece"), F.get("__t", i - 1).alias("before"), F.get("__t", i + 1).alias("after")))))
+    led = containing(each.select("piece").distinct(), "piece", short, "__piece")
+    head, tail = F.col("__head"), F.col("__tail")
+    fits = (
+        tail.isNull() | (F.endswith("piece", head) & F.startswith("after", tail)) | (F.startswith("piece", tail) & F.endswith("before", head))
+    )
+    return found.unionByName(each.join(led, "piece").where(fits).select(doc, phrase_id).distinct())
+
+
+# How an executive is named next to the title, in order of preference.
+CHIEF_PATTERNS = (
+    r"Chief Executive Officer[,\s\-—]+([A-Z][a-z]+\s+(?:[A-Z]\.?\s+)?[A-Z][a-z]+)",
+    r"([A-Z][a-z]+\s+(?:[A-Z]\.?\s+)?[A-Z][a-z]+)[,\s\-—]+Chief Executive Officer",
+    r"CEO[,\s\-—]+([A-Z][a-z]+\s+(?:[A-Z]\.?\s+)?[A-Z][a-z]+)",
+    r"([A-Z][a-z]+\s+(?:[A-Z]\.?\s+)?[A-Z][a-z]+)[,\s\-—]+CEO",
+)
+
+
+def chief_executive(text: Column | str) -> Column:
+    """The first name next to the title anywhere in a filing's text, NULL without one."""
+    found = [F.regexp_extract(text, pattern, 1) for pattern in CHIEF_PATTERNS]
+    return F.coalesce(*[F.when(name != "", F.trim(name)) for name in found])
+
+
+def signed_by(docs: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(key, signer, title): signatures of a filing, each with the title in one of the next three lines.
+
+    A signature is a line with ``/s/`` and a name of two or more words; its
+    title is the first of the lines below, up to the next signature, that holds
+    an office. Works on the lines of a row, without any shuffle.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
+    df = docs.where(F.col("text").contains("/s/")).select(*key, lines.alias("__l"))
+    name = lambda line: F.regexp_extract(line, r"/s/\s*([A-Z][A-Za-z.'\-]*(?:\s+[A-Z][A-Za-z.'\-]*)+)", 1)
+    signed = F.transform("__l", lambda line, i: F.struct(name(line).alias("signer"), i.alias("i")))
+    df = df.select(*key, "__l", F.inline(F.filter(signed, lambda x: x["signer"] != "")))
+    below = F.slice("__l", F.col("i") + 2, 3)
+    offices = F.transform(below, lambda line: F.when(line.contains("/s/"), F.lit("/s/")).when(line.rlike(OFFICES), line))
+    first = F.try_element_at(F.array_compact(offices), F.lit(1))
+    return df.select(*key, "signer", F.when(first != "/s/", first).alias("title"))
+
+
+# Words that make a line below a signature a title.
+OFFICES = r"(?i)\b(?:chief|president|director|treasurer|controller|secretary|chair(?:man|woman|person)?|officer)\b"
 
 
 # Paragraph diff.

@@ -94,6 +94,56 @@ def test_phrase_search_matches_containment(spark):
     assert got == {(i, j) for i, t in docs for j, w in phrases if w in t.lower()}
 
 
+def test_phrases_cut_from_texts_are_found(spark):
+    """Random pieces of random texts, any length and cut, and changed ones, against plain containment."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["a", "of", "the", "Fox", "brown,", "jumps", "over.", "the", "x" * 30])
+    texts = ["".join(word() + rnd.choice([" ", "  ", "\n", " \t"]) for _ in range(rnd.choice([1, 3, 40, 120]))) for _ in range(40)] + ["", " ", None]
+    phrases = []
+    for _ in range(250):
+        t = rnd.choice(texts[:40])
+        a = rnd.randrange(len(t))
+        cut = t[a : a + rnd.choice([1, 2, 5, 12, 40, 200, 900])]
+        phrases.append(cut if rnd.random() < 0.7 else cut[: len(cut) // 2] + rnd.choice(["", " ", "q", "the "]) + cut[len(cut) // 2 :])
+    phrases += ["", "  ", "the the the the", "not there at all in any of the texts"]
+    d = spark.createDataFrame([*enumerate(texts), (3, "the brown, fox")], "doc_id int, text string")
+    p = spark.createDataFrame(list(enumerate(phrases)), "item_id int, phrase string")
+    got = sorted({(r.doc_id, r.item_id) for r in tx.phrase_search(d, p).collect()})
+    rows = [*enumerate(texts), (3, "the brown, fox")]
+    assert got == sorted({(i, j) for i, t in rows if t is not None for j, w in enumerate(phrases) if w.strip(" \n\t\r") and w.lower() in t.lower()})
+
+
+def test_texts_stay_where_they_are(spark):
+    """No exchange of a phrase search carries a text or its pieces."""
+    d = spark.createDataFrame([(1, "the quick brown fox")], "doc_id int, text string")
+    p = spark.createDataFrame([(1, "he quick brown f")], "item_id int, phrase string")
+    df = tx.phrase_search(d, p)
+    assert df.collect() == [(1, 1)]
+    tree = df._jdf.queryExecution().executedPlan()
+    seen, stack = 0, [tree.initialPlan() if hasattr(tree, "initialPlan") else tree]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "Exchange":
+            seen += 1
+            names = [node.output().apply(k).name() for k in range(node.output().size())]
+            assert not {"text", "__t", "__text"} & set(names)
+        stack += [node.children().apply(k) for k in range(node.children().size())]
+    assert seen
+
+
+def test_executives_and_signers(spark):
+    texts = [
+        (1, "we, Chief Executive Officer, Ann B. Smith and"), (2, "Carl Jones - Chief Executive Officer"), (3, "its CEO Dora Young"), (4, "Eve Stone, CEO"),
+        (5, "the chief executive officer"), (6, None), (7, "x" * 50_000 + " CEO, Ann Bee"), (8, "Carl Jones, CEO. Chief Executive Officer, Ann Smith"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    got = {r[0]: r[1] for r in df.select("doc_id", tx.chief_executive("text")).collect()}
+    assert got == {1: "Ann B. Smith", 2: "Carl Jones", 3: "Dora Young", 4: "Eve Stone", 5: None, 6: None, 7: "Ann Bee", 8: "Ann Smith"}
+    page = "/s/ Ann B. Smith\nDirector\n/s/ Carl Jones\n/s/ Dora Young\n\n2024\nVice President\nChief of all\n/s/ x\n  /s/ Eve Stone  \n\n\n\nDirector"
+    signed = tx.signed_by(spark.createDataFrame([(1, page), (2, "none"), (3, None)], "doc_id int, text string"))
+    assert {tuple(r) for r in signed.collect()} == {(1, "Ann B. Smith", "Director"), (1, "Carl Jones", None), (1, "Dora Young", "Vice President"), (1, "Eve Stone", None)}
+
+
 def test_chunks(spark):
     words = [f"w{n}" for n in range(10)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, "a b"), (3, "  ")], "doc_id int, text string")
