@@ -146,7 +146,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id: str =
 # Wider reach: similarity of shingle sets instead of two bits.
 MINIMA = 256
 BLOCK = 2048
-_STRIP = 128
+# Shingles of a block at most, on average; bands of the first round; texts verified at once.
+WEIGHT = 1 << 22
+FIRST_BANDS = 4
+_STRIP = 32
 _PART = 1024
 _ODD = (np.random.default_rng(SEED).integers(1, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _PLACES = np.random.default_rng(SEED + 1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -221,17 +224,37 @@ def reach(similarity: float, miss: float = 1e-6) -> int:
     return radius
 
 
-def block_pairs(left: pd.DataFrame, right: pd.DataFrame, radius: int, similarity: float) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b), a < b, of two blocks of nodes that may be ``similarity`` alike and have different roots."""
-    bits = [np.stack(x["bits"].to_numpy()).astype(np.int64).view(np.uint64) for x in (left, right)]
-    (na, ra, va), (nb, rb, vb) = ([x[c].to_numpy() for c in ("node", "root", "n")] for x in (left, right))
-    for at in range(0, len(left), _STRIP):
-        part = slice(at, at + _STRIP)
-        apart = np.bitwise_count(bits[0][part, None, :] ^ bits[1][None, :, :]).sum(axis=2, dtype=np.int64)
-        sized = np.minimum(va[part, None], vb) >= similarity * np.maximum(va[part, None], vb) - 1e-6
-        i, j = np.nonzero((apart <= radius) & sized & (ra[part, None] != rb))
-        a, b = na[part][i], nb[j]
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def block_edges(left: pd.DataFrame, right: pd.DataFrame | None, radius: int, similarity: float) -> pd.DataFrame:
+    """Edges (a, b) that unite all nodes of a block, or of two, that are ``similarity`` alike: a forest, not all pairs.
+
+    Nodes of one root count as united from the start. Pairs of different sets
+    whose sizes and hashed bits allow it are tested exactly, nearest bits first,
+    until everything left to compare with is of the same set.
+    """
+    both = left if right is None else pd.concat([left, right], ignore_index=True)
+    names, n = both["node"].to_numpy(), both["n"].to_numpy()
+    label = np.unique(both["root"].to_numpy(), return_inverse=True)[1]
+    bits = np.stack(both["bits"].to_numpy()).astype(np.int64).view(np.uint64)
+    sets = [np.frombuffer(x, np.uint64) for x in both["shingles"]]
+    edges = []
+    for i in range(len(left)):
+        start = i + 1 if right is None else len(left)
+        apart = np.bitwise_count(bits[start:] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        sized = np.minimum(n[start:], n[i]) >= similarity * np.maximum(n[start:], n[i]) - 1e-6
+        others = np.flatnonzero((apart <= radius) & sized & (label[start:] != label[i]))
+        others = start + others[np.argsort(apart[others], kind="stable")]
+        while len(others):
+            tried, mine = others[:_STRIP], sets[i]
+            values = np.concatenate([sets[j] for j in tried])
+            at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+            common = np.add.reduceat(mine[at] == values, np.cumsum(n[tried]) - n[tried], dtype=np.int64)
+            for j in tried[common / (n[i] + n[tried] - common) >= similarity]:
+                if label[j] != label[i]:
+                    edges.append((names[i], names[j]))
+                    label[label == label[j]] = label[i]
+            others = others[_STRIP:]
+            others = others[label[others] != label[i]]
+    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 1 - 1e-5, bucket: int = BLOCK,
@@ -241,15 +264,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     Candidates come from MinHash and every link is verified by the exact index
     of the two sets (of 64-bit hashes), so nothing less alike is linked. A pair
     at the threshold shares one of the cells (bands of minima) with probability
-    ``recall``, more alike pairs sooner. Texts of equal sets are one node.
-
-    First each node of a cell is verified against the cell's smallest. In cells
-    whose nodes are then not yet one component, all pairs of nodes of different
-    components follow, in blocks of ``bucket`` nodes, each pair of blocks its
-    own task; only pairs whose sizes and hashed bits allow the similarity (all
-    but one in a million at the threshold) are verified. Pairs inside a
-    component need no edge. Nulls, empty texts, repeats and empty tables are as
-    in :func:`near_duplicates`; texts without words form one group.
+    ``recall``, more alike pairs sooner. Texts of equal sets are one node, and
+    cells of equal nodes one cell.
+
+    The cells of the first few bands come first; in those of the others only
+    nodes that are not one component yet are compared. A cell is cut into blocks
+    of ``bucket`` nodes, fewer if their texts are long, and each pair of blocks
+    is a task that holds the sets and unites what is alike. It reports the edges
+    of a forest, so however large a group of near copies is, no more edges than
+    nodes leave a task. Pairs are only tested if their sizes and hashed bits
+    allow the similarity (all but one in a million at the threshold). Nulls,
+    empty texts, repeats and empty tables are as in :func:`near_duplicates`;
+    texts without words form one group.
     """
     radius = reach(similarity)
     bands, rows = banding(similarity, recall)
@@ -266,59 +292,55 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
             out.append((node_of(shingles), len(shingles), _bits(low).tolist(), _cell_keys(low, bands, rows).tolist() if len(shingles) else []))
         return pd.DataFrame(out, columns=["node", "n", "bits", "cells"])
 
-    @F.pandas_udf("node long, shingles array<long>")
+    @F.pandas_udf("node long, shingles binary")
     def listed(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(x, words) for x in texts]
-        return pd.DataFrame({"node": [node_of(x) for x in sets], "shingles": [x.view(np.int64) for x in sets]})
+        return pd.DataFrame({"node": [node_of(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
 
     marked = cut(docs.select(F.col(id).alias("id"), signed(F.col(text)).alias("s")).select("id", "s.*"))
     nodes = cut(marked.groupBy("node").agg(
         F.min("id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("cells").alias("cells")
     ))
-    spread = nodes.select("node", F.explode("cells").alias("cell"))
-    filled = spread.groupBy("cell").agg(F.count("*").alias("held"), F.min("node").alias("head")).where("held > 1")
-    members = cut(spread.join(filled, "cell"))
-    slim = nodes.select("node", "n", "bits")
-
-    def ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        own = [table.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in table.columns]) for side in "ab"]
-        return pairs.join(own[0], "a").join(own[1], "b")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose sets are alike; the sets are made again from one text per node."""
-        sought = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = nodes.join(sought, "node", "left_semi").select(F.col("first").alias("id")).distinct()
-        texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-        texts = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
-        sets = texts.select(listed(F.col("text")).alias("s")).select("s.*")
-        sets = written(sets.join(sought, "node", "left_semi").dropDuplicates(["node"]))
-        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        union = F.size("shingles_a") + F.size("shingles_b") - both
-        return cut(ends(pairs, sets).where(both / union >= similarity).select("a", "b"))
-
-    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(MINIMA // 64)), F.lit(0))
-    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-6
-    stars = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(ends(stars, slim).where(sized & (differ <= radius)).select("a", "b"))
-    links = verified(stars)
-
-    rooted = members.where("held > 2").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut(rooted.select("cell", "held", "node", "root"))
-    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-    work = rooted.join(mixed, "cell", "left_semi").join(slim, "node").withColumn("blocks", F.ceil(F.col("held") / bucket).cast("int"))
-    work = work.withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    work = work.select("node", "root", "n", "bits", "own", i.alias("i"), j.alias("j"), F.xxhash64("cell", i, j).alias("task"))
-    work = work.repartition("task").sortWithinPartitions("task", "node")
+    spread = nodes.select("node", "n", F.posexplode("cells").alias("band", "cell"))
+    filled = spread.groupBy("band", "cell").agg(
+        F.count("*").alias("held"), F.sum("n").alias("total"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+    ).where("held > 1")
+    one = F.min(F.struct("band", "cell")).alias("one")
+    cells = filled.groupBy("held", "total", "x", "y").agg(one).select("held", "total", "one.*")
+    blocks = F.ceil(F.greatest(F.col("held") / bucket, F.col("total") / WEIGHT)).cast("int").alias("blocks")
+    members = cut(spread.drop("n").join(cells.select("band", "cell", blocks), ["band", "cell"]))
+
+    # The sets of the nodes that share a cell, made again from one text per node.
+    sought = members.select("node").distinct()
+    ids = nodes.join(sought, "node", "left_semi").select(F.col("first").alias("id")).distinct()
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    texts = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = texts.select(listed(F.col("text")).alias("s")).select("s.*").join(nodes.select("node", "n", "bits"), "node")
+    sets = written(sets.join(sought, "node", "left_semi").dropDuplicates(["node"]))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for one in runs(batches, ["task"]):
-            own, i, j = one["own"].to_numpy(), one["i"].iloc[0], one["j"].iloc[0]
-            yield from block_pairs(one[own == i], one[own == j], radius, similarity) if (own == i).any() and (own == j).any() else ()
-
-    rest = cut(work.mapInPandas(compare, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
-    roots = components(links.union(verified(rest)))
+        for held in runs(batches, ["task"]):
+            own, i, j = held["own"].to_numpy(), held["i"].iloc[0], held["j"].iloc[0]
+            sides = [held[own == i].reset_index(drop=True), None if i == j else held[own == j].reset_index(drop=True)]
+            if len(sides[0]) and (i == j or len(sides[1])):
+                yield block_edges(*sides, radius, similarity)
+
+    def united(rooted: DataFrame) -> DataFrame:
+        """Verified edges (a, b) of the cells of rows (band, cell, node, root, blocks)."""
+        own = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int")
+        work = rooted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        work = work.select("node", "root", "own", i.alias("i"), j.alias("j"), F.xxhash64("band", "cell", i, j).alias("task"))
+        work = work.join(sets, "node").repartition("task").sortWithinPartitions("task", "node")
+        return cut(work.mapInPandas(compare, "a long, b long").distinct())
+
+    first = united(members.where(F.col("band") < FIRST_BANDS).withColumn("root", F.col("node")))
+    later = members.where(F.col("band") >= FIRST_BANDS).join(components(first), "node", "left")
+    later = cut(later.withColumn("root", F.coalesce("root", "node")))
+    apart = later.groupBy("band", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rest = united(later.join(apart.select("band", "cell"), ["band", "cell"], "left_semi"))
+    roots = components(first.union(rest))
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "component_id")
