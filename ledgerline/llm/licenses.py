@@ -76,10 +76,13 @@ def spans(docs: DataFrame, gram: int = GRAM, drift: int = DRIFT, phrases=PHRASES
     Every k-gram of a text is joined by its hash, and checked word by word, with
     the k-grams of the templates, a table made in code and therefore broadcast.
     A hit at word p of the text and place t of a template votes for diagonal
-    p - t; votes are bits per place, combined before the shuffle. Diagonals at
-    most ``drift`` apart are one span (words put in or left out), except for
-    phrases, which must stand whole on one diagonal. Coverage is the share of
-    the template's k-grams found. A row without hits keeps one row of NULLs.
+    p - t; votes are bits per place, combined before the shuffle. A span lies on
+    neighbouring diagonals, ``drift`` from the first to the last at most (words
+    put in or left out), so it is no longer than its template and ``drift``
+    words more; phrases must stand whole on one diagonal. Spans are verified:
+    coverage is the share of the template's k-grams that stand there in order.
+    Of overlapping spans the best covered one is returned. A row without hits
+    keeps one row of NULLs.
     """
     words = F.regexp_extract_all(lowered(F.col(text)), F.lit(WORDLIKE), F.lit(0))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), words.alias("words"))
@@ -99,15 +102,52 @@ def spans(docs: DataFrame, gram: int = GRAM, drift: int = DRIFT, phrases=PHRASES
     lines = votes.groupBy(*keys, "diagonal").agg(
         F.bit_or("vote").alias("votes"), F.min("at").alias("start"), F.max("at").alias("last")
     )
-    w = Window.partitionBy("row", "template").orderBy("diagonal")
+    ordered = Window.partitionBy("row", "template").orderBy("diagonal")
     reach = F.when(F.col("base"), 0).otherwise(drift)
-    opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > reach).cast("int"), F.lit(1))
-    merged = lines.withColumn("span", F.sum(opens).over(w)).groupBy(*keys, "span").agg(
-        F.bit_or("votes").alias("votes"), F.min("start").alias("start"), F.max("last").alias("last")
+    opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(ordered) > reach).cast("int"), F.lit(1))
+    # What begins on a diagonal and drifts no further than so many words: at most drift + 1 diagonals.
+    near = ordered.rangeBetween(0, drift)
+    seen = F.struct("diagonal", "votes", "start", "last")
+    windows = lines.withColumn("span", F.sum(opens).over(ordered)).withColumn(
+        "seen", F.when(F.col("base"), F.array(seen)).otherwise(F.collect_list(seen).over(near))
     )
-    coverage = F.bit_count("votes") / F.col("grams")
-    return merged.select("row", "id", "n_words", "template", "label", "base", F.col("start").cast("long").alias("start"),
-                         (F.col("last") + gram - 1).cast("long").alias("last"), coverage.alias("coverage"))
+    merged = windows.withColumn("coverage", _in_order("seen", "diagonal", "grams", drift) / F.col("grams"))
+    found = F.struct("coverage", (-F.col("diagonal")).alias("first"), F.array_min("seen.start").alias("start"), F.array_max("seen.last").alias("last"))
+    best = merged.groupBy(*keys, "span").agg(F.max(found).alias("best"))
+    return best.select("row", "id", "n_words", "template", "label", "base", F.col("best.start").cast("long").alias("start"),
+                       (F.col("best.last") + gram - 1).cast("long").alias("last"), "best.coverage")
+
+
+def _in_order(seen: str, first: str, grams: str, drift: int) -> Column:
+    """The most places of a template that stand in a text in rising order, on diagonals from ``first`` to ``drift`` more.
+
+    On one diagonal every hit is in order. On several, a place that is k words
+    off its expected word needs the one before it less than k + 1 off: going
+    through the places, the best counts so far are kept by how far the last hit
+    lies ahead.
+    """
+    rows = range(drift + 1)
+
+    def votes_of(k: int) -> Column:
+        there = F.get(F.filter(seen, lambda x: x["diagonal"] == F.col(first) + k), F.lit(0))
+        return F.coalesce(there["votes"], F.lit(0))
+
+    votes = [votes_of(k) for k in rows]
+    none = F.lit(-1000)
+
+    def step(state: Column, place: Column) -> Column:
+        def kept(k: int) -> Column:
+            # Passing a place by brings the last hit one word closer.
+            passed = F.greatest(state[0], state[1]) if k == 0 and drift else state[k + 1] if k < drift else state[0] if not drift else none
+            before = state[0] if k == 0 else F.greatest(*[state[j] for j in range(k + 1)])
+            here = F.call_function("shiftright", votes[k], place).bitwiseAND(1) == 1
+            return F.greatest(passed, F.when(here, before + 1).otherwise(none))
+        return F.array(*[kept(k) for k in rows])
+
+    start = F.array(F.lit(0), *[none for _ in range(drift)])
+    places = F.sequence(F.lit(0), F.col(grams) - 1)
+    walked = F.array_max(F.aggregate(places, start, step))
+    return F.when(F.size(seen) == 1, F.bit_count(F.get(F.col(seen), F.lit(0))["votes"])).otherwise(walked)
 
 
 def scan(docs: DataFrame, threshold: float = COVERAGE, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -137,7 +177,7 @@ def scan(docs: DataFrame, threshold: float = COVERAGE, id: str = "doc_id", text:
 
 
 ORACLE = f"""
-WITH t(template, label, base, grams, place, t0, t1) AS (VALUES {values_sql(gram_rows())}),
+WITH RECURSIVE t(template, label, base, grams, place, t0, t1) AS (VALUES {values_sql(gram_rows())}),
 d AS (SELECT row_number() OVER () AS r, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                           'abcdefghijklmnopqrstuvwxyz'), '{WORDLIKE}') AS ws
@@ -148,9 +188,13 @@ l AS (SELECT r, template, label, base, grams, diagonal, min(spot) AS start, list
 o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= CASE WHEN base THEN 0 ELSE {DRIFT} END THEN 0 ELSE 1 END AS opens
       FROM l WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM o),
-m AS (SELECT r, template, label, base, span, min(start) AS start,
-             len(list_distinct(flatten(list(places)))) / any_value(grams) AS coverage
-      FROM s GROUP BY r, template, label, base, span),
+a AS (SELECT s.r, s.template, s.diagonal AS anchor, v.place, v.spot FROM s JOIN v ON v.r = s.r AND v.template = s.template
+        AND v.diagonal BETWEEN s.diagonal AND s.diagonal + CASE WHEN s.base THEN 0 ELSE {DRIFT} END),
+c AS (SELECT r, template, anchor, place, spot, 1 AS n FROM a
+      UNION SELECT c.r, c.template, c.anchor, a.place, a.spot, c.n + 1 FROM c JOIN a ON a.r = c.r AND a.template = c.template AND a.anchor = c.anchor AND a.place > c.place AND a.spot > c.spot),
+k AS (SELECT r, template, anchor, max(n) AS n FROM c GROUP BY ALL),
+m AS (SELECT s.r, s.template, s.label, s.base, span, min(start) AS start, max(k.n) / any_value(grams) AS coverage
+      FROM s JOIN k ON k.r = s.r AND k.template = s.template AND k.anchor = s.diagonal GROUP BY s.r, s.template, s.label, s.base, span),
 x AS (SELECT r, count(*) FILTER (base AND coverage = 1) AS n_base,
              min(start) FILTER (base AND coverage = 1) AS first_word, max(start) FILTER (base AND coverage = 1) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage = 1) AS base_labels,
