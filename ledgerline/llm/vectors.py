@@ -32,6 +32,8 @@ def _rotation(size: int, seed: int) -> np.ndarray:
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
+    # The largest component first: squares of very large or small ones leave the range of doubles.
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
