@@ -105,22 +105,22 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
     The log is partitioned by conversation and sorted by sequence; a task walks
     through its sorted rows and holds one conversation at a time, which its
-    formatted text needs anyway. A NULL conv_id is one conversation; a message
+    formatted text needs anyway. A NULL conv_id is a conversation of its own, apart from any name; a message
     without a start has an empty role; equal events each count; NULL texts are
     empty. No events give no rows; other columns are ignored.
     """
 
     def render_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for one in runs(batches, ["key"]):
+        for one in runs(batches, ["nameless", "key"]):
             turns = fold(one)
             formatted, spans = render(turns)
             yield pd.DataFrame({"conv_id": [one["conv"].iloc[0]], "n_turns": [len(turns)], "formatted": [formatted],
                                 "loss": [[{"start": a, "end": b} for a, b in spans]]})
 
     kind = dict(events.dtypes)["conv_id"]
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
-    log = events.select(key.alias("key"), F.col("conv_id").cast("string").alias("conv"), "seq", "message", "kind", "role", "text")
-    log = log.repartition("key").sortWithinPartitions("key", "seq").drop("seq")
+    name = F.col("conv_id").cast("string")
+    log = events.select(name.isNull().alias("nameless"), F.coalesce(name, F.lit("")).alias("key"), name.alias("conv"), "seq", "message", "kind", "role", "text")
+    log = log.repartition("nameless", "key").sortWithinPartitions("nameless", "key", "seq").drop("seq")
     out = log.mapInPandas(render_all, "conv_id string, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
     return out.withColumn("conv_id", F.col("conv_id").cast(kind))
 
