@@ -19,6 +19,9 @@ HASHES = 96
 STEP = 8
 # Items per pass over the documents: their signatures, at most 96 numbers each, go to every task.
 ITEMS = 8192
+# Items of up to so many shingles are sought by shingles themselves.
+SMALL = 8
+_EXACT = 255
 # Text that a task works on at once.
 _CHUNK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
@@ -67,17 +70,22 @@ def _key(level: int, i: np.ndarray | int, value: np.ndarray) -> np.ndarray:
     return (np.uint64(level) << np.uint64(40)) | (np.uint64(i) << np.uint64(32)) | value.astype(np.uint64)
 
 
-def _item_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _item_signatures(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
         hashes, made = shingle_hashes([t.encode("utf-8", "surrogatepass") for t in batch["text"]], WORDS)
         ends = np.cumsum(made)
         rows = []
-        for item, a, b in zip(batch["item"], ends - made, ends, strict=True):
+        for item, a, b in zip(batch["no"], ends - made, ends, strict=True):
             if b > a:
                 own = np.unique(hashes[a:b])
-                low = (own[:, None] * _ODD[None, :]).min(axis=0)
-                rows.append((item, _key(size_class(len(own)), np.arange(HASHES), low).astype(np.int64).tolist()))
-        yield pd.DataFrame(rows, columns=["item", "keys"])
+                if len(own) <= SMALL:
+                    # Of any so many shingles, a text that holds the share holds one at least.
+                    need = len(own) - ceil(threshold * len(own) - 1e-9) + 1
+                    keys = _key(_EXACT, 0, own[: min(need, len(own))])
+                else:
+                    keys = _key(size_class(len(own)), np.arange(HASHES), (own[:, None] * _ODD[None, :]).min(axis=0))
+                rows.append((item, keys.astype(np.int64).tolist()))
+        yield pd.DataFrame(rows, columns=["no", "keys"])
 
 
 def window_hits(texts: list[bytes], wanted: np.ndarray) -> list[np.ndarray]:
@@ -86,6 +94,16 @@ def window_hits(texts: list[bytes], wanted: np.ndarray) -> list[np.ndarray]:
     found: list[list] = [[] for _ in texts]
     if not len(hashes) or not len(wanted):
         return [np.zeros(0, np.uint64) for _ in texts]
+    exact = wanted >> np.uint64(40) == np.uint64(_EXACT)
+    if exact.any():
+        sought = np.sort(wanted[exact] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(sought, hashes), len(sought) - 1)
+        owner = np.repeat(np.arange(len(texts)), made)
+        for j in np.flatnonzero(sought[at] == hashes):
+            found[owner[j]].append(int(_key(_EXACT, 0, hashes[j : j + 1])[0]))
+    wanted = wanted[~exact]
+    if not len(wanted):
+        return [np.unique(np.array(f, np.uint64)) for f in found]
     levels = np.unique(wanted >> np.uint64(40)).astype(int)
     per = [-(-made // (STEP << k)) for k in range(levels.max() + 1)]
     # Blocks never cross texts: starts of the smallest blocks, then of pairs of blocks, and so on.
@@ -149,13 +167,15 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED, i
               item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (id, item, containment): the share of an item's word shingles found in a document, from ``threshold``.
 
-    Items are partitioned by size. For an item of up to s shingles a document is
-    looked at in windows of 2 s shingles every s, so item and window are of like
-    size however long the document; they meet if one of 96 minima agrees. What a
-    window shares with the item agrees in each minimum with the probability of
-    their resemblance; over all windows the expected number of agreements of a
-    pair is 96 * 0.8 / 5 or more wherever the shared shingles lie, so a pair is
-    missed with a probability near 1e-6. All pairs that meet are verified by the
+    Items are partitioned by size. For an item of more than eight and up to s
+    shingles a document is looked at in windows of 2 s shingles every s, so item
+    and window are of like size however long the document; they meet if one of
+    96 minima agrees. What a window shares with the item agrees in each minimum
+    with the probability of their resemblance; over all windows the expected
+    number of agreements of a pair is 96 * 0.8 / 5 or more wherever the shared
+    shingles lie, so a pair is missed with a probability near 1e-6. Smaller
+    items are sought by hashes of their own shingles, as many as make sure that
+    one is met, and none is missed. All pairs that meet are verified by the
     exact containment of the shingle strings over the whole document.
 
     Signatures of at most 8,192 items go to the tasks per pass over the
@@ -163,23 +183,26 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINED, i
     their texts) leave the first stage. NULL texts are empty; a text of fewer
     than five words has its whole sequence as its only shingle; one without
     words matches nothing; a repeated document, or item, counts once, a NULL id
-    like any other; no rows give no rows.
+    or item like any other; no rows give no rows.
     """
     slim = docs.select(F.col(id).cast("string").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     tests = items.select(F.col(item).alias("item"), F.coalesce(item_text, F.lit("")).alias("text")).distinct()
-    signed = cut(tests.mapInPandas(_item_signatures, f"item {dict(items.dtypes)[item]}, keys array<long>"))
+    # Numbers stand for items: a NULL one joins like any other.
+    tests = cut(tests.withColumn("no", F.monotonically_increasing_id()))
+    signed = cut(tests.select("no", "text").mapInPandas(lambda batches: _item_signatures(batches, threshold), "no long, keys array<long>"))
     passes = max(1, ceil(signed.count() / ITEMS))
     pairs = None
     for p in range(passes):
-        own = signed.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p).select("item", F.explode("keys").alias("key"))
+        own = signed.where(F.pmod(F.xxhash64("no"), F.lit(passes)) == p).select("no", F.explode("keys").alias("key"))
         wanted = np.array([r["key"] for r in own.select("key").distinct().collect()], np.int64).astype(np.uint64)
         hit = cut(_candidates(slim, wanted)).withColumn("row", F.monotonically_increasing_id())
-        met = hit.select("row", F.explode("keys").alias("key")).join(own, "key").select("row", "item").distinct()
-        sought = tests.select("item", shingles(F.col("text")).alias("parts")).withColumn("n", F.size("parts"))
-        sought = sought.select("item", "n", F.explode("parts").alias("part"))
-        held = hit.select("row", "id", F.explode(shingles(F.col("text"))).alias("part"))
-        shared = held.join(sought, "part").groupBy("row", "id", "item", "n").agg(F.count("*").alias("shared"))
-        sure = shared.join(met, ["row", "item"], "left_semi").where(F.col("shared") / F.col("n") >= threshold)
+        met = hit.select("row", F.explode("keys").alias("key")).join(own, "key").select("row", "no").distinct()
+        sought = tests.select("no", shingles(F.col("text")).alias("parts")).withColumn("n", F.size("parts"))
+        sought = sought.select("no", "n", F.explode("parts").alias("part"))
+        # A text's shingles only meet those of the items it was found by.
+        held = hit.select("row", "id", F.explode(shingles(F.col("text"))).alias("part")).join(met, "row")
+        shared = held.join(sought, ["no", "part"]).groupBy("row", "id", "no", "n").agg(F.count("*").alias("shared"))
+        sure = shared.where(F.col("shared") / F.col("n") >= threshold).join(tests.select("no", "item"), "no")
         found = sure.select("id", "item", (F.col("shared") / F.col("n")).alias("containment"))
         pairs = found if pairs is None else pairs.union(found)
     best = pairs.groupBy("id", "item").agg(F.max("containment").alias("containment"))
