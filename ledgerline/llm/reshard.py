@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.ranking import rank_within
 
 BLOCKS = 64
+NOWHERE = -(1 << 31)
 MAX_SHARDS = 256
 
 
@@ -98,11 +99,15 @@ def reshard(rows: DataFrame, old: Column, new_shards: int, size: str = "size", t
     count and one sum go to the driver (at most 256 shards), which solves the
     flow. The plan comes back as ranges of ranks; slots follow from them: first
     the rows that stay, then what each old shard sends. Ties and repeated rows
-    are placed one by one. No rows give no rows. ``old`` must not be NULL.
+    are placed one by one. Rows whose ``old`` is NULL lie in no shard yet: all
+    of them move, and their old_shard stays NULL. No rows give no rows. The
+    four result columns replace columns of the same names; all others pass.
     """
-    ranked = rank_within(rows.withColumn("old_shard", old.cast("int")), ["old_shard"], [F.col(size), F.col(tie)], "at")
+    given = F.struct(*[c for c in rows.columns if c not in ("old_shard", "shard", "slot", "moved")]).alias("given")
+    slim = rows.select(given, F.coalesce(old.cast("int"), F.lit(NOWHERE)).alias("old_shard"), F.col(size).alias("size"), F.col(tie).alias("tie"))
+    ranked = rank_within(slim, ["old_shard"], [F.col("size"), F.col("tie")], "at")
     block = F.ceil(F.col("at") * BLOCKS / F.col("group_size"))
-    found = ranked.groupBy("old_shard", block.alias("block")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    found = ranked.groupBy("old_shard", block.alias("block")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     found = found.orderBy("old_shard", "block").limit(MAX_SHARDS * BLOCKS + 1).collect()
     if len(found) > MAX_SHARDS * BLOCKS:
         raise ValueError(f"more than {MAX_SHARDS} old shards")
@@ -127,9 +132,9 @@ def reshard(rows: DataFrame, old: Column, new_shards: int, size: str = "size", t
         here = (F.col("old_shard") == i) & F.col("at").between(a, b)
         shard = F.when(here, F.lit(j)).otherwise(shard)
         slot = F.when(here, F.col("at") - a + start).otherwise(slot)
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long")).withColumn(
-        "moved", F.col("shard") != F.col("old_shard")
-    ).drop("at", "group_size")
+    placed = ranked.select("given", "old_shard", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    was = F.when(F.col("old_shard") != NOWHERE, F.col("old_shard"))
+    return placed.select("given.*", was.alias("old_shard"), "shard", "slot", (F.col("shard") != F.col("old_shard")).alias("moved"))
 
 
 def measures(id: str = "doc_id", text: str = "text") -> list[Column]:
