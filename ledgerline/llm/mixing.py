@@ -16,8 +16,8 @@ BLOCK_WORDS = 32
 BUCKETS = 1024
 SHARDS = 8
 SEED = 20250101
-# A prime above any number of blocks: multiplying by it permutes the blocks.
-_PRIME = (1 << 61) - 1
+# Rounds of the keyed permutation of blocks, and steps within which it is back in range.
+ROUNDS, STEPS = 4, 17
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -104,6 +104,25 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     )
 
 
+def permuted(block: str, blocks: str, key: str, seed: int) -> str:
+    """SQL for the place of a block in a keyed permutation of ``blocks`` blocks.
+
+    A Feistel network on a grid of a by w cells, a the rounded-up square root of
+    the number of blocks and w as few as hold them all: rounds add a hash of one
+    coordinate to the other in turn. A place beyond the last block is permuted
+    again until it is in range. Fewer than a places lie beyond, so up to 256
+    blocks 17 steps are always enough, and with more the chance that they are
+    not is below 16^-17 a block.
+    """
+    a, w = f"bigint(ceil(sqrt({blocks})))", f"bigint(ceil({blocks} / ceil(sqrt({blocks}))))"
+    added = "pmod(s.{0} + pmod(xxhash64({1}, {2}, k, s.{3}), {4}), {4})"
+    round_ = (f"if(k % 2 = 0, named_struct('l', {added.format('l', seed, key, 'r', 'g.a')}, 'r', s.r), "
+              f"named_struct('l', s.l, 'r', {added.format('r', seed, key, 'l', 'g.w')}))")
+    once = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', v div g.w, 'r', v % g.w), (s, k) -> {round_}, s -> s.l * g.w + s.r)"
+    walk = f"aggregate(sequence(1, {STEPS}), bigint({block}), (v, i) -> if(i > 1 AND v < {blocks}, v, {once}))"
+    return f"element_at(transform(array(named_struct('a', {a}, 'w', {w})), g -> {walk}), 1)"
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED)), F.lit(0)).cast("long")
 
@@ -115,7 +134,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     Each source's words, its documents in a hashed order, are cut into blocks. A
     source's quota is the number of blocks whose words make its target: all
     blocks once per whole pass, and for the rest as many as needed from a
-    permutation of them. Quotas are dealt to the output shards by
+    keyed permutation of them (:func:`permuted`). Quotas are dealt to the output shards by
     :func:`shard_quotas`; draws are disjoint, so a word is taken at most ``cap``
     times. mix_pieces lists what is taken of a row: pass, first word, words,
     shard and the place that shuffles the shard.
@@ -155,14 +174,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     order = Window.partitionBy("mix_rank", "mix_bucket").orderBy("mix_key", F.col(id), "mix_size")
     end = F.sum("mix_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("mix_end", end).withColumn("mix_start", F.col("mix_end") - F.col("mix_size"))
-    draw = (f"bigint(pmod({_PRIME}BD * (mix_offset + b) + shiftrightunsigned(xxhash64({seed}, mix_rank), 20), mix_blocks))"
-            " + e * mix_blocks")
+    draw = permuted("mix_offset + b", "mix_blocks", "mix_rank", seed)
     a, z = f"greatest(mix_start, b * {block_words})", f"least(mix_end, (b + 1) * {block_words})"
     pieces = (
-        f"filter(flatten(transform(sequence(0L, {cap - 1}L), e -> transform("
-        f"sequence(mix_start div {block_words}, (mix_end - 1) div {block_words}), b -> "
-        f"element_at(transform(array({draw}), d -> named_struct('pass', int(e), 'first', {a} - mix_start, 'words', {z} - {a}, "
-        f"'shard', size(filter(mix_cuts, c -> c <= d)), 'draw', d)), 1)))), p -> p.draw < mix_quota)"
+        f"filter(flatten(transform(flatten(transform(sequence(mix_start div {block_words}, (mix_end - 1) div {block_words}), b -> "
+        f"transform(array({draw}), d -> named_struct('b', b, 'd', d)))), x -> transform(sequence(0L, {cap - 1}L), e -> "
+        f"named_struct('pass', int(e), 'first', {a.replace(' b ', ' x.b ')} - mix_start, 'words', {z.replace('(b ', '(x.b ')} - {a.replace(' b ', ' x.b ')}, "
+        f"'shard', size(filter(mix_cuts, c -> c <= x.d + e * mix_blocks)), 'draw', x.d + e * mix_blocks)))), p -> p.draw < mix_quota)"
     )
     place = f"transform({pieces}, p -> named_struct('pass', p.pass, 'first', p.first, 'words', p.words, 'shard', p.shard, 'place', xxhash64({seed}, mix_rank, p.draw)))"
     empty = "array<struct<pass:int,first:bigint,words:bigint,shard:int,place:bigint>>"
