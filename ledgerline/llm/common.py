@@ -44,6 +44,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case, every other character as it is; NULL becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)

@@ -20,7 +20,7 @@ from ledgerline.llm import (
     toxicity,
     vectors,
 )
-from ledgerline.llm.common import table
+from ledgerline.llm.common import fresh_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,11 +70,10 @@ ORACLES["op6_chat"] = chat.ORACLE
 
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents moved from five shards, filled by source, to eight of equal counts."""
+    """All documents moved from five shards, filled by source, to eight of equal counts; affected files written and read back."""
     docs = table(spark, sf_dir, "documents")
     old = F.pmod(F.xxhash64("source"), F.lit(5))
-    rows = docs.select("source", *reshard.measures("doc_id", "text"))
-    placed = reshard.reshard(rows, old, 8)
+    placed = reshard.rewritten(docs, old, 8, fresh_folder(spark, "shards"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 

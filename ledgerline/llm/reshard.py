@@ -7,6 +7,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import cut
 from ledgerline.operators.ranking import rank_within
 
 BLOCKS = 64
@@ -149,11 +150,34 @@ def rewrite(placed: DataFrame, folder: str) -> list[int]:
 
     Shards that the plan leaves as they are keep their files.
     """
-    touched = placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    numbers = sorted(r["shard"] for r in touched.limit(2 * MAX_SHARDS).collect())
+    touched = placed.where("moved OR old_shard IS NULL").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+    numbers = sorted(r["shard"] for r in touched.where("shard IS NOT NULL").limit(2 * MAX_SHARDS).collect())
+    if not numbers:
+        return numbers
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         placed.where(F.col("shard").isin(numbers)).repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard").parquet(folder)
     )
     return numbers
+
+
+def rewritten(docs: DataFrame, old: Column, new_shards: int, folder: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` resharded, with the affected files written to ``folder`` and read back from there.
+
+    Placement works on ids and sizes; texts move once, to the shard and slot they
+    are written to. Rows of shards that nothing leaves or enters are passed on
+    from ``docs``. Gives the columns of ``docs``, size, text_crc32, old_shard,
+    shard, slot and moved, sizes and checksums those of the texts read back.
+    """
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    slim = rows.select(*measures("row", text)[:2], F.xxhash64(F.col(id), F.col(text)).alias("tie"), old.alias("was"))
+    placed = cut(reshard(slim, F.col("was"), new_shards).select("row", "old_shard", "shard", "slot", "moved"))
+    full = rows.select("row", F.struct(*docs.columns).alias("given")).join(placed, "row").drop("row")
+    numbers = rewrite(full, folder)
+    back = full.where(~F.col("shard").isin(numbers)) if numbers else full
+    if numbers:
+        files = docs.sparkSession.read.schema(full.schema).parquet(folder)
+        back = files.unionByName(back)
+    size, checksum = measures("slot", f"given.{text}")[1:3]
+    return back.select("given.*", size, checksum, "old_shard", "shard", "slot", "moved")

@@ -128,3 +128,38 @@ def test_recall_with_long_bucket_keys(spark):
     units = both / np.linalg.norm(both, axis=1, keepdims=True)
     want = int((units @ units.T >= 0.9).sum()) - len(units)
     assert want >= 3000 and got <= want and got >= 0.98 * want
+
+
+def test_blocks_are_permuted_and_not_turned(spark):
+    from ledgerline.llm import mixing
+
+    sizes = [1, 2, 3, 4, 5, 6, 7, 9, 10, 15, 16, 17, 150, 330, 1000, 1321]
+    df = spark.createDataFrame([(n, b) for n in sizes for b in range(n)], "n long, b long")
+    draws = [F.expr(mixing.permuted("b", "n", str(key), 5)).alias(f"k{key}") for key in (1, 2)]
+    got = {}
+    for r in df.select("n", "b", *draws).orderBy("n", "b").collect():
+        got.setdefault(r["n"], []).append((r["k1"], r["k2"]))
+    for n, pairs in got.items():
+        for order in zip(*pairs, strict=True):
+            assert sorted(order) == list(range(n))
+            if n >= 150:  # neighbours are neither one step apart nor in any other fixed step
+                steps = [(b - a) % n for a, b in zip(order, order[1:], strict=False)]
+                assert max(steps.count(s) for s in set(steps)) < n / 8
+        if n >= 9:
+            assert [a for a, _ in pairs] != [b for _, b in pairs]
+
+
+def test_affected_files_are_rewritten_and_read_back(spark, docs, tmp_path):
+    rows = docs(*[(k if k % 9 else None, f"text {k}" if k % 7 else None, "abc"[k % 3]) for k in range(60)])
+    was = F.ascii("source") - 97
+    for n, folder in ((8, "a"), (3, "b")):
+        got = reshard.rewritten(rows, was, n, f"file://{tmp_path}/{folder}").collect()
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(r["doc_id"]), str(r["text"])) for r in rows.collect())
+        files = {p.name for p in (tmp_path / folder).glob("shard=*")} if (tmp_path / folder).exists() else set()
+        moved = {f"shard={x}" for r in got if r["moved"] for x in (r["old_shard"], r["shard"]) if x < n}
+        assert moved <= files
+        for j in range(n):
+            own = sorted((r for r in got if r["shard"] == j), key=lambda r: r["slot"])
+            assert [r["slot"] for r in own] == list(range(len(own)))
+        assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in got)
+    assert reshard.rewritten(rows.limit(0), was, 3, f"file://{tmp_path}/none").count() == 0
