@@ -76,6 +76,21 @@ def search_companies_enriched(i):
     return out.select("cik", "ticker", "market_cap", "first_filed", "score")
 
 
+INDEX_NAMES = "['spx', ' S&P500 ', '^ftse', 'Dow', 'nasdaq', 'Russell2000', 'none such', 'vix']"
+
+
+@query("symbol_forms", f"""
+WITH t AS (SELECT cik, ticker, CASE cik % 3 WHEN 0 THEN replace(ticker, '-', '.') WHEN 1 THEN lower(replace(ticker, '-', '/')) ELSE ticker END AS given, list_element({INDEX_NAMES}, (cik % 8 + 1)::int) AS name FROM fx_company),
+i AS (SELECT *, upper(trim(name)) AS key FROM t)
+SELECT cik, regexp_replace(upper(given), '[./]', '-', 'g') AS dashed, CASE WHEN key LIKE '^%' THEN key WHEN key IN ('SPX', 'S&P500') THEN '^GSPC' WHEN key = 'DOW' THEN '^DJI' WHEN key = 'NASDAQ' THEN '^IXIC' WHEN key = 'RUSSELL2000' THEN '^RUT' WHEN key = 'VIX' THEN '^VIX' END AS index_symbol FROM i
+""")
+def symbol_forms(i):
+    given = F.when(F.col("cik") % 3 == 0, F.replace("ticker", F.lit("-"), F.lit("."))).when(
+        F.col("cik") % 3 == 1, F.lower(F.replace("ticker", F.lit("-"), F.lit("/")))).otherwise(F.col("ticker"))
+    name = F.expr(f"element_at(array({INDEX_NAMES[1:-1]}), cast(cik % 8 + 1 AS int))")
+    return i.fx_company.select("cik", lb.dash_class(given).alias("dashed"), lb.index_symbol(name).alias("index_symbol"))
+
+
 @query("tiered_search", """
 WITH t AS (SELECT *, CASE WHEN upper(ticker) = 'T0020-A' THEN 0 WHEN starts_with(ticker, 'T0020-A') THEN 1 WHEN contains(upper(name), 'T0020-A') THEN 2 END AS tier FROM fx_company)
 SELECT cik, ticker, tier FROM t WHERE tier IS NOT NULL
@@ -525,7 +540,7 @@ SELECT metric, max(CASE WHEN ticker = 'T0001' THEN value END) AS "T0001", max(CA
 """)
 def compare_companies(i):
     long = i.fx_long.join(i.fx_company.select("cik", "ticker"), "cik")
-    return cp.compare_companies(long, sc.require_tickers(["t0001", "T0002", "T0005"]), ["revenue", "net_income", "total_assets", "gross_profit"])
+    return cp.compare_companies(long, sc.several(["t0001", "T0002", "T0005"], "ticker", range(2, 9)), ["revenue", "net_income", "total_assets", "gross_profit"])
 
 
 @query("compare_failures", "SELECT ticker FROM fx_company WHERE cik NOT IN (SELECT cik FROM fx_long WHERE metric = 'gross_profit')")

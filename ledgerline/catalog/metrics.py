@@ -224,8 +224,8 @@ def industry_classes(i):
 
 
 def _sector_sql():
-    from ledgerline.functions.labels import SECTOR_RANGES, _ranges
-    rows = ", ".join(f"({n}, {lo}, {hi}, {_q(lab.split('|')[0])}, {_q(lab.split('|')[1])})" for n, (lo, hi, lab) in enumerate(_ranges(SECTOR_RANGES)))
+    from ledgerline.functions.labels import SECTOR_RANGES
+    rows = ", ".join(f"({n}, {lo}, {hi}, {_q(sector)}, {_q(industry)})" for n, (lo, hi, sector, industry) in enumerate(SECTOR_RANGES))
     return f"""
 WITH r(n, lo, hi, s, d) AS (VALUES {rows}),
 m AS (SELECT cik, s, d, row_number() OVER (PARTITION BY cik ORDER BY n) AS rn FROM fx_company JOIN r ON sic BETWEEN lo AND hi),

@@ -131,26 +131,49 @@ def validate(df: DataFrame, industry: str = "industry", confidence: dict[str, st
 # Statement field names of the outside vocabulary and the metric
 # behind each; a minus marks outflows shown as negative amounts.
 STATEMENT_FIELDS = {
-    "income": """revenue=revenue costOfRevenue=cost_of_revenue grossProfit=gross_profit
-        operatingExpenses=operating_expenses depreciationAndAmortization=depreciation_amortization
-        ebitda=ebitda ebit=operating_income operatingIncome=operating_income interestExpense=interest_expense
-        incomeBeforeTax=income_before_tax incomeTaxExpense=income_tax_expense netIncome=net_income
-        bottomLineNetIncome=net_income epsDiluted=eps_diluted weightedAverageShsOut=shares_outstanding""",
-    "balance": """cashAndCashEquivalents=cash_and_equivalents totalCurrentAssets=current_assets
-        totalAssets=total_assets shortTermDebt=short_term_debt totalCurrentLiabilities=current_liabilities
-        longTermDebt=long_term_debt totalLiabilities=total_liabilities totalStockholdersEquity=stockholders_equity""",
-    "cashflow": """operatingCashFlow=operating_cash_flow
-        netCashProvidedByOperatingActivities=operating_cash_flow capitalExpenditure=-capital_expenditures
-        freeCashFlow=free_cash_flow commonDividendsPaid=-dividends_paid netDividendsPaid=-dividends_paid
-        commonStockRepurchased=-shares_repurchased""",
+    "income": (
+        ("revenue", "revenue"),
+        ("costOfRevenue", "cost_of_revenue"),
+        ("grossProfit", "gross_profit"),
+        ("operatingExpenses", "operating_expenses"),
+        ("depreciationAndAmortization", "depreciation_amortization"),
+        ("ebitda", "ebitda"),
+        ("ebit", "operating_income"),
+        ("operatingIncome", "operating_income"),
+        ("interestExpense", "interest_expense"),
+        ("incomeBeforeTax", "income_before_tax"),
+        ("incomeTaxExpense", "income_tax_expense"),
+        ("netIncome", "net_income"),
+        ("bottomLineNetIncome", "net_income"),
+        ("epsDiluted", "eps_diluted"),
+        ("weightedAverageShsOut", "shares_outstanding"),
+    ),
+    "balance": (
+        ("cashAndCashEquivalents", "cash_and_equivalents"),
+        ("totalCurrentAssets", "current_assets"),
+        ("totalAssets", "total_assets"),
+        ("shortTermDebt", "short_term_debt"),
+        ("totalCurrentLiabilities", "current_liabilities"),
+        ("longTermDebt", "long_term_debt"),
+        ("totalLiabilities", "total_liabilities"),
+        ("totalStockholdersEquity", "stockholders_equity"),
+    ),
+    "cashflow": (
+        ("operatingCashFlow", "operating_cash_flow"),
+        ("netCashProvidedByOperatingActivities", "operating_cash_flow"),
+        ("capitalExpenditure", "-capital_expenditures"),
+        ("freeCashFlow", "free_cash_flow"),
+        ("commonDividendsPaid", "-dividends_paid"),
+        ("netDividendsPaid", "-dividends_paid"),
+        ("commonStockRepurchased", "-shares_repurchased"),
+    ),
 }
 
 
 def statement_shape(df: DataFrame, statement: str, base: tuple[str, ...] = ("cik", "fy", "end_date")) -> DataFrame:
     """Project metrics to one statement of the outside vocabulary."""
     cols = []
-    for item in STATEMENT_FIELDS[statement].split():
-        name, metric = item.split("=")
+    for name, metric in STATEMENT_FIELDS[statement]:
         outflow = metric.startswith("-")
         metric = metric.lstrip("-")
         value = F.col(metric) if metric in df.columns else F.lit(None).cast("double")

@@ -231,22 +231,22 @@ _BANK_DRIVERS = (
 
 # Metrics measured at an instant, exempt from duration filters.
 BALANCE_METRICS = (
-    "total_assets current_assets total_liabilities current_liabilities stockholders_equity "
-    "total_equity minority_interest long_term_debt short_term_debt cash_and_equivalents "
-    "accounts_receivable inventory goodwill intangible_assets property_plant_equipment "
-    "accounts_payable accrued_liabilities deferred_revenue retained_earnings "
-    "accumulated_other_comprehensive_income shares_outstanding bank_deposits bank_loans"
-).split()
+    "total_assets", "current_assets", "total_liabilities", "current_liabilities", "stockholders_equity",
+    "total_equity", "minority_interest", "long_term_debt", "short_term_debt", "cash_and_equivalents",
+    "accounts_receivable", "inventory", "goodwill", "intangible_assets", "property_plant_equipment",
+    "accounts_payable", "accrued_liabilities", "deferred_revenue", "retained_earnings",
+    "accumulated_other_comprehensive_income", "shares_outstanding", "bank_deposits", "bank_loans",
+)
 
 # Flow metrics that year-to-date arithmetic applies to.
 FLOW_METRICS = (
-    "revenue cost_of_revenue gross_profit operating_income operating_expenses sga_expense "
-    "rd_expense interest_expense income_tax_expense depreciation_amortization "
-    "provision_for_credit_losses other_income_expense income_before_tax "
-    "share_based_compensation net_income ebitda operating_cash_flow investing_cash_flow "
-    "financing_cash_flow capital_expenditures dividends_paid shares_repurchased sbc_cash_flow "
-    "acquisitions proceeds_from_debt repayment_of_debt free_cash_flow"
-).split()
+    "revenue", "cost_of_revenue", "gross_profit", "operating_income", "operating_expenses", "sga_expense",
+    "rd_expense", "interest_expense", "income_tax_expense", "depreciation_amortization",
+    "provision_for_credit_losses", "other_income_expense", "income_before_tax", "share_based_compensation",
+    "net_income", "ebitda", "operating_cash_flow", "investing_cash_flow", "financing_cash_flow",
+    "capital_expenditures", "dividends_paid", "shares_repurchased", "sbc_cash_flow", "acquisitions",
+    "proceeds_from_debt", "repayment_of_debt", "free_cash_flow",
+)
 
 # Words that mark a forecast rather than a reported figure.
 FORECAST_WORDS = (

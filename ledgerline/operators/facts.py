@@ -19,9 +19,10 @@ FACT_KEY = ("cik", "concept", "taxonomy", "units", "start_date", "end_date")
 
 # Currency codes that count as reporting currencies.
 CURRENCIES = (
-    "USD EUR GBP JPY CNY CHF CAD AUD KRW HKD SGD TWD INR BRL MXN ZAR SEK NOK DKK ILS NZD THB "
-    "PHP MYR IDR RUB TRY PLN CZK HUF CLP COP PEN ARS SAR AED QAR KWD BHD OMR EGP NGN KES"
-).split()
+    "USD", "EUR", "GBP", "JPY", "CNY", "CHF", "CAD", "AUD", "KRW", "HKD", "SGD", "TWD", "INR", "BRL", "MXN", "ZAR",
+    "SEK", "NOK", "DKK", "ILS", "NZD", "THB", "PHP", "MYR", "IDR", "RUB", "TRY", "PLN", "CZK", "HUF", "CLP", "COP",
+    "PEN", "ARS", "SAR", "AED", "QAR", "KWD", "BHD", "OMR", "EGP", "NGN", "KES",
+)
 
 MAX_LEVEL = 2
 

@@ -1,3 +1,4 @@
+import datetime as dt
 from pathlib import Path
 
 import pytest
@@ -12,12 +13,14 @@ from ledgerline.streaming import streams as st
 
 
 @pytest.mark.parametrize("call", [
-    lambda: sc.require_ticker(""), lambda: sc.require_ticker(None), lambda: sc.require_ticker("X" * 13),
-    lambda: sc.require_date("2024-13-01"), lambda: sc.require_date("01/02/2024"),
-    lambda: sc.require_choice("weekly", ("annual", "ttm")), lambda: sc.require_count("x", 1), lambda: sc.require_count(0, 1),
-    lambda: sc.require_number(True), lambda: sc.require_number("abc"), lambda: sc.require_accession("123"),
-    lambda: sc.require_year_pair(2020, 2020, 2025), lambda: sc.require_year_pair(1990, 2020, 2025),
-    lambda: sc.require_tickers(["A"]), lambda: sc.require_tickers("AB"), lambda: expand_forms("not a form!!"),
+    lambda: sc.argument("", "ticker"), lambda: sc.argument(None, "ticker"), lambda: sc.argument("X" * 13, "ticker"), lambda: sc.argument("  ", "ticker"),
+    lambda: sc.argument("2024-13-01", "day"), lambda: sc.argument("01/02/2024", "day"), lambda: sc.argument("2024-01-02x", "day"),
+    lambda: sc.argument("weekly", "word", among=("annual", "ttm")), lambda: sc.argument("x", "count"), lambda: sc.argument(0, "count", among=range(1, 501)),
+    lambda: sc.argument(2.5, "count"), lambda: sc.argument(True, "count"), lambda: sc.argument(True, "number"), lambda: sc.argument("abc", "number"),
+    lambda: sc.argument("123", "accession"), lambda: sc.argument(None, "accession"), lambda: sc.argument("1" * 19, "accession"),
+    lambda: sc.several([2020, 2020], "count", range(2, 3), distinct=True, among=range(1994, 2026)),
+    lambda: sc.several([1990, 2020], "count", range(2, 3), distinct=True, among=range(1994, 2026)),
+    lambda: sc.several(["A"], "ticker", range(2, 9)), lambda: sc.several("AB", "ticker", range(2, 9)), lambda: expand_forms("not a form!!"),
     lambda: sc.condition({"metric": "x", "operator": "~", "value": 1}),
     lambda: sc.condition({"metric": "x", "operator": "between", "value": 1}),
     lambda: sc.condition({"metric": "x", "value": 1}),
@@ -28,10 +31,14 @@ def test_bad_arguments_fail_early(spark, call):
 
 
 def test_good_arguments():
-    assert sc.require_ticker(" brk.b ") == "BRK.B"
-    assert sc.require_accession("000032019324000123") == "0000320193-24-000123"
+    assert sc.argument(" brk.b ", "ticker") == "BRK.B" and sc.argument("X" * 12, "ticker") == "X" * 12 and sc.argument("x", "ticker") == "X"
+    assert sc.argument("000032019324000123", "accession") == sc.argument(" 0000320193/24 000123", "accession") == "0000320193-24-000123"
+    assert sc.argument("2024-2-29", "day") == sc.argument(dt.date(2024, 2, 29), "day") == dt.date(2024, 2, 29)
+    assert sc.argument(None, "day", optional=True) is None and sc.argument(None, "word", default="annual") == "annual"
+    assert sc.argument(" TTM ", "word", among=("annual", "ttm")) == "ttm"
+    assert sc.several(["a", " b"], "ticker", range(2, 9)) == ["A", "B"]
     assert expand_forms("13d/g")[0] == "SC 13D" and expand_forms("25-NSE") == ["25-NSE"]
-    assert sc.require_number("2.5") == 2.5 and sc.require_count("7", 1) == 7
+    assert sc.argument("2.5", "number") == 2.5 and sc.argument(-1e3, "number") == -1000 and sc.argument("7", "count") == sc.argument(7.0, "count") == 7
 
 
 def test_unknown_screen_and_metric_names(spark):
