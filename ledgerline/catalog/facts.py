@@ -132,9 +132,8 @@ SERIES = "cik, concept, taxonomy, units"
 @query("annual_facts", f"""
 WITH d AS (SELECT *, {DUR} AS dur FROM {DEDUPED} x),
 e AS (SELECT *, max(CASE WHEN dur BETWEEN 340 AND 400 THEN 1 ELSE 0 END) OVER (PARTITION BY {SERIES}) AS has_fy,
-  row_number() OVER (PARTITION BY {SERIES}, end_date ORDER BY dur DESC, start_date) AS longest FROM d WHERE dur IS NOT NULL)
-SELECT {FACT_COLS} FROM e WHERE (has_fy = 1 AND dur BETWEEN 340 AND 400) OR (has_fy = 0 AND longest = 1)
-UNION ALL SELECT {FACT_COLS} FROM d WHERE dur IS NULL
+  row_number() OVER (PARTITION BY {SERIES}, end_date, dur IS NULL ORDER BY dur DESC, start_date) AS longest FROM d)
+SELECT {FACT_COLS} FROM e WHERE dur IS NULL OR (has_fy = 1 AND dur BETWEEN 340 AND 400) OR (has_fy = 0 AND longest = 1)
 """)
 def annual_facts(i):
     return _cols(fx.annual_facts(fx.dedupe_facts(i.fx_facts.where("dimension IS NULL"))))
@@ -142,10 +141,10 @@ def annual_facts(i):
 
 @query("ytd_facts", f"""
 WITH d AS (SELECT *, {DUR} AS dur FROM {DEDUPED} x),
-e AS (SELECT *, max(CASE WHEN dur <= 295 THEN 1 ELSE 0 END) OVER (PARTITION BY {SERIES}) AS has_short FROM d WHERE dur IS NOT NULL),
-g AS (SELECT *, row_number() OVER (PARTITION BY {SERIES}, end_date ORDER BY dur DESC, start_date) AS longest
-  FROM e WHERE dur <= 295 OR has_short = 0)
-SELECT {FACT_COLS} FROM g WHERE longest = 1 UNION ALL SELECT {FACT_COLS} FROM d WHERE dur IS NULL
+e AS (SELECT *, max(CASE WHEN dur <= 295 THEN 1 ELSE 0 END) OVER (PARTITION BY {SERIES}) AS has_short FROM d),
+g AS (SELECT *, row_number() OVER (PARTITION BY {SERIES}, end_date, dur IS NULL ORDER BY dur DESC, start_date) AS longest
+  FROM e WHERE dur IS NULL OR dur <= 295 OR has_short = 0)
+SELECT {FACT_COLS} FROM g WHERE dur IS NULL OR longest = 1
 """)
 def ytd_facts(i):
     return _cols(fx.ytd_facts(fx.dedupe_facts(i.fx_facts.where("dimension IS NULL"))))
@@ -153,10 +152,10 @@ def ytd_facts(i):
 
 @query("standalone_quarter_facts", f"""
 WITH d AS (SELECT *, {DUR} AS dur FROM {DEDUPED} x),
-e AS (SELECT *, max(CASE WHEN fy = 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY cik) AS any_fy FROM d WHERE dur IS NOT NULL),
-g AS (SELECT *, max(end_date) OVER (PARTITION BY cik) AS newest FROM e WHERE fy = 2000 OR any_fy = 0),
-h AS (SELECT *, row_number() OVER (PARTITION BY cik, concept ORDER BY dur DESC, start_date) AS rn FROM g WHERE end_date = newest)
-SELECT {FACT_COLS} FROM h WHERE rn = 1 UNION ALL SELECT {FACT_COLS} FROM d WHERE dur IS NULL
+e AS (SELECT *, max(CASE WHEN dur IS NOT NULL AND fy = 2000 THEN 1 ELSE 0 END) OVER (PARTITION BY cik) AS any_fy FROM d),
+g AS (SELECT *, max(CASE WHEN dur IS NOT NULL THEN end_date END) OVER (PARTITION BY cik) AS newest FROM e WHERE dur IS NULL OR fy = 2000 OR any_fy = 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY cik, concept, dur IS NULL ORDER BY dur DESC, start_date) AS rn FROM g WHERE dur IS NULL OR end_date = newest)
+SELECT {FACT_COLS} FROM h WHERE dur IS NULL OR rn = 1
 """)
 def standalone_quarter_facts(i):
     # One unit per concept, so that the choice inside a concept is unique.
@@ -164,12 +163,20 @@ def standalone_quarter_facts(i):
     return _cols(fx.standalone_quarter_facts(facts, 2000))
 
 
+@query("duration_fallback_annual", f"""
+WITH d AS (SELECT *, {DUR} AS dur FROM {DEDUPED} x),
+e AS (SELECT *, max(CASE WHEN dur > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY {SERIES}) AS has_long FROM d)
+SELECT {FACT_COLS} FROM e WHERE dur IS NULL OR dur > 300 OR has_long = 0
+""")
+def duration_fallback_annual(i):
+    return _cols(fx.duration_fallback(fx.dedupe_facts(i.fx_facts.where("dimension IS NULL")), "annual"))
+
+
 @query("duration_fallback", f"""
 WITH d AS (SELECT *, {DUR} AS dur FROM {DEDUPED} x),
 e AS (SELECT *, max(CASE WHEN dur <= 115 THEN 1 ELSE 0 END) OVER (PARTITION BY {SERIES}) AS has_short,
-  row_number() OVER (PARTITION BY {SERIES}, end_date ORDER BY dur, start_date DESC NULLS LAST) AS shortest FROM d WHERE dur IS NOT NULL)
-SELECT {FACT_COLS} FROM e WHERE (has_short = 1 AND dur <= 115) OR (has_short = 0 AND shortest = 1)
-UNION ALL SELECT {FACT_COLS} FROM d WHERE dur IS NULL
+  row_number() OVER (PARTITION BY {SERIES}, end_date, dur IS NULL ORDER BY dur, start_date DESC NULLS LAST) AS shortest FROM d)
+SELECT {FACT_COLS} FROM e WHERE dur IS NULL OR (has_short = 1 AND dur <= 115) OR (has_short = 0 AND shortest = 1)
 """)
 def duration_fallback(i):
     return _cols(fx.duration_fallback(fx.dedupe_facts(i.fx_facts.where("dimension IS NULL")), "quarterly"))
