@@ -223,6 +223,19 @@ def section_text(i):
     return found.select("doc_id", F.md5("text").alias("text_md5"))
 
 
+@query("named_sections", """
+WITH d AS (SELECT doc_id, regexp_replace(text, '(?i)business|risk factor|propert|cybersec|reserved|item', 'word', 'g') AS text FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'risk_factors' ELSE ' Risk_Factors ' END AS name, '1A' AS item,
+ md5('Item 1A. Risk Factors' || chr(10) || repeat('plain words that fill the section with content and nothing else at all ', 3) || chr(10) || text || chr(10) || rtrim(repeat('filler line' || chr(10), 60), chr(10))) AS text_md5 FROM d WHERE doc_id % 3 < 2
+""")
+def named_sections(i):
+    """Two spellings of one section and an unknown name, over all documents."""
+    docs = _reports(i)
+    name = F.when(F.col("doc_id") % 3 == 0, "risk_factors").when(F.col("doc_id") % 3 == 1, " Risk_Factors ").otherwise("no such section")
+    found = se.named_sections(docs, se.segment(docs), docs.select("doc_id", name.alias("name")))
+    return found.select("doc_id", "name", "item", F.md5("text").alias("text_md5"))
+
+
 @query("stub_redirect")
 def stub_redirect(i):
     """Sections that only point elsewhere take the text of the real heading."""
