@@ -273,12 +273,12 @@ WITH {COMPOSED}, b AS (SELECT cik, count(*) AS insider_buys FROM fx_insider WHER
 SELECT z.cik, insider_buys FROM z JOIN b ON z.cik = b.cik WHERE fcf > 0 AND z.cik IN (SELECT cik FROM fx_filings WHERE form LIKE '8-K%' AND filed >= (SELECT max(filed) FROM fx_filings WHERE form LIKE '8-K%') - 7)
 """)
 def screen_events(i):
-    # Two single values: each source has its own newest day.
-    last_filing = i.fx_filings.where("form LIKE '8-K%'").agg(F.max("filed")).first()[0]
-    last_trade = i.fx_insider.agg(F.max("txn_date")).first()[0]
-    filings = i.fx_filings.withColumn("as_of", F.lit(last_filing))
+    # Two single values, scalar subqueries of the same plan: each source has its own newest day.
+    last_filing = i.fx_filings.where("form LIKE '8-K%'").agg(F.max("filed")).scalar()
+    last_trade = i.fx_insider.agg(F.max("txn_date")).scalar()
+    filings = i.fx_filings.withColumn("as_of", last_filing)
     insiders = i.fx_insider.withColumn("transaction_type", F.when(F.col("code") == "P", "Purchase").otherwise("Other"))
-    insiders = insiders.withColumn("as_of", F.lit(last_trade))
+    insiders = insiders.withColumn("as_of", last_trade)
     out = sc.screen_composed(_composed(i), {"fcf_positive": True, "filed_8k_last_7d": True, "insider_buying_last_30d": True},
                              filings=filings, transactions=insiders, as_of=F.col("as_of"))
     return out.select("cik", "insider_buys")

@@ -134,8 +134,8 @@ LAST = "(SELECT max(cast(ts AS date)) FROM events)"
 
 
 def _last_day(i):
-    """The newest event day; one value, read on the driver."""
-    return F.lit(i.events.agg(F.max(F.to_date("ts"))).first()[0])
+    """The newest event day, a scalar subquery of the same plan."""
+    return i.events.agg(F.max(F.to_date("ts"))).scalar()
 
 
 @query("transaction_types", f"""
