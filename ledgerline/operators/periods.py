@@ -58,6 +58,12 @@ def rebuild_derived(df: DataFrame, prior_eps: dict[str, Column], recompute: Colu
     return df.withColumns({k: F.when(recompute, v).otherwise(c(k)) for k, v in out.items()})
 
 
+def _ties(df: DataFrame, *used: str) -> list[Column]:
+    """All other columns that have an order, by name: rows that still tie are equal."""
+    return [F.col(f.name).asc_nulls_last() for f in sorted(df.schema, key=lambda f: f.name)
+            if f.name not in used and f.dataType.typeName() not in ("map", "variant")]
+
+
 def decumulate(quarters: DataFrame, flows: Sequence[str] | None = None) -> DataFrame:
     """Standalone quarters from year-to-date rows of the same fiscal year.
 
@@ -66,7 +72,7 @@ def decumulate(quarters: DataFrame, flows: Sequence[str] | None = None) -> DataF
     """
     flows = [m for m in (flows or FLOW_METRICS) if m in quarters.columns]
     shares = [k for k in PER_SHARE if k in quarters.columns]
-    w = Window.partitionBy("cik", "fy").orderBy("rank")
+    w = Window.partitionBy("cik", "fy").orderBy("rank", *_ties(quarters, "cik", "fy", "rank"))
     df = quarters.withColumn("__prev", F.lag("rank").over(w))
     df = df.withColumns({f"__p_{m}": F.lag(m).over(w) for m in [*flows, *shares]})
     known = F.col("fy").isNotNull() & F.col("rank").isNotNull()
@@ -144,7 +150,7 @@ def summable(quality: Column | str = "quality") -> Column:
 
 def newest(df: DataFrame, n: int, order: str = "end_date", keys: Sequence[str] = ("cik",)) -> DataFrame:
     """The n newest rows per key, numbered from one."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *_ties(df, order, *keys))
     return df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
 
 
@@ -154,7 +160,7 @@ def newest_summable(quarters: DataFrame, n: int) -> DataFrame:
     Companies without any keep unusable rows, so that they can be reported.
     """
     flagged = quarters.withColumn("usable", summable())
-    w = Window.partitionBy("cik").orderBy(F.col("usable").desc(), F.col("end_date").desc_nulls_last())
+    w = Window.partitionBy("cik").orderBy(F.col("usable").desc(), F.col("end_date").desc_nulls_last(), *_ties(quarters, "cik", "end_date"))
     return flagged.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
 
 

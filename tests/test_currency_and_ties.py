@@ -3,6 +3,7 @@
 import datetime as dt
 
 from ledgerline.functions import concepts as C
+from ledgerline.operators import periods as pr
 from ledgerline.operators import resolve as rs
 from ledgerline.plans import fundamentals as plan
 
@@ -61,3 +62,15 @@ def test_prefixed_tags_that_tie_are_ordered_by_value(spark):
         facts = spark.createDataFrame(order, "cik long, end_date string, concept string, value double")
         got = rs.resolve_metrics(facts, metrics=["net_income"]).collect()
         assert [r["value"] for r in got] == [3.0]
+
+
+def test_periods_that_tie_come_in_one_order(spark):
+    rows = [(1, 2020, 2, True, dt.date(2020, 6, 30), v, "standalone") for v in (30.0, 10.0, 20.0)] + [(1, 2020, 1, False, dt.date(2020, 3, 31), 4.0, "standalone")]
+    seen = set()
+    for k in range(3):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "cik long, fy int, rank int, is_ytd boolean, end_date date, revenue double, quality string").repartition(3)
+        seen.add((
+            tuple(r["revenue"] for r in pr.newest(df, 2).orderBy("n").collect()), tuple(r["revenue"] for r in pr.newest_summable(df, 2).orderBy("n").collect()),
+            tuple(sorted((r["rank"], r["revenue"]) for r in pr.decumulate(df.drop("quality")).collect())),
+        ))
+    assert len(seen) == 1 and next(iter(seen))[0] == (10.0, 20.0)
