@@ -146,19 +146,17 @@ def measures(id: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 def rewrite(placed: DataFrame, folder: str) -> list[int]:
-    """Write the shards that gained or lost rows, by shard and slot; return their numbers.
+    """Write the shards that gained or lost rows; return their numbers.
 
+    A shard is a folder of files in rising slot order, one from each partition
+    of ``placed``, so rows are written where they are and not shuffled again.
     Shards that the plan leaves as they are keep their files.
     """
     touched = placed.where("moved OR old_shard IS NULL").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     numbers = sorted(r["shard"] for r in touched.where("shard IS NOT NULL").limit(2 * MAX_SHARDS).collect())
     if not numbers:
         return numbers
-    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
-        placed.where(F.col("shard").isin(numbers)).repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").parquet(folder)
-    )
+    placed.where(F.col("shard").isin(numbers)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
     return numbers
 
 
