@@ -57,7 +57,9 @@ def resolve_alias(texts: DataFrame, aliases: DataFrame, key: str, text: str, max
 
     The text's runs of up to ``max_words`` words, by default those of the
     longest alias, meet the aliases in an equi-join. The whole text as an alias
-    wins. ``aliases`` is (alias, ticker) with lower-case aliases.
+    wins. ``aliases`` is (alias, ticker) with lower-case aliases. Both sides are
+    shuffled: by its files' size Spark would take the runs, many times larger
+    than their texts, for small enough to broadcast.
     """
     if max_words is None:
         longest = F.max(F.size(F.array_remove(F.split("alias", "[^\\p{L}\\p{N}_]+"), "")))
@@ -80,10 +82,10 @@ def resolve_alias(texts: DataFrame, aliases: DataFrame, key: str, text: str, max
         )
     grams = F.array_distinct(F.concat(F.array("__low"), *runs))
     probe = t.select(key, "__low", F.explode(grams).alias("alias"))
-    hit = probe.join(aliases.select("alias", "ticker"), "alias")
-    whole = F.col("alias") == F.col("__low")
-    hit = hit.where(whole | (F.length("alias") >= 3))
-    order = F.struct(whole, F.length("alias"), F.col("alias"))
+    probe = probe.select(key, (F.col("alias") == F.col("__low")).alias("__whole"), "alias")
+    probe = probe.where(F.col("__whole") | (F.length("alias") >= 3))
+    hit = probe.join(aliases.select("alias", "ticker").hint("merge"), "alias")
+    order = F.struct("__whole", F.length("alias"), F.col("alias"))
     return hit.groupBy(key).agg(F.max_by("ticker", order).alias("ticker"), F.max_by("alias", order).alias("alias"))
 
 
