@@ -33,9 +33,15 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group alike in 0.8 of its five-word shingles: the smallest id, NULL last."""
+    """One document of each group alike in 0.8 of its five-word shingles: the smallest id, NULL last.
+
+    Links come from SimHash fingerprints (bit counts of their segments on a grid
+    of band pairs, Manhattan and then exact distance), are verified exactly and
+    completed by those that two bits of 64 do not reach.
+    """
     rows = _numbered(docs)
-    groups = simhash.similar_groups(rows, words=5, similarity=0.8, id="row")
+    near = simhash.near_duplicates(rows, words=5, id="row")
+    groups = simhash.similar_groups(rows, words=5, similarity=0.8, id="row", near=near)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first"))
     return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)

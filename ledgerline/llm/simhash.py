@@ -258,7 +258,7 @@ def block_edges(left: pd.DataFrame, right: pd.DataFrame | None, radius: int, sim
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 1 - 1e-5, bucket: int = BLOCK,
-                   id: str = "doc_id", text: str = "text") -> DataFrame:
+                   id: str = "doc_id", text: str = "text", near: DataFrame | None = None) -> DataFrame:
     """(id, component) for every row: texts whose sets of word shingles have a Jaccard index from ``similarity`` are linked.
 
     Candidates come from MinHash and every link is verified by the exact index
@@ -267,6 +267,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
     ``recall``, more alike pairs sooner. Texts of equal sets are one node, and
     cells of equal nodes one cell.
 
+    ``near`` (id, component_id) names groups found otherwise, such as those of
+    :func:`near_duplicates`: each is one more cell, compared with the first, so
+    its links are verified like all others.
+
     The cells of the first few bands come first; in those of the others only
     nodes that are not one component yet are compared. A cell is cut into blocks
     of ``bucket`` nodes, fewer if their texts are long, and each pair of blocks
@@ -302,6 +306,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rec
         F.min("id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("cells").alias("cells")
     ))
     spread = nodes.select("node", "n", F.posexplode("cells").alias("band", "cell"))
+    if near is not None:
+        grouped = near.select(F.col(id).alias("near_id"), F.xxhash64("component_id").alias("cell"))
+        grouped = marked.join(grouped, F.col("id").eqNullSafe(F.col("near_id"))).where("n > 0")
+        spread = cut(spread.union(grouped.select("node", "n", F.lit(-1).alias("band"), "cell").distinct()))
     filled = spread.groupBy("band", "cell").agg(
         F.count("*").alias("held"), F.sum("n").alias("total"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
