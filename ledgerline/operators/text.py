@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import safe_div
+from ledgerline.session import ensure_checkpoint_dir
 
 # Elements that start a line of their own.
 BLOCK_TAGS = frozenset(
@@ -160,19 +161,24 @@ def containing(names: DataFrame, name: str, parts: DataFrame, part: str) -> Data
     """Pairs in which ``name`` contains ``part``; an empty part is in nothing.
 
     An equi-join on a run of up to three characters: every such run of a name
-    meets the parts that begin with it, and only those are compared.
+    meets the parts that begin with it, at its place, and only those are
+    compared. A pair is found at the first place at which the part stands.
     """
-    def runs(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(name) - k + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(F.col(name), i, F.lit(k)))
-
-    keyed = names.withColumn("__run", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    placed = names.select("*", F.explode(starts).alias("__at"))
+    runs = F.array(*[F.substring(F.col(name), F.col("__at"), F.lit(k)) for k in (1, 2, 3)])
+    # At the end of a name its shorter runs are the same.
+    keyed = placed.select("*", F.posexplode(runs).alias("__k", "__run")).where(F.length("__run") > F.col("__k")).drop("__k")
     sought = parts.where(F.length(part) > 0).withColumn("__run", F.substring(part, 1, 3))
-    return keyed.join(sought, "__run").where(F.col(name).contains(F.col(part))).drop("__run")
+    return keyed.join(sought, "__run").where(F.instr(F.col(name), F.col(part)) == F.col("__at")).drop("__run", "__at")
 
 
 # Windows of 1, 2 and 4 pieces are hashed at every place of a text.
 _LEVELS = 3
+# What is sought in the texts is sent to every task up to this many rows, about 20 MB.
+_BROADCAST_ROWS = 200_000
+# Different phrases of up to three letters that are sought in each text directly; more go through the vocabulary.
+_NEEDLES = 200
 
 
 def _spaced(text: Column) -> Column:
@@ -196,6 +202,11 @@ def _with_windows(df: DataFrame, pieces: str) -> DataFrame:
     return df
 
 
+def _hashed_side(found: DataFrame) -> DataFrame:
+    """The side of a join with texts that is hashed; by the size of their file texts would pass for small, whatever comes of them."""
+    return F.broadcast(found) if found.count() <= _BROADCAST_ROWS else found.hint("shuffle_hash")
+
+
 def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phrase_id: str = "item_id") -> DataFrame:
     """Documents that contain each phrase, ignoring case, white space as written.
 
@@ -210,7 +221,8 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phra
     64-bit hashes.
 
     Phrases without an inner piece go through the vocabulary: pieces of texts
-    that contain the phrase's longer piece. Blank phrases match nothing.
+    that contain the phrase's longer piece; a few of up to three letters are
+    sought in the texts. Blank phrases match nothing.
     """
     p = phrases.select(phrase_id, F.lower("phrase").alias("phrase")).where(F.trim("phrase", F.lit(" \n\t\r")) != "")
     p = p.withColumn("__p", _spaced(F.col("phrase"))).withColumn("__inner", F.size("__p") - 2)
@@ -240,7 +252,7 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phra
     placed = listed.select(doc, "__row", "__t", "hash", level.alias("level"), (F.col("__p") - start).alias("at"))
     after = F.get("__t", F.col("at") + F.call_function("shiftleft", F.lit(1), "level"))
     windows = placed.select(doc, "__row", "level", "at", "hash", F.get("__t", F.col("at") - 1).alias("before"), after.alias("after"))
-    met = windows.join(sought, ["level", "hash"])
+    met = windows.join(_hashed_side(sought), ["level", "hash"])
     met = met.where(((F.col("offset") > 0) | F.endswith("before", "__head")) & ((F.col("offset") < F.col("__last")) | F.startswith("after", "__tail")))
     places = met.groupBy(doc, "__row", phrase_id, (F.col("at") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"), F.first("__windows").alias("of"))
     found = places.where("n = of").select(doc, phrase_id).distinct()
@@ -250,13 +262,27 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", phra
         return found
     pieces = F.transform("__p", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     short = short.select(phrase_id, F.get("__p", F.lit(0)).alias("__head"), F.get("__p", F.lit(1)).alias("__tail"), F.array_max(pieces)["w"].alias("__piece"))
-    each = d.select(doc, F.inline(F.transform("__t", lambda w, i: F.struct(w.alias("piece"), F.get("__t", i - 1).alias("before"), F.get("__t", i + 1).alias("after")))))
-    led = containing(each.select("piece").distinct(), "piece", short, "__piece")
+    # A text has one piece at least; the outer form keeps Spark from splitting it again in filters for empty lists.
+    each = d.select(doc, "__t", F.posexplode_outer("__t").alias("__at", "piece"))
+    each = each.select(doc, "piece", F.get("__t", F.col("__at") - 1).alias("before"), F.get("__t", F.col("__at") + 1).alias("after"))
+    # Up to three letters stand in most of the vocabulary: a few of them are sought in the texts themselves.
+    tiny = F.col("__tail").isNull() & (F.length("__piece") <= 3)
+    needles = [r["__piece"] for r in short.where(tiny).select("__piece").distinct().limit(_NEEDLES + 1).collect()]
+    if 0 < len(needles) <= _NEEDLES:
+        low = docs.where("text IS NOT NULL").select(doc, F.lower("text").alias("__low"))
+        held = low.select(doc, F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(w)), F.lit(w)) for w in needles])).alias("__held"))
+        held = held.select(doc, F.explode_outer("__held").alias("__piece"))
+        found = found.unionByName(held.join(_hashed_side(short.where(tiny)), "__piece").select(doc, phrase_id).distinct())
+        short = short.where(~tiny)
+
     head, tail = F.col("__head"), F.col("__tail")
+    ensure_checkpoint_dir(docs.sparkSession)
+    led = containing(each.select("piece").distinct(), "piece", short, "__piece")
+    led = led.where(tail.isNull() | F.endswith("piece", head) | F.startswith("piece", tail)).checkpoint()
     fits = (
         tail.isNull() | (F.endswith("piece", head) & F.startswith("after", tail)) | (F.startswith("piece", tail) & F.endswith("before", head))
     )
-    return found.unionByName(each.join(led, "piece").where(fits).select(doc, phrase_id).distinct())
+    return found.unionByName(each.join(_hashed_side(led), "piece").where(fits).select(doc, phrase_id).distinct())
 
 
 # How an executive is named next to the title, in order of preference.
