@@ -33,18 +33,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(_downward(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b))
     state = _state(edges)
     while state[0]:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where(F.col("v") > F.col("u")).join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        # The smallest neighbour of a node that is smaller than itself; a node without one is a root.
+        low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        large = edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").where(F.col("v") != F.col("m"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v"))).distinct()
-        )
+        ends = F.explode(F.array("u", "v")).alias("u")
+        small = large.join(least, "u").select(ends, F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         edges = cut(small)
         before, state = state, _state(edges)
         if state == before:
