@@ -1,9 +1,13 @@
 """The filing history holds every periodic filing; a cap is the caller's choice."""
 
 import datetime as dt
+import random
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from ledgerline.catalog import sources
+from ledgerline.operators import facts as fx
 from ledgerline.operators.screen import capped_filings
 from ledgerline.plans import fundamentals as plan
 
@@ -43,3 +47,34 @@ def test_filings_without_a_cap_are_all_listed(spark):
     every = {r[1:3] for r in rows}
     assert listed({}) == listed({"10-K": None}) == every
     assert listed({"10-K": 2}) == {r for r in every if r[0] != "10-K"} | {("10-K", "10-K-5"), ("10-K", "10-K-4")}
+
+
+def test_annual_and_interim_rows_in_one_pass_are_those_of_two(spark):
+    pick, series = random.Random(3), ("cik", "concept", "units")
+    day = dt.date(2020, 12, 31)
+    rows = {(pick.randint(1, 4), pick.choice("abc"), pick.choice(["USD", None]), pick.choice([None, *[day - dt.timedelta(n) for n in (20, 89, 181, 272, 300, 364)]]),
+             day - dt.timedelta(pick.choice([0, 365])), pick.choice(["10-K", "10-Q"])) for _ in range(400)}
+    df = spark.createDataFrame(list(rows), "cik long, concept string, units string, start_date date, end_date date, form string")
+    annual = F.col("form") == "10-K"
+    two = fx.annual_facts(df.where(annual), series).unionByName(fx.ytd_facts(df.where(~annual), series))
+    one = fx.ytd_facts(fx.annual_facts(df, series, among=annual), series, among=~annual)
+    assert one.columns == two.columns
+    key = lambda r: tuple(map(str, r))
+    got, want = (sorted(x.collect(), key=key) for x in (one, two))
+    assert got == want and len(want) < len(rows)
+
+
+def test_rows_of_a_filing_are_dealt_once(spark):
+    """From the join to the view, windows find their rows where the join by filing left them, whichever way it joins."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1")):
+            spark.conf.set(k, v)
+        facts = history(spark)
+        index, view = plan.filing_views(facts, {})
+        dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        # The rows are dealt, and the index once more than by itself.
+        assert dealt(view) <= dealt(index) + 2
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
